@@ -1,0 +1,20 @@
+"""Join helpers: size-checked broadcast (used by J1 and the small lookup joins)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only after proving it has at most ``max_rows`` rows.
+
+    The proof is a bounded count (``limit(max_rows + 1).count()``), which stops
+    reading as soon as the bound is exceeded. Above the bound the frame is
+    returned unchanged and the planner (with AQE) picks a shuffle join, whose
+    skew handling splits hot keys.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
