@@ -175,7 +175,7 @@ def class_report(df: DataFrame, score: str = "probas", label: str = "reported",
 # -- A7, A8, A16 --------------------------------------------------------------
 
 def roc_points(df: DataFrame, score: str = "probas", label: str = "reported",
-               n_blocks: int | None = None) -> DataFrame:
+               n_blocks: int | None = None, keep_counts: bool = False) -> DataFrame:
     """(threshold, fps, tps, fpr, tpr) for every distinct score, descending.
 
     Rows with a null score are ignored. All points are kept (no collinear-point
@@ -189,11 +189,30 @@ def roc_points(df: DataFrame, score: str = "probas", label: str = "reported",
     p, n = int(totals["p"]), int(totals["n"])
     cum = running_total(pts, ["pos", "neg"], [F.col("threshold").desc()], out=["tps", "fps"],
                         n_blocks=n_blocks)
+    extra = ["pos", "neg"] if keep_counts else []
     return cum.select(
         "threshold",
         F.col("fps").cast("long").alias("fps"), F.col("tps").cast("long").alias("tps"),
         (F.col("fps") / F.lit(float(n)) if n else F.lit(None).cast("double")).alias("fpr"),
-        (F.col("tps") / F.lit(float(p)) if p else F.lit(None).cast("double")).alias("tpr"))
+        (F.col("tps") / F.lit(float(p)) if p else F.lit(None).cast("double")).alias("tpr"),
+        *extra)
+
+
+def roc_auc(df: DataFrame, score: str = "probas", label: str = "reported") -> float:
+    """Area under the ROC curve by trapezoids, in one aggregate over the ROC points.
+
+    Each point knows its own increments (pos, neg), so the segment from the
+    previous point is neg/N * (2*tps - pos) / (2P): no ordering window is needed.
+    """
+    y = _col(label) == 1
+    pts = df.where(_col(score).isNotNull()).groupBy(_col(score).alias("threshold")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    cum = running_total(pts, ["pos"], [F.col("threshold").desc()], out=["tps"])
+    r = cum.agg(F.sum(F.col("neg") * (2 * F.col("tps") - F.col("pos"))).alias("s"),
+                F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    if not r["p"] or not r["n"]:
+        return float("nan")
+    return float(r["s"]) / (2.0 * r["p"] * r["n"])
 
 
 def profit_curve(roc: DataFrame, positives: int, negatives: int,

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakscreen.operators.joins import broadcast_if_small
 from peakscreen.operators.prefix import running_total
 
 _H, _B = "_h", "_b"
@@ -70,7 +69,9 @@ def mark_first_n(df: DataFrame, cls: str, id_col: str, need: dict, seed: int,
     the whole class.
     """
     staged = _with_hash(df, id_col, seed)
-    cut = broadcast_if_small(_cut_table(staged, cls, need), 100_000)
+    # One row per class in ``need`` (already collected), so the size bound is known.
+    cut = _cut_table(staged, cls, need)
+    cut = F.broadcast(cut) if len(need) <= 100_000 else cut
     j = staged.join(cut, cls, "left")
     covered = F.col(cls).isin(list(need)) if need else F.lit(False)
     outside = j.where(F.col("_cut").isNull() | (F.col(_B) != F.col("_cut"))).withColumn(
@@ -180,3 +181,109 @@ def over_sample(df: DataFrame, label: str, id_col: str, seed: int = 42,
         return base
     picked = draws.join(ranked, [label, "_rank"]).drop("_rank")
     return base.unionByName(picked.select(*base.columns))
+
+
+def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """For each query row, its k nearest rows of ``ref`` (self excluded), exact.
+
+    ``ref`` must be bounded (the caller checks its size): its vectors are
+    shipped to every task once and each task scores its own rows against them
+    in vectorised blocks, emitting only the k best per row -- never all pairs.
+    """
+    import numpy as np
+    import pandas as pd
+    spark = query.sparkSession
+    rp = ref.select(id_col, vec).toPandas()
+    ids = rp[id_col].to_numpy()
+    mat = (np.vstack([np.asarray(v, dtype=np.float64) for v in rp[vec]]) if len(rp)
+           else np.zeros((0, 1)))
+    bc = spark.sparkContext.broadcast((ids, mat))
+
+    def nearest(batches):
+        rid, rmat = bc.value
+        rsq = (rmat ** 2).sum(axis=1)
+        for pdf in batches:
+            if pdf.empty or len(rid) == 0:
+                continue
+            q = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+            qid = pdf[id_col].to_numpy()
+            out_i, out_n, out_d = [], [], []
+            for s in range(0, len(q), 1024):
+                blk, bid = q[s:s + 1024], qid[s:s + 1024]
+                d2 = (blk ** 2).sum(axis=1)[:, None] + rsq[None, :] - 2.0 * blk @ rmat.T
+                d2 = np.maximum(d2, 0.0)
+                d2[bid[:, None] == rid[None, :]] = np.inf          # no self match
+                kk = min(k, len(rid))
+                cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+                for row in range(len(blk)):
+                    for j in cand[row]:
+                        if np.isfinite(d2[row, j]):
+                            out_i.append(bid[row]); out_n.append(rid[j])
+                            out_d.append(float(np.sqrt(d2[row, j])))
+            yield pd.DataFrame({id_col: np.asarray(out_i, dtype=np.int64),
+                                "nb_id": np.asarray(out_n, dtype=np.int64),
+                                "nb_dist": np.asarray(out_d, dtype=np.float64)})
+
+    return query.select(id_col, vec).mapInPandas(nearest, f"{id_col} long, nb_id long, nb_dist double")
+
+
+def knn_within(df: DataFrame, id_col: str, vec: str, k: int = 5,
+               block_rows: int = 200_000) -> DataFrame:
+    """Exact k nearest neighbours of every row among the rows of ``df`` (self excluded).
+
+    The reference side is cut into hash blocks of bounded size; each block is
+    shipped to the tasks in turn and every row keeps its k best candidates per
+    block; a final per-row top-k over the (k x blocks) candidates gives the
+    exact answer. Output: id, nb_rank (0-based), nb_id, nb_dist.
+    """
+    n = df.count()
+    n_blocks = max(1, math.ceil(n / block_rows))
+    keyed = df.select(id_col, vec).withColumn("_kb", F.pmod(F.xxhash64(id_col), F.lit(n_blocks)))
+    cands = None
+    for b in range(n_blocks):
+        ref = keyed.where(F.col("_kb") == b)
+        c = _knn_against(keyed, ref, id_col, vec, k)
+        cands = c if cands is None else cands.unionByName(c)
+    w = Window.partitionBy(id_col).orderBy("nb_dist", "nb_id")
+    return cands.withColumn("nb_rank", (F.row_number().over(w) - 1).cast("int")).where(
+        F.col("nb_rank") < k)
+
+
+def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
+          block_rows: int = 200_000) -> DataFrame:
+    """Synthetic minority rows until the classes balance (M5).
+
+    Each synthetic row is ``base + lam * (neighbour - base)`` with the base
+    drawn from the minority class, the neighbour among its k nearest minority
+    neighbours and ``lam`` in [0, 1), all from seeded hashes of the draw number.
+    ``vec`` is an array<double> column. Neighbours are exact (blocked search,
+    see :func:`knn_within`).
+    Output: id, label, vec, ``synthetic`` flag; synthetic ids are negative.
+    """
+    spark = df.sparkSession
+    counts = class_counts(df, label)
+    minority = min(counts, key=lambda c: (counts[c], c))
+    n_min, n_max = counts[minority], max(counts.values())
+    if n_min < k + 1:
+        raise ValueError(f"SMOTE needs more than {k} minority rows, got {n_min}")
+    base_rows = df.select(F.col(id_col).cast("long").alias(id_col), label,
+                          F.col(vec).cast("array<double>").alias(vec), F.lit(False).alias("synthetic"))
+    n_synth = n_max - n_min
+    if n_synth == 0:
+        return base_rows
+    mino = base_rows.where(F.col(label) == F.lit(minority)).select(id_col, vec)
+    nbrs = knn_within(mino, id_col, vec, k, block_rows)
+    ranked = class_rank(mino.withColumn("_c", F.lit(1)), "_c", id_col, seed).drop("_c")
+    draws = spark.range(0, n_synth).select(
+        F.col("id").alias("_j"),
+        (hash_draw(F.col("id"), f"base|{seed}", n_min) + 1).alias("_rank"),
+        hash_draw(F.col("id"), f"nb|{seed}", k).cast("int").alias("nb_rank"),
+        (hash_draw(F.col("id"), f"lam|{seed}", 1 << 30) / F.lit(float(1 << 30))).alias("_lam"))
+    b = draws.join(ranked.select(F.col(id_col).alias("_base"), F.col(vec).alias("_bv"), "_rank"), "_rank")
+    b = b.join(nbrs.select(F.col(id_col).alias("_base"), "nb_rank", "nb_id"), ["_base", "nb_rank"])
+    b = b.join(mino.select(F.col(id_col).alias("nb_id"), F.col(vec).alias("_nv")), "nb_id")
+    synth = b.select(
+        (-(F.col("_j") + 1)).alias(id_col), F.lit(minority).cast(df.schema[label].dataType).alias(label),
+        F.zip_with("_bv", "_nv", lambda a, n: a + F.col("_lam") * (n - a)).alias(vec),
+        F.lit(True).alias("synthetic"))
+    return base_rows.unionByName(synth)
