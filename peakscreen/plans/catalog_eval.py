@@ -165,7 +165,7 @@ def profit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lineitem_scores(spark, sf_dir)
     tot = scored.agg(F.count_if(F.col("reported") == 1).alias("p"),
                      F.count_if(F.col("reported") != 1).alias("n")).first()
-    roc = ev.roc_points(scored, "probas", "reported")
+    roc = ev.roc_points(scored, "probas", "reported").cache()   # shared by both curves
     curves = [(mode, ev.profit_curve(roc, int(tot["p"]), int(tot["n"]), parity=(mode == "parity")))
               for mode in ("corrected", "parity")]
     st = ev.stack_curves(curves, "mode")
