@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakscreen.session import ensure_checkpoint_dir
+from peakscreen.session import ensure_checkpoint_dir, ship_package
 
 _BLK = "_blk"
 
@@ -59,6 +59,7 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
     keys = [F.col(p) for p in parts] + [F.col(o) if isinstance(o, str) else o for o in order]
 
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     staged = (df.repartitionByRange(n_blocks, *keys)
               .sortWithinPartitions(*keys)
               .withColumn(_BLK, F.spark_partition_id())

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakscreen.operators.prefix import running_total
+from peakscreen.session import ship_package
 
 _H, _B = "_h", "_b"
 
@@ -193,6 +194,7 @@ def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int
     import numpy as np
     import pandas as pd
     spark = query.sparkSession
+    ship_package(spark)
     rp = ref.select(id_col, vec).toPandas()
     ids = rp[id_col].to_numpy()
     mat = (np.vstack([np.asarray(v, dtype=np.float64) for v in rp[vec]]) if len(rp)
