@@ -79,14 +79,14 @@ def make_estimator(kind: str, n_features: int, features_col: str = "scaled",
     if kind == "logistic":
         est = LogisticRegression(regParam=0.0, standardization=False, maxIter=100, **common)
     elif kind == "forest":
-        est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=12,
+        est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=8,
                                      seed=seed, **common)
     elif kind == "gbt":
         est = GBTClassifier(maxIter=50, maxDepth=4, stepSize=0.125, subsamplingRate=0.7,
                             featureSubsetStrategy="0.5", minWeightFractionPerNode=0.0,
                             seed=seed, **common)
     elif kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 12, 8, 2], maxIter=200, seed=seed,
+        return MultilayerPerceptronClassifier(layers=[n_features, 12, 8, 2], maxIter=100, seed=seed,
                                               **common).setParams(**params)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
