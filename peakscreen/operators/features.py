@@ -105,13 +105,14 @@ def assemble(df: DataFrame, label: str = "reported", features: Sequence[str] | N
     return va.transform(df).withColumn("label", _col(label).cast("double"))
 
 
-def build_features(labelled: DataFrame, keep: Sequence[str] = ("row_id",),
-                   vocabulary: Sequence[str] = S.ANALYTES) -> DataFrame:
+def build_features(labelled: DataFrame, vocabulary: Sequence[str] = S.ANALYTES,
+                   drop: Sequence[str] = ("line_no",)) -> DataFrame:
     """Feature table from a labelled peak table (C2 core).
 
     one-hot -> rt_diff -> coerce dirty columns -> numeric-only -> zero fill.
+    ``row_id`` stays as the key; file positions (``line_no``) are not features.
     """
-    df = one_hot(labelled, "analyte", vocabulary)
+    df = one_hot(labelled.drop(*[c for c in drop if c in labelled.columns]), "analyte", vocabulary)
     df = add_rt_diff(df)
     df = coerce_dirty(df)
     df = numeric_only(df)

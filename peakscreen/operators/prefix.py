@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from peakscreen.session import ensure_checkpoint_dir, ship_package
 
@@ -60,10 +61,13 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
 
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    staged = (df.repartitionByRange(n_blocks, *keys)
+    blocks = (df.repartitionByRange(n_blocks, *keys)
               .sortWithinPartitions(*keys)
               .withColumn(_BLK, F.spark_partition_id())
-              .checkpoint(eager=True))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    # The checkpoint write reads the persisted blocks instead of recomputing them.
+    staged = blocks.checkpoint(eager=True)
+    blocks.unpersist()
 
     totals = staged.groupBy(_BLK, *parts).agg(
         *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
