@@ -15,6 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from peakscreen import get_spark  # noqa: E402
 from peakscreen.plans import catalog  # noqa: E402
 
@@ -38,6 +40,9 @@ def main() -> None:
     qs["label_rate"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     spark.range(0, 1000, numPartitions=cpus).mapInPandas(lambda it: it, "id long") \
         .write.format("noop").mode("overwrite").save()
+    from peakscreen.operators.prefix import running_total
+    running_total(spark.range(0, 1000).withColumn("v", F.lit(1)), ["v"], ["id"]) \
+        .write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after proving it has at most ``max_rows`` rows.
 
-    The proof is a bounded count (``limit(max_rows + 1).count()``), which stops
-    reading as soon as the bound is exceeded. Above the bound the frame is
-    returned unchanged and the planner (with AQE) picks a shuffle join, whose
-    skew handling splits hot keys.
+    The proof is ``take(max_rows + 1)`` of a one-literal projection: Spark scans
+    partitions incrementally (one, then a growing number) and stops as soon as
+    the bound is exceeded, so the check costs at most ``max_rows`` rows however
+    large the table is, and no column is read. Above the bound the frame is
+    returned unchanged: the planner's size estimate and AQE's runtime
+    statistics decide, and a shuffle join splits skewed keys.
     """
-    n = df.limit(max_rows + 1).count()
+    n = len(df.select(F.lit(1).alias("_one")).take(max_rows + 1))
     return F.broadcast(df) if n <= max_rows else df
