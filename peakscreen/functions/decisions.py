@@ -61,8 +61,13 @@ def sample_flag(sample_type: str | Column, predict: str | Column,
 
 
 def parse_acquisition(c: str | Column, fmt: str = S.ACQUISITION_FORMAT) -> Column:
-    """Acquisition text to timestamp (F15); unparseable text -> null."""
-    return F.try_to_timestamp(_col(c), F.lit(fmt))
+    """Acquisition text to a wall-clock timestamp (F15); unparseable text -> null.
+
+    The result is ``timestamp_ntz``, so ordering does not depend on the session
+    time zone (a local time that does not exist in that zone, inside a
+    daylight-saving gap, is the one value that moves).
+    """
+    return F.try_to_timestamp(_col(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def false_neg_adjusted(fn: str | Column, area: str | Column) -> Column:
