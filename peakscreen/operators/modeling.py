@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from peakscreen.operators import evaluation as ev
+from peakscreen.operators import sampling as sm
 
 
 def standardize(df: DataFrame, cols: Sequence[str], prefix: str = "z_",
@@ -29,22 +42,6 @@ def standardize(df: DataFrame, cols: Sequence[str], prefix: str = "z_",
 # Estimators, pipelines and scoring
 # ---------------------------------------------------------------------------
 
-import math  # noqa: E402
-from dataclasses import dataclass, field  # noqa: E402
-
-import numpy as np  # noqa: E402
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,  # noqa: E402
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.feature import (PCA, ElementwiseProduct, StandardScaler,  # noqa: E402
-                                VectorAssembler)
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.ml.linalg import Vectors  # noqa: E402
-from pyspark.storagelevel import StorageLevel  # noqa: E402
-
-from peakscreen.operators import evaluation as ev  # noqa: E402
-from peakscreen.operators import sampling as sm  # noqa: E402
-
 
 def balanced_weights(df: DataFrame, label: str = "reported", out: str = "weight",
                      pos_weight: float = 1.0) -> DataFrame:

@@ -230,7 +230,7 @@ def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int
 
 
 def knn_within(df: DataFrame, id_col: str, vec: str, k: int = 5,
-               block_rows: int = 200_000) -> DataFrame:
+               block_rows: int | None = None, block_bytes: int = 64 << 20) -> DataFrame:
     """Exact k nearest neighbours of every row among the rows of ``df`` (self excluded).
 
     The reference side is cut into hash blocks of bounded size; each block is
@@ -239,6 +239,10 @@ def knn_within(df: DataFrame, id_col: str, vec: str, k: int = 5,
     exact answer. Output: id, nb_rank (0-based), nb_id, nb_dist.
     """
     n = df.count()
+    if block_rows is None:
+        first = df.select(F.size(vec).alias("d")).first()
+        dim = max(1, int(first["d"])) if first else 1
+        block_rows = max(1000, block_bytes // (8 * dim))
     n_blocks = max(1, math.ceil(n / block_rows))
     keyed = df.select(id_col, vec).withColumn("_kb", F.pmod(F.xxhash64(id_col), F.lit(n_blocks)))
     cands = None
@@ -252,7 +256,7 @@ def knn_within(df: DataFrame, id_col: str, vec: str, k: int = 5,
 
 
 def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
-          block_rows: int = 200_000) -> DataFrame:
+          block_rows: int | None = None) -> DataFrame:
     """Synthetic minority rows until the classes balance (M5).
 
     Each synthetic row is ``base + lam * (neighbour - base)`` with the base

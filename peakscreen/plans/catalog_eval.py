@@ -9,7 +9,6 @@ from peakscreen.operators import evaluation as ev
 from peakscreen.operators import linalg as la
 from peakscreen.operators import quality as qa
 from peakscreen.operators import sampling as sm
-from peakscreen.operators.features import coerce_dirty  # noqa: F401  (re-export for users)
 from peakscreen.plans.catalog import r6, register
 from peakscreen.plans.views import (EVENTS_BATCH_SQL, LINEITEM_SCORES_SQL, events_batch, load,
                                     lineitem_scores)
