@@ -56,12 +56,15 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
     values = list(values)
     out = list(out or [f"{v}_cum" for v in values])
     parts = list(partition_by)
-    n_blocks = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(p) for p in parts] + [F.col(o) if isinstance(o, str) else o for o in order]
 
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    blocks = (df.repartitionByRange(n_blocks, *keys)
+    # Without an explicit count, AQE sizes the blocks from the map statistics
+    # (coalescing adjacent ranges keeps them contiguous and ordered).
+    ranged = (df.repartitionByRange(n_blocks, *keys) if n_blocks
+              else df.repartitionByRange(*keys))
+    blocks = (ranged
               .sortWithinPartitions(*keys)
               .withColumn(_BLK, F.spark_partition_id())
               .persist(StorageLevel.MEMORY_AND_DISK))

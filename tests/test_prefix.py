@@ -30,3 +30,18 @@ def test_descending_and_nulls(spark):
     out = running_total(df, ["v"], [F.col("s").desc()], n_blocks=2)
     got = {r["row_id"]: r["v_cum"] for r in out.collect()}
     assert got == {1: 1, 2: 1, 3: 5}
+
+
+def test_aqe_sized_blocks_stay_ordered(spark):
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = [(i, 7 if i % 3 == 0 else i, (i * 13) % 5) for i in range(3000)]
+        df = spark.createDataFrame(rows, "row_id long, t long, v long")
+        out = running_total(df, ["v"], ["t", "row_id"])        # AQE decides the block count
+        w = Window.orderBy("t", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+        ref = df.withColumn("ref", F.sum("v").over(w))
+        j = out.join(ref.select("row_id", "ref"), "row_id")
+        assert j.count() == 3000 and j.where(F.col("v_cum") != F.col("ref")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
