@@ -175,7 +175,8 @@ def class_report(df: DataFrame, score: str = "probas", label: str = "reported",
 # -- A7, A8, A16 --------------------------------------------------------------
 
 def roc_points(df: DataFrame, score: str = "probas", label: str = "reported",
-               n_blocks: int | None = None, keep_counts: bool = False) -> DataFrame:
+               n_blocks: int | None = None, keep_counts: bool = False,
+               drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fps, tps, fpr, tpr) for every distinct score, descending.
 
     Rows with a null score are ignored. All points are kept (no collinear-point
@@ -190,6 +191,8 @@ def roc_points(df: DataFrame, score: str = "probas", label: str = "reported",
     cum = running_total(pts, ["pos", "neg"], [F.col("threshold").desc()], out=["tps", "fps"],
                         n_blocks=n_blocks)
     extra = ["pos", "neg"] if keep_counts else []
+    if drop_intermediate:
+        cum = _drop_collinear(cum)
     return cum.select(
         "threshold",
         F.col("fps").cast("long").alias("fps"), F.col("tps").cast("long").alias("tps"),
@@ -198,6 +201,23 @@ def roc_points(df: DataFrame, score: str = "probas", label: str = "reported",
         *extra)
 
 
+def _drop_collinear(cum: DataFrame) -> DataFrame:
+    """Keep only ROC corners: first and last points and those where the second
+    difference of fps or tps is non-zero. Neighbours are found by equi-joins on
+    the point's rank (from a distributed running count), not an ordered window.
+    """
+    ranked = running_total(cum.withColumn("_one", F.lit(1)), ["_one"], [F.col("threshold").desc()],
+                           out=["_r"]).drop("_one")
+    nb = ranked.select(F.col("_r"), F.col("fps").alias("_f"), F.col("tps").alias("_t"))
+    prev = nb.select((F.col("_r") + 1).alias("_r"), F.col("_f").alias("_fp"), F.col("_t").alias("_tp"))
+    nxt = nb.select((F.col("_r") - 1).alias("_r"), F.col("_f").alias("_fn"), F.col("_t").alias("_tn"))
+    j = ranked.join(prev, "_r", "left").join(nxt, "_r", "left")
+    corner = (F.col("_fp").isNull() | F.col("_fn").isNull()
+              | ((F.col("_fn") - 2 * F.col("fps") + F.col("_fp")) != 0)
+              | ((F.col("_tn") - 2 * F.col("tps") + F.col("_tp")) != 0))
+    return j.where(corner).drop("_r", "_fp", "_tp", "_fn", "_tn")
+
+
 def roc_auc(df: DataFrame, score: str = "probas", label: str = "reported") -> float:
     """Area under the ROC curve by trapezoids, in one aggregate over the ROC points.
 

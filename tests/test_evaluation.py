@@ -84,3 +84,13 @@ def test_profit_curve_parity_formula(spark):
     expect = -(1 - 0.5) + 0.5 * tn_n / (tn_n + fp_n)
     assert abs(c[0.5]["profit"] - expect) < 1e-12
     assert c[1.0]["tpr"] == 0.0                          # curve starts at threshold 1
+
+
+def test_roc_drop_intermediate(scored):
+    df, p, y = scored
+    ts = np.sort(np.unique(p))[::-1]
+    fps = np.array([((p >= t) & (y == 0)).sum() for t in ts])
+    tps = np.array([((p >= t) & (y == 1)).sum() for t in ts])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    got = sorted(round(r["threshold"], 12) for r in ev.roc_points(df, drop_intermediate=True).collect())
+    assert got == sorted(round(float(t), 12) for t in ts[keep])
