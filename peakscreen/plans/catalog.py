@@ -468,7 +468,8 @@ def all_sql() -> dict[str, str]:
 
 def _load_extensions() -> None:
     import importlib
-    for mod in ("peakscreen.plans.catalog_eval", "peakscreen.plans.catalog_ml"):
+    for mod in ("peakscreen.plans.catalog_eval", "peakscreen.plans.catalog_ml",
+                "peakscreen.plans.catalog_files"):
         try:
             importlib.import_module(mod)
         except ModuleNotFoundError as e:

@@ -62,7 +62,8 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
                 phrase: str = S.HEADER_PHRASE, match: str = "contains",
                 delimiter: str = "\t", strict_numeric: Sequence[str] | None = None,
                 reject_first_line_header: bool = False,
-                typed: bool = True) -> ParsedFiles:
+                typed: bool = True,
+                numeric_columns: Sequence[str] = S.NUMERIC_COLUMNS) -> ParsedFiles:
     """Parse (source_file, content) records into a projected peak table.
 
     * ``match='contains'`` finds the phrase anywhere in a line (directory
@@ -72,6 +73,7 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
     * ``strict_numeric``: columns that must all be numbers; one bad value
       rejects the whole file (upload reader).
     * A file missing one of ``columns`` is rejected with the missing names.
+    * ``numeric_columns`` are coerced to double (guarded); others stay text.
     """
     cols = list(columns)
     lines = F.split(F.col("content"), LINE_SPLIT)
@@ -125,7 +127,7 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
     for i, c in enumerate(cols):
         raw = F.try_element_at(fields, F.col(f"_p{i}"))
         raw = null_tokens(raw)
-        if typed and c in S.NUMERIC_COLUMNS:
+        if typed and c in numeric_columns:
             val = coerce_double(raw)
         else:
             val = raw

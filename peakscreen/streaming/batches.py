@@ -36,10 +36,11 @@ def read_file_stream(spark: SparkSession, path: str, glob: str = "*.txt",
 def batch_writer(out_dir: str, score_fn: Callable[[DataFrame], DataFrame],
                  columns: Sequence[str], threshold: float = 0.4,
                  rt: str = S.RT, sample_type: str = S.SAMPLE_TYPE,
-                 list_cols: Sequence[str] = (S.SAMPLE_NAME, S.PEAK_NAME, S.PEAK_AREA)):
+                 list_cols: Sequence[str] = (S.SAMPLE_NAME, S.PEAK_NAME, S.PEAK_AREA),
+                 numeric_columns: Sequence[str] = S.NUMERIC_COLUMNS):
     """foreachBatch function: parse -> score -> decide -> write lists and status."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_files(batch, columns)
+        parsed = parse_files(batch, columns, numeric_columns=numeric_columns)
         decided = qc.add_decisions(score_fn(parsed.rows), score="probs", rt=rt,
                                    sample_type=sample_type, threshold=threshold)
         decided = decided.persist()
@@ -114,7 +115,7 @@ def stream_events_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = F.col("Score")
         return rows.withColumn("probs", v / (v + F.lit(20.0)))
 
-    cols = ROUNDTRIP_COLUMNS
-    columns_typed = cols
-    run_stream(spark, in_dir, out_dir, ckpt, score_fn, columns_typed, max_files_per_trigger=16)
+    columns_typed = ROUNDTRIP_COLUMNS
+    run_stream(spark, in_dir, out_dir, ckpt, score_fn, columns_typed, max_files_per_trigger=16,
+               numeric_columns=S.NUMERIC_COLUMNS + ["Score"])
     return spark.read.parquet(f"{out_dir}/control_status")
