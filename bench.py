@@ -26,7 +26,7 @@ HEADLINE = [
     "control_failures", "cumulative_profit", "cumulative_misses", "error_lists", "class_pivot",
     "threshold_sweep", "class_report", "roc_points", "profit_curve", "score_histogram",
     "corr_matrix", "vif", "standardize", "stratified_split", "under_sample", "folds",
-    "over_sample", "expectations", "union_batches", "lasso_path", "smote",
+    "over_sample", "expectations", "union_batches", "export_roundtrip", "lasso_path", "smote",
 ]
 
 
