@@ -101,7 +101,41 @@ def _embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                       *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dim)])
 
 
-@register("smote")
+SMOTE_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS reported,
+                  CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+c AS (SELECT reported, count(*) AS n FROM e GROUP BY reported),
+mc AS (SELECT reported AS cls, n AS n_min FROM c ORDER BY n, reported LIMIT 1),
+mx AS (SELECT max(n) AS n_max FROM c),
+m AS (SELECT e.vec_id, e.vec FROM e JOIN mc ON e.reported = mc.cls),
+ranked AS (SELECT vec_id, vec,
+                  row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS rk FROM m),
+nb AS (SELECT a.vec_id, b.vec_id AS nb_id,
+              row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.vec, b.vec), b.vec_id) - 1
+                AS nb_rank
+       FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+draws AS (
+  SELECT j,
+         CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|base|42'), 1, 8)) AS BIGINT) % n_min + 1 AS rk,
+         CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|nb|42'), 1, 8)) AS BIGINT) % 5 AS nb_rank,
+         CAST(CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|lam|42'), 1, 8)) AS BIGINT) % 1073741824
+              AS DOUBLE) / 1073741824.0 AS lam
+  FROM (SELECT unnest(range(0, n_max - n_min)) AS j, n_min FROM mc, mx)),
+syn AS (
+  SELECT -(d.j + 1) AS vec_id, (SELECT cls FROM mc) AS reported,
+         list_transform(range(1, len(r.vec) + 1), lambda i: r.vec[i] + d.lam * (m2.vec[i] - r.vec[i])) AS vec
+  FROM draws d JOIN ranked r ON d.rk = r.rk
+       JOIN nb ON nb.vec_id = r.vec_id AND nb.nb_rank = d.nb_rank
+       JOIN m m2 ON m2.vec_id = nb.nb_id)
+SELECT vec_id, reported, false AS synthetic,
+       round(list_sum(list_transform(vec, lambda x: x * x)), 6) AS sq_norm FROM e
+UNION ALL
+SELECT vec_id, reported, true AS synthetic,
+       round(list_sum(list_transform(vec, lambda x: x * x)), 6) AS sq_norm FROM syn
+"""
+
+
+@register("smote", SMOTE_SQL)
 def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: synthetic rows for label 0 against the rest of the embeddings (exact 5-NN)."""
     emb = load(spark, sf_dir, "embeddings").select(
