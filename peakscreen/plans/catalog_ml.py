@@ -214,7 +214,33 @@ def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.feature_ranking(spark, names, weights, top=10)
 
 
-@register("stream_batches")
+def _stream_sql() -> str:
+    from peakscreen.plans.views import EVENT_OTHER_TYPE, EVENT_SAMPLE_TYPE
+    from peakscreen.streaming.batches import FILE_BUCKETS
+    types = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_SAMPLE_TYPE.items())
+    return f"""
+WITH f AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, CAST(user_id % {FILE_BUCKETS} AS INTEGER) AS bucket,
+         CASE event_type {types} ELSE '{EVENT_OTHER_TYPE}' END AS sample_type,
+         TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rt,
+         value / (value + 20.0) AS probs
+  FROM events),
+d AS (
+  SELECT day, bucket,
+         CASE WHEN rt = 0 THEN 0 WHEN probs > 0.4 THEN 1 ELSE 0 END AS predict,
+         CASE sample_type WHEN 'Quality Control' THEN 1 WHEN 'Standard' THEN 1
+              WHEN 'Blank' THEN 0 WHEN 'Solvent' THEN 0 END AS expected
+  FROM f)
+SELECT day, bucket,
+       CAST(sum(CASE WHEN predict = 0 AND expected = 1 THEN 1 ELSE 0 END) AS BIGINT) AS failed_controls,
+       CAST(sum(CASE WHEN predict = 1 AND expected = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dirty_blanks,
+       sum(CASE WHEN predict = 0 AND expected = 1 THEN 1 ELSE 0 END) = 0 AS controls_pass,
+       sum(CASE WHEN predict = 1 AND expected = 0 THEN 1 ELSE 0 END) = 0 AS blanks_pass
+FROM d GROUP BY day, bucket
+"""
+
+
+@register("stream_batches", _stream_sql())
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as export files, scored by a file stream batch by batch."""
     from peakscreen.streaming.batches import stream_events_roundtrip

@@ -118,4 +118,9 @@ def stream_events_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns_typed = ROUNDTRIP_COLUMNS
     run_stream(spark, in_dir, out_dir, ckpt, score_fn, columns_typed, max_files_per_trigger=16,
                numeric_columns=S.NUMERIC_COLUMNS + ["Score"])
-    return spark.read.parquet(f"{out_dir}/control_status")
+    status = spark.read.parquet(f"{out_dir}/control_status")
+    # Key each file by the (day, bucket) it holds; paths and batch numbers vary per run.
+    return status.select(
+        F.regexp_extract("source_file", r"day=([0-9]+)", 1).alias("day"),
+        F.regexp_extract("source_file", r"bucket=([0-9]+)", 1).cast("int").alias("bucket"),
+        "failed_controls", "dirty_blanks", "controls_pass", "blanks_pass")
