@@ -19,8 +19,7 @@ from peakscreen.operators import cleaning as oc
 from peakscreen.operators import evaluation as ev
 from peakscreen.operators import features as fe
 from peakscreen.operators import labeling as lb
-from peakscreen.plans.views import (EVENTS_BATCH_SQL, LINEITEM_SCORES_SQL, events_batch, load,
-                                    lineitem_scores)
+from peakscreen.plans.views import EVENTS_BATCH_SQL, events_batch, load
 from peakscreen.sources.instrument import header_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
