@@ -216,11 +216,14 @@ def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_sql() -> str:
     from peakscreen.plans.views import EVENT_OTHER_TYPE, EVENT_SAMPLE_TYPE
-    from peakscreen.streaming.batches import FILE_BUCKETS
+    from peakscreen.streaming.batches import MIN_FILE_BUCKETS, ROWS_PER_FILE
     types = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_SAMPLE_TYPE.items())
     return f"""
-WITH f AS (
-  SELECT strftime(ts, '%Y%m%d') AS day, CAST(user_id % {FILE_BUCKETS} AS INTEGER) AS bucket,
+WITH nb AS (
+  SELECT greatest({MIN_FILE_BUCKETS}, CAST(ceil(max(c) / {ROWS_PER_FILE}.0) AS BIGINT)) AS n
+  FROM (SELECT strftime(ts, '%Y%m%d') AS d, count(*) AS c FROM events GROUP BY 1)),
+f AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, CAST(event_id % (SELECT n FROM nb) AS INTEGER) AS bucket,
          CASE event_type {types} ELSE '{EVENT_OTHER_TYPE}' END AS sample_type,
          TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rt,
          value / (value + 20.0) AS probs

@@ -72,23 +72,32 @@ def run_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
 
 # Header of the generated export files.
 ROUNDTRIP_COLUMNS = [S.SAMPLE_NAME, S.SAMPLE_TYPE, S.PEAK_NAME, S.PEAK_AREA, S.RT, "Score"]
-FILE_BUCKETS = 4
+MIN_FILE_BUCKETS = 4
+ROWS_PER_FILE = 20000
+
+
+def file_buckets(events: DataFrame) -> int:
+    """Files per day so that the busiest day still has ~ROWS_PER_FILE lines per file."""
+    top = events.groupBy(F.date_format("ts", "yyyyMMdd")).count().agg(F.max("count")).first()[0] or 0
+    return max(MIN_FILE_BUCKETS, -(-int(top) // ROWS_PER_FILE))
 
 
 def write_event_exports(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Write events as export files: one file per (day, bucket), preamble + header first.
 
-    Each (day, bucket) is its own file, so no file (and no task) holds a whole
-    hot day; the header row sorts first within its file.
+    Events of a day are spread over ``file_buckets`` files by event id, so no
+    file (and no task) holds a hot day or a hot user whole; the header row
+    sorts first within its file.
     """
     from peakscreen.plans.views import EVENT_OTHER_TYPE, EVENT_SAMPLE_TYPE, load
     ev = load(spark, sf_dir, "events")
+    n_buckets = file_buckets(ev)
     st = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENT_SAMPLE_TYPE.items() for x in kv])[
         F.col("event_type")], F.lit(EVENT_OTHER_TYPE))
     k = F.get_json_object("props", "$.k")
     rows = ev.select(
         F.date_format("ts", "yyyyMMdd").alias("day"),
-        F.pmod(F.col("user_id"), F.lit(FILE_BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.col("event_id"), F.lit(n_buckets)).cast("int").alias("bucket"),
         F.col("event_id").alias("_ord"),
         F.concat_ws("\t", F.concat(F.lit("S"), F.col("user_id").cast("string")), st,
                     F.concat(F.col("event_type"), F.lit("-1")), F.col("user_id").cast("string"),
