@@ -61,6 +61,29 @@ def confusion_counts(df: DataFrame, score: str = "probas", label: str = "reporte
     )
 
 
+def confusion_at(df: DataFrame, thresholds: Sequence[float], score: str = "probas",
+                 label: str = "reported") -> DataFrame:
+    """Confusion counts, precision, recall and F1 at several thresholds from one scan.
+
+    One aggregate computes four conditional counts per threshold; ``inline``
+    turns the single result row into one row per threshold.
+    """
+    y = _col(label) == 1
+    aggs = []
+    for i, t in enumerate(thresholds):
+        pred = F.coalesce(_col(score) >= F.lit(float(t)), F.lit(False))
+        aggs += [F.count_if(pred & y).alias(f"tp{i}"), F.count_if(pred & ~y).alias(f"fp{i}"),
+                 F.count_if(~pred & y).alias(f"fn{i}"), F.count_if(~pred & ~y).alias(f"tn{i}")]
+    wide = df.agg(*aggs)
+    rows = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"),
+                     F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn"),
+                     F.col(f"tn{i}").alias("tn")) for i, t in enumerate(thresholds)]
+    out = wide.select(F.inline(F.array(*rows)))
+    return out.select("*", precision_from_counts("tp", "fp").alias("precision"),
+                      recall_from_counts("tp", "fn").alias("recall"),
+                      f1_from_counts("tp", "fp", "fn").alias("f1"))
+
+
 def score_at(df: DataFrame, score: str = "probas", label: str = "reported",
              threshold: float = 0.5) -> DataFrame:
     """Confusion counts plus precision, recall and F1 at one threshold (A4)."""

@@ -270,29 +270,31 @@ def _feature_sets_sql() -> str:
 
 @register("feature_sets", _feature_sets_sql())
 def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table, then the four feature-set filters, in long form."""
+    """Feature table, the four feature-set filters and their assembled
+    vectors, in long form -- all four from one scan of the table."""
+    from pyspark.ml.feature import VectorAssembler
     evs = load(spark, sf_dir, "events").select(
         "event_id", "user_id", "value", "event_type",
         fc.coerce_double(F.get_json_object("props", "$.k")).alias("k"), "props")
     table = fe.numeric_only(fe.one_hot(evs, "event_type", EVENT_VOCAB, prefix="analyte_")).na.fill(0)
-    out = None
-    for name, ft in [("all", None), ("limited", "limited"), ("no_analyte", "no_analyte"),
-                     ("limited_no_analyte", "limited_no_analyte")]:
-        sel = fe.filter_cols(table, ft, limited=["user_id"])
-        feats = fe.feature_columns(sel, label="reported", exclude=("event_id",))
-        vec = fe.assemble(sel.withColumn("reported", F.lit(0)), features=feats)
-        total = F.aggregate(F.transform(_vector_values(vec), lambda x: x), F.lit(0.0),
-                            lambda a, x: a + x)
-        part = vec.select(F.lit(name).alias("filter_type"), "event_id",
-                          F.lit(len(feats)).cast("int").alias("n_features"),
-                          r6(total).alias("feature_sum"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _vector_values(vec: DataFrame) -> Column:
+    sets = [("all", None), ("limited", "limited"), ("no_analyte", "no_analyte"),
+            ("limited_no_analyte", "limited_no_analyte")]
+    vec = table
+    structs = []
+    for i, (name, ft) in enumerate(sets):
+        feats = fe.feature_columns(fe.filter_cols(table, ft, limited=["user_id"]),
+                                   label="reported", exclude=("event_id",))
+        vec = VectorAssembler(inputCols=feats, outputCol=f"_v{i}").transform(vec)
+        total = F.aggregate(_vector_values(f"_v{i}"), F.lit(0.0), lambda a, x: a + x)
+        structs.append(F.struct(F.lit(name).alias("filter_type"), F.col("event_id"),
+                                F.lit(len(feats)).cast("int").alias("n_features"),
+                                r6(total).alias("feature_sum")))
+    return vec.select(F.inline(F.array(*structs)))
+
+
+def _vector_values(col: str) -> Column:
     from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col("features"))
+    return vector_to_array(F.col(col))
 
 
 # ---------------------------------------------------------------------------

@@ -38,14 +38,9 @@ FROM (SELECT CAST(count_if(probs >= {t} AND reported = 1) AS BIGINT) AS tp,
 @register("confusion", f"WITH {EB}\n" + "\nUNION ALL".join(_cm_sql(t) for t in (0.4, 0.55)))
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3/A4: confusion counts and precision/recall/F1 at two thresholds (score >= t)."""
-    s = _scored(spark, sf_dir)
-    out = None
-    for t in (0.4, 0.55):
-        part = ev.score_at(s, "probas", "reported", t).select(
-            F.lit(t).alias("threshold"), "tp", "fp", "fn", "tn",
-            r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cm = ev.confusion_at(_scored(spark, sf_dir), [0.4, 0.55], "probas", "reported")
+    return cm.select("threshold", "tp", "fp", "fn", "tn", r6("precision").alias("precision"),
+                     r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
 @register("confusion_bars", f"""WITH {EB},
