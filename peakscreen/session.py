@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Moment aggregates (Gram matrix, correlations) have one field per feature pair;
+    # keep them in whole-stage codegen (Spark falls back if a method grows too large).
+    "spark.sql.codegen.maxFields": "400",
     # Remove reliable checkpoint files once their DataFrames are garbage collected.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
