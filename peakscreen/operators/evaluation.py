@@ -94,6 +94,16 @@ def score_at(df: DataFrame, score: str = "probas", label: str = "reported",
                      f1_from_counts("tp", "fp", "fn").alias("f1"))
 
 
+def rounded_f1_loss(df: DataFrame, score: str = "probas", label: str = "reported") -> float:
+    """1 - F1 of predictions rounded half-to-even (0.5 -> 0), the tuning loss of the network."""
+    from peakscreen.functions.decisions import round_half_even
+    pred = round_half_even(score) >= 1
+    y = _col(label) == 1
+    r = df.agg(F.count_if(pred & y).alias("tp"), F.count_if(pred & ~y).alias("fp"),
+               F.count_if(~pred & y).alias("fn")).select(f1_from_counts("tp", "fp", "fn")).first()
+    return 1.0 - float(r[0])
+
+
 def confusion_bars(cm: DataFrame) -> DataFrame:
     """Bar-chart data of the confusion plot (A17): per predicted class, correct and incorrect."""
     return cm.select(F.inline(F.array(

@@ -94,3 +94,9 @@ def test_roc_drop_intermediate(scored):
     keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
     got = sorted(round(r["threshold"], 12) for r in ev.roc_points(df, drop_intermediate=True).collect())
     assert got == sorted(round(float(t), 12) for t in ts[keep])
+
+
+def test_rounded_f1_loss(spark):
+    df = spark.createDataFrame([(0.5, 1), (0.51, 1), (0.2, 0), (0.7, 0)], "probas double, reported int")
+    # 0.5 rounds to 0 (half to even): tp=1, fp=1, fn=1 -> F1 = 0.5
+    assert abs(ev.rounded_f1_loss(df) - 0.5) < 1e-12
