@@ -53,9 +53,16 @@ def header_index(lines: Column, phrase: str = S.HEADER_PHRASE,
 
 
 def header_line_number(content: Column, phrase: str = S.HEADER_PHRASE,
-                       match: str = "contains") -> Column:
-    """0-based line number of the header line, or -1 when there is none."""
-    return header_index(F.split(content, LINE_SPLIT), phrase, match) - 1
+                       match: str = "contains", parity: bool = False) -> Column:
+    """0-based line number of the header line, or -1 when there is none.
+
+    ``parity=True`` returns the historical value, line number minus one (so a
+    header on line 0 and a missing header both give -1).
+    """
+    pos = header_index(F.split(content, LINE_SPLIT), phrase, match)
+    if parity:
+        return F.when(pos == 0, F.lit(-1)).otherwise(pos - 2)
+    return pos - 1
 
 
 def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,

@@ -128,3 +128,9 @@ def test_row_id_is_stable(spark, tmpdir_path):
     b = ins.with_row_id(ins.read_instrument_dir(spark, tmpdir_path).rows.repartition(3)) \
         .select("row_id").collect()
     assert sorted(r[0] for r in a) == sorted(r[0] for r in b)
+
+
+def test_header_line_number_parity(spark):
+    df = spark.createDataFrame([("a\nb Sample Name x\nc",), ("none",), ("Sample Name\n1",)], "t string")
+    out = [r[0] for r in df.select(ins.header_line_number(F.col("t"), parity=True)).collect()]
+    assert out == [0, -1, -1]
