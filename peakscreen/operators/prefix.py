@@ -46,12 +46,19 @@ def _same(a, b) -> bool:
 
 def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column | str],
                   partition_by: Sequence[str] = (), out: Sequence[str] | None = None,
-                  n_blocks: int | None = None) -> DataFrame:
+                  n_blocks: int | None = None, engine: str = "arrow") -> DataFrame:
     """Append inclusive running sums of ``values`` in ``order`` within ``partition_by``.
 
     ``order`` must make rows unique within a group (add a row id as the last
     key); ties are otherwise broken arbitrarily. Null values count as 0.
+
+    ``engine="arrow"`` adds the offsets in a vectorised pass over each block
+    where it already sits (no second shuffle). ``engine="window"`` stays in the
+    JVM: a window per (block, group) plus a broadcast join of the bounded
+    offset table, at the price of one more shuffle of the data.
     """
+    if engine not in ("arrow", "window"):
+        raise ValueError(f"unknown engine {engine!r}")
     spark = df.sparkSession
     values = list(values)
     out = list(out or [f"{v}_cum" for v in values])
@@ -81,6 +88,8 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
         F.count(F.lit(1)).over(w).alias("_earlier"),
         *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(v) for v in values],
     ).where(F.col("_earlier") > 0).drop("_earlier")
+    if engine == "window":
+        return _window_pass(staged, offs, values, order, parts, out)
     # Bounded: at most one inheriting group per block.
     offsets = {}
     for r in offs.collect():
@@ -140,3 +149,19 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
             yield res
 
     return staged.mapInPandas(per_block, schema)
+
+
+def _window_pass(staged: DataFrame, offs: DataFrame, values: Sequence[str],
+                 order: Sequence[Column | str], parts: Sequence[str],
+                 out: Sequence[str]) -> DataFrame:
+    """JVM-only second level: window per (block, group) + broadcast offsets."""
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    w = Window.partitionBy(_BLK, *parts).orderBy(*order_cols) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    # At most one inheriting group per block: the offset table is bounded by the block count.
+    off = F.broadcast(offs.select(_BLK, *parts, *[F.col(v).alias(f"_off_{v}") for v in values]))
+    joined = staged.join(off, [_BLK, *parts], "left")
+    cols = [c for c in staged.columns if c != _BLK]
+    sums = [(F.coalesce(F.col(f"_off_{v}"), F.lit(0)) + F.sum(F.coalesce(F.col(v), F.lit(0))).over(w))
+            .alias(o) for v, o in zip(values, out)]
+    return joined.select(*cols, *sums)

@@ -45,3 +45,17 @@ def test_aqe_sized_blocks_stay_ordered(spark):
         assert j.count() == 3000 and j.where(F.col("v_cum") != F.col("ref")).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
+
+
+def test_window_engine_matches(spark):
+    rows = [(i, 5 if i % 3 == 0 else i, "hot" if i % 2 else f"g{i % 5}", (i * 37) % 11 - 5)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, t long, grp string, v long")
+    a = running_total(df, ["v"], ["t", "row_id"], ["grp"], n_blocks=5, engine="window")
+    b = running_total(df, ["v"], ["t", "row_id"], ["grp"], n_blocks=5)
+    j = a.select("row_id", F.col("v_cum").alias("x")).join(b.select("row_id", "v_cum"), "row_id")
+    assert j.count() == 600 and j.where(F.col("x") != F.col("v_cum")).count() == 0
+    g = running_total(df, ["v"], ["t", "row_id"], n_blocks=4, engine="window")
+    w2 = Window.orderBy("t", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("ref", F.sum("v").over(w2))
+    assert g.join(ref.select("row_id", "ref"), "row_id").where(F.col("v_cum") != F.col("ref")).count() == 0
