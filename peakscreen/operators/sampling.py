@@ -47,9 +47,24 @@ def _with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn(_H, h).withColumn(_B, F.conv(F.substring(F.col(_H), 1, 4), 16, 10).cast("int"))
 
 
-def _cut_table(staged: DataFrame, cls: str, need: dict) -> DataFrame:
+def hash_histogram(df: DataFrame, cls: str, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their hash bucket, per-class bucket histogram).
+
+    The histogram has at most 65,536 rows per class and is persisted: it gives
+    the class counts and the cut of every class without another scan.
+    """
+    staged = _with_hash(df, id_col, seed)
+    hist = staged.groupBy(cls, _B).count().persist()
+    return staged, hist
+
+
+def counts_from_histogram(hist: DataFrame, cls: str) -> dict:
+    return {r[cls]: int(r["n"]) for r in hist.groupBy(cls).agg(F.sum("count").alias("n")).collect()}
+
+
+def _cut_table(staged: DataFrame, cls: str, need: dict, hist: DataFrame | None = None) -> DataFrame:
     spark = staged.sparkSession
-    hist = staged.groupBy(cls, _B).count()
+    hist = hist if hist is not None else staged.groupBy(cls, _B).count()
     w = Window.partitionBy(cls).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_cum", F.sum("count").over(w))
     need_df = spark.createDataFrame([(k, int(v)) for k, v in need.items()],
@@ -63,15 +78,17 @@ def _cut_table(staged: DataFrame, cls: str, need: dict) -> DataFrame:
 
 
 def mark_first_n(df: DataFrame, cls: str, id_col: str, need: dict, seed: int,
-                 flag: str = "_selected") -> DataFrame:
+                 flag: str = "_selected", staged: DataFrame | None = None,
+                 hist: DataFrame | None = None) -> DataFrame:
     """Flag the first ``need[c]`` rows of each class ``c`` in seeded hash order.
 
     Classes absent from ``need`` get no rows; a need above the class size takes
-    the whole class.
+    the whole class. ``staged``/``hist`` from :func:`hash_histogram` avoid a scan.
     """
-    staged = _with_hash(df, id_col, seed)
+    if staged is None:
+        staged = _with_hash(df, id_col, seed)
     # One row per class in ``need`` (already collected), so the size bound is known.
-    cut = _cut_table(staged, cls, need)
+    cut = _cut_table(staged, cls, need, hist)
     cut = F.broadcast(cut) if len(need) <= 100_000 else cut
     j = staged.join(cut, cls, "left")
     covered = F.col(cls).isin(list(need)) if need else F.lit(False)
@@ -100,10 +117,11 @@ def allocate(counts: dict, n_total: int) -> dict:
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.33,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """Stratified train/test split (M1): ``ceil(test_size * N)`` test rows spread over classes."""
-    counts = class_counts(df, label)
+    staged, hist = hash_histogram(df, label, id_col, seed)
+    counts = counts_from_histogram(hist, label)
     n_test = math.ceil(test_size * sum(counts.values()))
     need = allocate(counts, n_test)
-    m = mark_first_n(df, label, id_col, need, seed)
+    m = mark_first_n(df, label, id_col, need, seed, staged=staged, hist=hist)
     return m.withColumn(out, F.when(F.col("_selected"), "test").otherwise("train")).drop("_selected")
 
 
@@ -119,9 +137,10 @@ def random_split(df: DataFrame, id_col: str, test_size: float = 0.33, seed: int
 
 def under_sample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
     """Every class down to the minority size, without replacement (M3)."""
-    counts = class_counts(df, label)
+    staged, hist = hash_histogram(df, label, id_col, seed)
+    counts = counts_from_histogram(hist, label)
     n_min = min(counts.values())
-    m = mark_first_n(df, label, id_col, {k: n_min for k in counts}, seed)
+    m = mark_first_n(df, label, id_col, {k: n_min for k in counts}, seed, staged=staged, hist=hist)
     return m.where(F.col("_selected")).drop("_selected")
 
 
