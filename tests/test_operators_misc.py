@@ -74,3 +74,16 @@ def test_feature_ranking_parity(spark):
     assert top[0]["negative"] and top[0]["positive_weight"] == 0.0
     par = ev.feature_ranking(spark, names, weights, top=10, parity=True).orderBy("rank").collect()
     assert [r["rank"] for r in par] == list(range(2, 12))     # the strongest feature is skipped
+
+
+def test_feature_set_errors_and_failure_samples(spark):
+    import pytest
+    from peakscreen.operators import quality as qa
+    df = spark.createDataFrame([(1, 2.0, 1), (2, None, 0)], "row_id long, x double, analyte_A int")
+    with pytest.raises(ValueError):
+        fe.filter_cols(df, "bogus")
+    with pytest.raises(KeyError):
+        fe.drop_cols(df, ["nope"])
+    assert fe.filter_cols(df, "no_analyte").columns == ["row_id", "x"]
+    bad = qa.failure_samples(df, qa.not_null("x")).collect()
+    assert bad == [(None,)] or [tuple(r) for r in bad] == [(None,)]
