@@ -358,3 +358,32 @@ def union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = evs.where(F.col("ts") >= cut).select("event_id", "ts", "event_type")
     return ub([first, second])
 
+
+
+@register("random_split", """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS rk
+           FROM labels),
+t AS (SELECT CAST(ceil(CAST(0.33 AS DOUBLE) * count(*)) AS BIGINT) AS n_test FROM labels)
+SELECT doc_id, quality, CASE WHEN rk <= n_test THEN 'test' ELSE 'train' END AS split FROM r, t
+""")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: unstratified 33 % split, the first rows in seeded hash order are test."""
+    lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    return sm.random_split(lab, "doc_id", 0.33, 42)
+
+
+LEARNING_FRACTIONS = (0.4, 0.7, 1.0)
+
+
+@register("learning_subsets", f"""WITH {RANK_SQL}
+SELECT r.doc_id, r.quality,
+       CAST(CASE WHEN r.rk <= ceil(CAST(0.4 AS DOUBLE) * c.n) THEN 0
+                 WHEN r.rk <= ceil(CAST(0.7 AS DOUBLE) * c.n) THEN 1
+                 WHEN r.rk <= ceil(CAST(1.0 AS DOUBLE) * c.n) THEN 2 END AS INTEGER) AS subset
+FROM r JOIN c ON r.quality = c.quality
+""")
+def learning_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: nested per-class training subsets (40 %, 70 %, 100 %) of the learning curve."""
+    lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    return sm.nested_subsets(lab, "quality", "doc_id", LEARNING_FRACTIONS, 42)
