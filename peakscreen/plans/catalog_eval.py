@@ -387,3 +387,27 @@ def learning_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: nested per-class training subsets (40 %, 70 %, 100 %) of the learning curve."""
     lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
     return sm.nested_subsets(lab, "quality", "doc_id", LEARNING_FRACTIONS, 42)
+
+
+@register("single_analyte", """
+SELECT event_id, value, 1 AS event_type_view FROM events WHERE event_type = 'view'
+""")
+def single_analyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one analyte (here one event type) with its constant dummy column."""
+    from peakscreen.operators.features import single_analyte as sa
+    evs = load(spark, sf_dir, "events").select("event_id", "value", "event_type")
+    return sa(evs, "view", col="event_type")
+
+
+@register("rounded_f1_loss", f"""WITH {EB},
+p AS (SELECT reported, round_even(probs, 0) >= 1 AS pred FROM events_batch),
+c AS (SELECT CAST(count_if(pred AND reported = 1) AS DOUBLE) AS tp,
+             CAST(count_if(pred AND reported <> 1) AS DOUBLE) AS fp,
+             CAST(count_if(NOT pred AND reported = 1) AS DOUBLE) AS fn FROM p)
+SELECT round(1.0 - CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS loss
+FROM c
+""")
+def rounded_f1_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 - F1 of scores rounded half to even (a score of exactly 0.5 counts as 0)."""
+    loss = ev.rounded_f1_loss(_scored(spark, sf_dir), "probas", "reported")
+    return spark.createDataFrame([(round(loss, 6),)], "loss double")

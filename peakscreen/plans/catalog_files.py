@@ -59,3 +59,18 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = oc.clean_analyte_names(oc.clean_sample_names(kept, pattern="S[0-9]{2}"))
     return named.select("sample_name", "analyte", F.col(f"`{S.PEAK_AREA}`").alias("area"),
                         F.col(f"`{S.RT}`").alias("rt"), F.col("Score").alias("score"))
+
+
+@register("upload_roundtrip", f"""
+SELECT CASE event_type {_TYPES} ELSE '{EVENT_OTHER_TYPE}' END AS sample_type,
+       CAST(count(*) AS BIGINT) AS n_rows,
+       sum(CAST(user_id AS DOUBLE)) AS area_sum
+FROM events GROUP BY 1
+""")
+def upload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upload reader (header must start its line, numbers strict) on written exports."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/uploads-{uuid.uuid4().hex}"
+    write_event_exports(spark, sf_dir, base)
+    parsed = ins.read_upload(spark, base, ROUNDTRIP_COLUMNS)
+    return parsed.rows.groupBy(F.col(f"`{S.SAMPLE_TYPE}`").alias("sample_type")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(f"`{S.PEAK_AREA}`")).alias("area_sum"))
