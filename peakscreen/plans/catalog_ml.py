@@ -243,6 +243,41 @@ FROM d GROUP BY day, bucket
 """
 
 
+def _ranking_sql() -> str:
+    feats = CONTINUOUS + [f"analyte_{t}" for t in PART_TYPES]
+    onehot = ", ".join(f"CASE WHEN p.p_type = '{t}' THEN 1 ELSE 0 END AS analyte_{t}" for t in PART_TYPES)
+    w = "\n  UNION ALL ".join(f"SELECT '{f}' AS feature, corr({f}, reported) AS weight FROM f" for f in feats)
+    return f"""
+WITH f AS (
+  SELECT CAST(l.l_quantity AS DOUBLE) AS l_quantity, CAST(l.l_extendedprice AS DOUBLE) AS l_extendedprice,
+         CAST(l.l_discount AS DOUBLE) AS l_discount, CAST(l.l_tax AS DOUBLE) AS l_tax,
+         CAST(p.p_size AS DOUBLE) AS p_size, CAST(p.p_retailprice AS DOUBLE) AS p_retailprice,
+         {onehot},
+         CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS reported
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+w AS (
+  {w}),
+r AS (SELECT feature, weight, row_number() OVER (ORDER BY abs(weight) DESC, feature) AS rank FROM w)
+SELECT CAST(rank AS INTEGER) AS rank, feature, feature AS display_name, round(weight, 6) AS weight,
+       round(CASE WHEN contains(feature, 'analyte_') THEN 0.0 ELSE weight END, 6) AS no_analyte_weight,
+       round(greatest(weight, 0.0), 6) AS positive_weight, weight < 0 AS negative
+FROM r WHERE rank BETWEEN 1 AND 10
+"""
+
+
+@register("correlation_ranking", _ranking_sql())
+def correlation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features ranked by |correlation with the label| (one aggregate), top 10."""
+    feats = lineitem_features(spark, sf_dir)
+    names = feature_names(feats)
+    row = feats.agg(*[F.corr(F.col(n).cast("double"), F.col("reported").cast("double")).alias(n)
+                      for n in names]).first()
+    ranked = ev.feature_ranking(spark, names, [row[n] for n in names], top=10)
+    return ranked.select("rank", "feature", "display_name", r6("weight").alias("weight"),
+                         r6("no_analyte_weight").alias("no_analyte_weight"),
+                         r6("positive_weight").alias("positive_weight"), "negative")
+
+
 @register("stream_batches", _stream_sql())
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as export files, scored by a file stream batch by batch."""
