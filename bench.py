@@ -27,6 +27,8 @@ HEADLINE = [
     "threshold_sweep", "class_report", "roc_points", "profit_curve", "score_histogram",
     "corr_matrix", "vif", "standardize", "stratified_split", "under_sample", "folds",
     "over_sample", "expectations", "union_batches", "export_roundtrip", "lasso_path", "smote",
+    "random_split", "learning_subsets", "single_analyte", "rounded_f1_loss", "upload_roundtrip",
+    "correlation_ranking",
 ]
 
 

@@ -102,22 +102,6 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
                     F.lit("header on the first line"))
               .when(F.size("_missing") > 0,
                     F.concat(F.lit("missing columns: "), F.array_join("_missing", ", "))))
-    if strict_numeric:
-        idx = {c: i for i, c in enumerate(cols)}
-
-        def bad_line(l: Column) -> Column:
-            fields = F.split(l, delimiter, -1)
-            checks = []
-            for c in strict_numeric:
-                v = F.trim(F.try_element_at(fields, F.col(f"_p{idx[c]}")))
-                checks.append(F.coalesce(~v.rlike(S.NUMERIC_PATTERN), F.lit(True)))
-            any_bad = checks[0]
-            for ch in checks[1:]:
-                any_bad = any_bad | ch
-            return (F.trim(l) != "") & any_bad
-
-        reason = reason.when(F.exists(data_lines, bad_line),
-                             F.lit("non-numeric value in a numeric column"))
     staged = staged.withColumn("_reason", reason)
 
     rejected = staged.where(F.col("_reason").isNotNull()).select(
@@ -139,7 +123,23 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
         else:
             val = raw
         out.append(val.alias(c))
+    if strict_numeric:
+        # One flag per line, in generated code; the bad-file list is partially
+        # aggregated (about one row per file) and removed with an anti join.
+        idx = {c: i for i, c in enumerate(cols)}
+        bad = None
+        for c in strict_numeric:
+            v = F.trim(F.try_element_at(fields, F.col(f"_p{idx[c]}")))
+            b = F.coalesce(~v.rlike(S.NUMERIC_PATTERN), F.lit(True))
+            bad = b if bad is None else bad | b
+        out.append(bad.alias("_bad"))
     rows = exploded.select(*out)
+    if strict_numeric:
+        from peakscreen.operators.joins import broadcast_if_small
+        bad_files = rows.where(F.col("_bad")).select("source_file").distinct()
+        rejected = rejected.unionByName(bad_files.select(
+            "source_file", F.lit("non-numeric value in a numeric column").alias("reason")))
+        rows = rows.join(broadcast_if_small(bad_files), "source_file", "left_anti").drop("_bad")
     return ParsedFiles(rows, rejected)
 
 
