@@ -153,27 +153,41 @@ def choose_threshold(scored: DataFrame, label: str = "reported", score_col: str
     return float(best["threshold"])
 
 
+def _parallel(fn, items, parallelism: int):
+    """Run independent Spark jobs from a few driver threads (as CrossValidator does)."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def compare_models(kinds: Sequence[str], train: DataFrame, valid: DataFrame, test: DataFrame,
                    features: Sequence[str], label: str = "reported",
-                   parity: bool = False) -> tuple[DataFrame, list[FittedModel]]:
+                   parity: bool = False, parallelism: int = 1) -> tuple[DataFrame, list[FittedModel]]:
     """Fit each model, pick its threshold and report test F1.
 
     The threshold is chosen on ``valid``; ``parity=True`` chooses it on the test
     set, as the historical comparison did, and rounds F1 to two digits.
     """
     spark = train.sparkSession
-    rows, fitted = [], []
-    for kind in kinds:
+
+    def one(kind):
         fm = fit_model(train, features, kind, label)
         pick_on = test if parity else valid
         fm.threshold = choose_threshold(score(fm, pick_on), label)
         s = score(fm, test).cache()
         r = ev.score_at(s, "probas", label, fm.threshold).first()
         f1 = round(r["f1"], 2) if parity else r["f1"]
-        rows.append((kind, fm.threshold, float(f1), int(r["tp"]), int(r["fp"]), int(r["fn"]),
-                     int(r["tn"]), float(ev.roc_auc(s, "probas", label))))
+        row = (kind, fm.threshold, float(f1), int(r["tp"]), int(r["fp"]), int(r["fn"]),
+               int(r["tn"]), float(ev.roc_auc(s, "probas", label)))
         s.unpersist()
-        fitted.append(fm)
+        return row, fm
+
+    results = _parallel(one, kinds, parallelism)
+    rows = [r for r, _ in results]
+    fitted = [fm for _, fm in results]
     df = spark.createDataFrame(rows, "model string, threshold double, f1 double, tp long, fp long, "
                                      "fn long, tn long, auc double")
     return df, fitted
@@ -181,14 +195,18 @@ def compare_models(kinds: Sequence[str], train: DataFrame, valid: DataFrame, tes
 
 def profit_by_sampling(methods: dict[str, DataFrame], test: DataFrame, features: Sequence[str],
                        kind: str = "gbt", label: str = "reported",
-                       cost=(0.0, 0.0, -1.0, 0.5), extra_negatives: int = 27445) -> DataFrame:
+                       cost=(0.0, 0.0, -1.0, 0.5), extra_negatives: int = 27445,
+                       parallelism: int = 1) -> DataFrame:
     """Profit curves of one model family trained on differently rebalanced data."""
     tot = test.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
-    curves = []
-    for name, train in methods.items():
+
+    def one(item):
+        name, train = item
         fm = fit_model(train, features, kind, label)
         roc = ev.roc_points(score(fm, test), "probas", label)
-        curves.append((name, ev.profit_curve(roc, int(tot["p"]), int(tot["n"]), cost, extra_negatives)))
+        return name, ev.profit_curve(roc, int(tot["p"]), int(tot["n"]), cost, extra_negatives)
+
+    curves = _parallel(one, methods.items(), parallelism)
     return ev.stack_curves(curves, "sampling")
 
 
