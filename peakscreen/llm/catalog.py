@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakscreen.llm import mixing, sharding, simhash_dedup
+from peakscreen.llm import decontam, mixing, sharding, simhash_dedup, toxicity
 from peakscreen.llm.common import table
 from peakscreen.session import ensure_checkpoint_dir
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return simhash_dedup.dedup_table(table(spark, sf_dir, "documents"))
@@ -21,17 +26,25 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return decontam.decontam_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_simhash": op5_simhash,
     "op7_mix_sources": op7_mix_sources,
+    "op9_winnowing": op9_winnowing,
     "op10_hash_tree": op10_hash_tree,
 }
 
 SQL: dict[str, str] = {
     "op7_mix_sources": mixing.MIX_SQL,
+    "op9_winnowing": decontam.DECONTAM_SQL,
 }
