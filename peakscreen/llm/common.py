@@ -41,7 +41,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
+    """Lower-case A-Z only. Texts without other letters take ``lower``, which is far cheaper."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, UPPER, UPPER.lower()))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
