@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakscreen.llm import decontam, mixing, sharding, simhash_dedup, toxicity
-from peakscreen.llm.common import table
+from peakscreen.llm import decontam, mixing, quality_rules, sharding, simhash_dedup, token_store, toxicity
+from peakscreen.llm.common import shared_path, table
 from peakscreen.session import ensure_checkpoint_dir
 
 
+def tokenizer_file(name: str) -> str:
+    """Content of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return quality_rules.quality_table(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return simhash_dedup.dedup_table(table(spark, sf_dir, "documents"))
@@ -26,6 +39,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = shared_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return token_store.read_documents(spark, path)
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return decontam.decontam_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,13 +58,16 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
     "op5_simhash": op5_simhash,
     "op7_mix_sources": op7_mix_sources,
+    "op8_token_store": op8_token_store,
     "op9_winnowing": op9_winnowing,
     "op10_hash_tree": op10_hash_tree,
 }
 
 SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.QUALITY_SQL,
     "op7_mix_sources": mixing.MIX_SQL,
     "op9_winnowing": decontam.DECONTAM_SQL,
 }
