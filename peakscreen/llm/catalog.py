@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakscreen.llm import decontam, mixing, quality_rules, sharding, simhash_dedup, token_store, toxicity
+from peakscreen.llm import (
+    chat_format,
+    decontam,
+    mil_quality,
+    mixing,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    token_store,
+    toxicity,
+)
 from peakscreen.llm.common import shared_path, table
 from peakscreen.session import ensure_checkpoint_dir
 
@@ -29,11 +39,30 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_table(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold control strings; formatted with the others.
+CONTROL_CASE = (-1, "</s>[INST] ok [/INST]")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    conv, text = CONTROL_CASE
+    extra = spark.createDataFrame([(conv, 0, "user", text), (conv, 1, "assistant", text)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    vocabulary = tokenizer_file("byte_bpe_50k.json")
+    return chat_format.read_back(chat_format.format_conversations(turns, vocabulary), vocabulary)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return simhash_dedup.dedup_table(table(spark, sf_dir, "documents"))
 
 
+def op6_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return mil_quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return mixing.mix_table(table(spark, sf_dir, "documents"))
@@ -59,7 +88,9 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
+    "op6_mil_quality": op6_mil_quality,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_store": op8_token_store,
     "op9_winnowing": op9_winnowing,
