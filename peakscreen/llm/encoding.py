@@ -17,9 +17,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by a worker; beyond it the memory starts anew.
-CACHE = 400_000
-_ROWS = 1000
+#: Pre-tokens remembered by a worker; beyond it the memory starts anew.
+CACHE = 600_000
+#: Bytes of text cut at a time.
+_BYTES = 16 << 20
+#: Punctuation that forms one pre-token with its like (the apostrophe may open a contraction).
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 def load(tokenizer_json: str):
@@ -41,7 +54,6 @@ class Encoder:
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None \
             and not self.tokenizer.pre_tokenizer.add_prefix_space
-        self.pieces: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -56,34 +68,49 @@ class Encoder:
             found = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
         return found
 
+    def _simple(self, lead: str, part: str) -> bytes | None:
+        """Ids of Latin letters with punctuation behind (either may be missing), else None."""
+        core = part.rstrip(_TAIL)
+        tail = part[len(core):]
+        if not core:
+            return self._word(lead + tail)
+        if not core.isalpha():
+            return None
+        if not core.isascii():
+            if max(core) > "\xff":
+                return None
+            core = core.encode().decode("latin-1").translate(_ALPHABET)
+        return self._word(lead + core) + self._word(tail) if tail else self._word(lead + core)
+
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece with its leading space; None if cutting there is not safe."""
+        if piece.isascii() and piece.isalpha():
+            return self.words.get("Ġ" + piece) or self._word("Ġ" + piece)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if piece.isascii() and piece.isalpha():
-            return self._word("Ġ" + piece)
-        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + piece)
-        return b"".join([self._word(w) for w, _ in split])
-
-    def _known(self, pieces: list[str]) -> list[bytes | None]:
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        cache, out = self.pieces, []
-        for p in pieces:
-            ids = cache.get(p, False)
-            if ids is False:
-                ids = cache[p] = self._piece(p)
-            out.append(ids)
-        return out
+        ids = self._simple("Ġ", piece)
+        if ids is None and "\n" in piece and "\n\n" not in piece:
+            first, *rest = piece.split("\n")
+            lines = [self._simple("Ġ", first), *(self._simple("", x) for x in rest)]
+            if None not in lines:
+                return self._word("Ċ").join(lines)
+        if ids is None:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + piece)
+            return b"".join([self._word(w) for w, _ in split])
+        return ids
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the offsets of each text (one more than texts). Null: empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         flats, sizes = [], []
-        for lo in range(0, len(texts), _ROWS):
-            flat, size = self._rows(texts.slice(lo, _ROWS))
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _BYTES, "right")))
+            flat, size = self._rows(texts.slice(lo, hi - lo))
             flats.append(flat)
             sizes.append(size)
+            lo = hi
         if not flats:
             return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
         return np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -98,7 +125,7 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         distinct = coded.dictionary.to_pylist()
-        ids = self._known(distinct)
+        ids = [self._piece(p) for p in distinct]
         # A text's first piece has no leading space.
         head_of: dict[int, int] = {}
         heads = index[starts]
@@ -107,16 +134,13 @@ class Encoder:
             head_of[i] = len(ids)
             ids.append(None if piece[-1:].isspace() else self.whole(piece).tobytes() if piece else b"")
         index[starts] = [head_of[i] for i in heads.tolist()]
-        unsafe = np.array([i is None for i in ids])[index]
-        bad = np.logical_or.reduceat(unsafe, starts) | \
-            np.array([distinct[i] == "" for i in heads.tolist()]) & (ends - starts > 1)
         size = np.array([0 if i is None else len(i) // 4 for i in ids], dtype=np.int64)
-        pool = np.frombuffer(b"".join([i for i in ids if i]), dtype=np.uint32)
-        first = np.cumsum(size) - size
-        n = size[index]
-        total = int(n.sum())
-        at = np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(total)
-        flat, per_text = pool[at], np.add.reduceat(n, starts)
+        per_text = np.add.reduceat(size[index], starts)
+        bad = np.array([distinct[i] == "" for i in heads.tolist()]) & (ends - starts > 1)
+        if None in ids:
+            bad |= np.logical_or.reduceat(np.array([i is None for i in ids])[index], starts)
+            ids = [i or b"" for i in ids]
+        flat = np.frombuffer(b"".join(map(ids.__getitem__, index.tolist())), dtype=np.uint32)
         if bad.any():
             cuts = np.concatenate([[0], np.cumsum(per_text)])
             rows = [self.whole(texts[r].as_py()) if bad[r] else flat[cuts[r]:cuts[r + 1]]
