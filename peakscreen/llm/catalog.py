@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from peakscreen.llm import (
     chat_format,
     decontam,
+    line_dedup,
     mil_quality,
     mixing,
     quality_rules,
@@ -39,6 +40,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_table(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold control strings; formatted with the others.
 CONTROL_CASE = (-1, "</s>[INST] ok [/INST]")
 
@@ -88,6 +94,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
     "op6_mil_quality": op6_mil_quality,

@@ -95,7 +95,8 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
     Output rows ``u, v, choice, part, tile``: edges have tile -1; the members of
     a run that was cut into tiles pass through with their tile number.
     """
-    small: list[np.ndarray] = []
+    small: list[np.ndarray] = []     # runs of 2 to 64, end to end
+    small_sizes: list[np.ndarray] = []
     held: list[np.ndarray] = []      # of the open run, below one tile
     open_key, tile_no = None, 0
 
@@ -111,9 +112,9 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
         return rows(fps[a], fps[b])
 
     def flush():
-        fps = np.concatenate(small)
-        starts = np.cumsum([0] + [len(s) for s in small[:-1]])
-        small.clear()
+        fps, sizes = np.concatenate(small), np.concatenate(small_sizes)
+        starts = np.cumsum(sizes) - sizes
+        small.clear(), small_sizes.clear()
         return edges(fps, *bitslice.link_small(fps, starts, radius))
 
     def close(last: bool):
@@ -129,8 +130,7 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
                 tile_no += 1
         elif len(fps) > 1:
             small.append(fps)
-            if len(small) >= 4096:
-                yield flush()
+            small_sizes.append(np.array([len(fps)]))
 
     for b in batches:
         if not b.num_rows:
@@ -142,7 +142,16 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
         firsts = np.flatnonzero(change)
-        for lo, hi in zip(firsts, [*firsts[1:], len(fps)]):
+        sizes = np.diff(np.append(firsts, len(fps)))
+        # Runs inside the batch are whole: those of up to 64 are set aside together, single rows dropped.
+        inner = np.ones(len(firsts), dtype=bool)
+        inner[[0, -1]] = False
+        together = inner & (sizes > 1) & (sizes <= 64)
+        if together.any():
+            small.append(fps[np.repeat(together, sizes)])
+            small_sizes.append(sizes[together])
+        for r in np.flatnonzero(~inner | (sizes > 64)).tolist():
+            lo, hi = int(firsts[r]), int(firsts[r] + sizes[r])
             k = tuple(int(c[lo]) for c in cols)
             if k != open_key:
                 if open_key is not None:
@@ -152,6 +161,8 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
                 held.append(fps[at:min(hi, at + tile)])
                 if sum(map(len, held)) >= tile:
                     yield from close(False)
+        if sum(map(len, small)) >= 1 << 16:
+            yield flush()
     if open_key is not None:
         yield from close(True)
     if small:
