@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from peakscreen.llm.common import map_arrow
 
 WORD = re.compile(r"[^\W\d_]+")
-UNIT_BITS, LEVELS = 20, 8
-SIZE = LEVELS << UNIT_BITS
+#: Feature numbers fill 31 bits, so that unrelated words hardly ever share one.
+UNIT_BITS, LEVELS = 28, 8
 PREFIXES = (4, 5, 6, 7)
 #: Bound on the labelled rows of a fit.
-MAX_TRAIN_ROWS = 10_000
+MAX_TRAIN_ROWS = 6_000
 #: Penalty as a share of the smallest one that leaves no feature in the model.
 L1_SHARE = 0.15
 #: Ridge of the refit, as the weight of prior rows.
@@ -186,6 +186,13 @@ def _proximal(x: np.ndarray, y: np.ndarray, t: np.ndarray, l1: float, l2: np.nda
     return both[:k], both[k:]
 
 
+def _columns(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct feature numbers, column of every entry, row of every entry)."""
+    names, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    sizes = np.array([len(r) for r in rows])
+    return names, flat.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Fit the model to rows given as distinct feature numbers and grades 0 ... n_grades - 1."""
     y = np.asarray(grades, dtype=np.int64)
@@ -194,25 +201,25 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Or
         return OrdinalModel(np.where(np.arange(1, n_grades) <= g, -20.0, 20.0))
     t = _start(y, n_grades)
     g_eta, _, _ = _gradients(np.zeros(len(y)), y, t)
-    flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(y)), [len(f) for f in rows])
-    score = np.abs(np.bincount(flat, weights=g_eta[row], minlength=SIZE))
-    if score.max() <= 0:
+    names, flat, row = _columns(rows)
+    if not len(names):
         return OrdinalModel(t)
+    score = np.abs(np.bincount(flat, weights=g_eta[row], minlength=len(names)))
     l1 = L1_SHARE * score.max()
     kept = np.flatnonzero(score > 0.5 * l1)
-    column = np.full(SIZE, -1)
+    column = np.full(len(names), -1, dtype=np.int32)
     column[kept] = np.arange(len(kept))
-    x = np.zeros((len(y), len(kept)))
     inside = column[flat] >= 0
+    x = np.zeros((len(y), len(kept)))
     x[row[inside], column[flat[inside]]] = 1.0
+    del flat, row, inside
     w, t1 = _proximal(x, y, t, l1, 0.0, np.zeros(len(kept)), 300)
     chosen = np.flatnonzero(w)
     # Columns scaled to one second moment: rare words converge as fast as frequent ones.
     x = x[:, chosen]
     scale = np.sqrt((x * x).mean(axis=0))
     w, t1 = _proximal(x / scale, y, t1, 0.0, RIDGE / len(y) / scale ** 2, w[chosen] * scale, 1000)
-    return OrdinalModel(t1, {int(kept[c]): float(v) for c, v in zip(chosen, w / scale)})
+    return OrdinalModel(t1, {int(names[kept[c]]): float(v) for c, v in zip(chosen, w / scale)})
 
 
 def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -220,10 +227,9 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     toxic = np.asarray(toxic, dtype=np.int64)
     if not toxic.any():
         return toxic
-    flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(toxic)), [len(f) for f in rows])
-    seen = np.bincount(flat, minlength=SIZE)
-    bad = np.bincount(flat, weights=toxic[row], minlength=SIZE)
+    names, flat, row = _columns(rows)
+    seen = np.bincount(flat, minlength=len(names))
+    bad = np.bincount(flat, weights=toxic[row], minlength=len(names))
     marker = bad > np.maximum(5 * toxic.mean() * seen, 0.02 * toxic.sum())
     held = np.bincount(row, weights=marker[flat], minlength=len(toxic))
     return np.where(toxic == 1, 1 + (held >= max(1.0, np.median(held[toxic == 1]))), 0)
