@@ -3,7 +3,7 @@
 1. Lines are normalised (lower case, digit runs to 0, other runs of non-letters to one space).
 2. Equal normalised lines collapse by a 128-bit hash: a line that occurs in a third
    of all documents is one row from here on.
-3. Each distinct line gets a SimHash of its words; lines whose SimHashes differ in at
+3. Each distinct line gets a SimHash of its distinct words; lines whose SimHashes differ in at
    most ``RADIUS`` bits meet by pigeonhole blocks (:func:`simhash_dedup.links`),
    which gives the sets of lines that can be linked at all.
 4. Within a set, lines in the radius are verified: edit similarity 1 - distance / longer
@@ -22,7 +22,6 @@ occurrences; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,39 +40,58 @@ from peakscreen.session import ship_package
 RADIUS, BLOCKS = 3, 5
 SIMILARITY = 0.8
 TILE = 4096
-_DIGITS = re.compile(r"\d+")
-_GAPS = re.compile(r"[\W_]+")
-#: Words whose hash bits are counted at a time.
-_WORDS = 1 << 18
+#: Words whose hash bits are counted at a time; at most 255 fit into an 8-bit counter.
+_WORDS, _COUNTER = 1 << 20, 255
+#: Bit j of a byte as the lowest bit of byte j of a word: eight counters side by side.
+_SPREAD = np.array([sum((b >> j & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
+
+
+def normalised(lines: pa.Array) -> pa.Array:
+    """Lower case, digit runs to 0, other runs of non-letters to one space, trimmed; line feeds stay."""
+    low = pc.utf8_lower(lines.cast(pa.large_string()))
+    low = pc.replace_substring_regex(pc.replace_substring_regex(low, r"\p{N}+", "0"), r"[^\p{L}0\n]+", " ")
+    return pc.utf8_trim(low, " ")
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    return normalised(pc.fill_null(texts, ""))
 
 
 def normalise(line: str) -> str:
-    if not line.isascii() or not line.isalpha():
-        line = _GAPS.sub(" ", _DIGITS.sub("0", line.lower()))
-    return line.lower().strip()
+    return normalised(pa.array([line]))[0].as_py()
+
 
+def simhashes(lines: pa.Array) -> np.ndarray:
+    """SimHash (signed 64 bits) of the distinct words of each normalised, non-empty line.
 
-def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash (signed 64 bits) of each normalised, non-empty line's words."""
-    if not lines:
+    Eight bit counters share a machine word, so a word's 64 bits are added in eight additions.
+    """
+    if not len(lines):
         return np.zeros(0, dtype=np.int64)
-    cut = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
-    starts = cut.offsets.to_numpy()
+    cut = pc.split_pattern(lines.cast(pa.large_string()), " ")
+    ends = np.diff(cut.offsets.to_numpy())
     coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
     digest = xxhash.xxh64_intdigest
-    table = np.array([digest(w, 1) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-    hashes = table[coded.indices.to_numpy()]
-    counts = np.zeros((len(lines), 64), dtype=np.int32)
-    line = 0
-    while line < len(lines):
-        stop = max(line + 1, int(np.searchsorted(starts, starts[line] + _WORDS, "right")) - 1)
-        part = hashes[starts[line]:starts[stop]]
-        for lo in range(0, len(part), 16 * _WORDS):       # one very long line
-            bits = np.unpackbits(part[lo:lo + 16 * _WORDS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            at = starts[line:stop] - starts[line] if stop > line + 1 else np.zeros(1, dtype=np.int64)
-            counts[line:stop] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        line = stop
-    majority = counts * 2 > np.diff(starts)[:, None]
+    spread = _SPREAD[np.array([digest(w, 1) for w in words], dtype=np.uint64).view(np.uint8)].reshape(-1, 8)
+    pairs = np.unique(np.repeat(np.arange(len(lines)), ends) * np.int64(len(words)) + coded.indices.to_numpy())
+    line, word = pairs // len(words), pairs % len(words)
+    n = np.bincount(line, minlength=len(lines))
+    first = np.cumsum(n) - n
+    place = np.arange(len(pairs)) - np.repeat(first, n)
+    parts = np.flatnonzero(place % _COUNTER == 0)            # a line's words, 255 at a time
+    sums = np.empty((len(parts), 8), dtype=np.uint64)
+    bounds = np.append(parts, len(pairs))
+    at = 0
+    while at < len(parts):
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _WORDS, "right")) - 1)
+        own = spread[word[bounds[at]:bounds[stop]]]
+        sums[at:stop] = np.add.reduceat(own, bounds[at:stop] - bounds[at], axis=0)
+        at = stop
+    counts = sums.view(np.uint8).reshape(-1, 64)
+    if len(parts) > len(lines):
+        counts = np.add.reduceat(counts.astype(np.int64), np.searchsorted(parts, first), axis=0)
+    majority = counts * np.int64(2) > n[:, None] if len(parts) > len(lines) else counts > (n // 2)[:, None]
     return np.packbits(majority, axis=1, bitorder="little").view(np.int64).reshape(-1)
 
 
@@ -114,21 +132,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """``id, text_hash, line, key, fp``: the lines with content (text left behind)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 1000):
-                rows, numbers, normal = [], [], []
-                for r, text in enumerate(texts[lo:lo + 1000], lo):
-                    for i, x in enumerate((text or "").split("\n")):
-                        x = normalise(x)
-                        if x:
-                            rows.append(r)
-                            numbers.append(i)
-                            normal.append(x)
-                at = pa.array(rows, pa.int64())
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                cut = pc.split_pattern(_plain(part.column("text")), "\n")
+                sizes = np.diff(cut.offsets.to_numpy())
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                lines = pc.utf8_trim(cut.flatten(), " ")
+                some = pc.not_equal(lines, "")
+                keep = some.to_numpy(zero_copy_only=False)
+                lines, at = lines.filter(some), pa.array(row[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(at), b.column("text_hash").take(at), pa.array(numbers, pa.int32()),
-                     pa.array([xxhash.xxh3_128_digest(x) for x in normal], pa.binary()),
-                     pa.array(simhashes(normal), pa.int64())], names=["id", "text_hash", "line", "key", "fp"])
+                    [part.column("id").take(at), part.column("text_hash").take(at), pa.array(number[keep], pa.int32()),
+                     pa.array([xxhash.xxh3_128_digest(x) for x in lines.to_pylist()], pa.binary()),
+                     pa.array(simhashes(lines), pa.int64())], names=["id", "text_hash", "line", "key", "fp"])
 
     ship_package(docs.sparkSession)
     return docs.mapInArrow(run, "id long, text_hash long, line int, key binary, fp long")
@@ -189,7 +206,7 @@ def _with_text(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         i = b.schema.get_field_index("text")
-        return b.set_column(i, "text", pa.array([normalise(t) for t in b.column(i).to_pylist()], pa.string()))
+        return b.set_column(i, "text", normalised(b.column(i)).cast(pa.string()))
 
     return map_arrow(rows, batch, rows.schema).drop("line").distinct()
 

@@ -1,6 +1,7 @@
 """Fuzzy line dedup against brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 from peakscreen.llm import line_dedup as ld
 
@@ -34,7 +35,7 @@ def slow(rows, radius, least):
             if n:
                 occ.append(((d is None, d if d is not None else 0), t, i, n))
     keys = sorted({o[3] for o in occ})
-    fps = [int(f) for f in ld.simhashes(keys)]
+    fps = [int(f) for f in ld.simhashes(pa.array(keys))]
     group = list(range(len(keys)))
     changed = True
     while changed:
