@@ -18,7 +18,6 @@ from peakscreen import schema as S
 from peakscreen.functions.decisions import (f1_from_counts, precision_from_counts,
                                             recall_from_counts)
 from peakscreen.functions.names import display_name
-from peakscreen.operators.joins import broadcast_if_small
 from peakscreen.operators.prefix import running_total
 
 
@@ -320,7 +319,7 @@ def score_histogram(df: DataFrame, score: str = "probas", group: str = "analyte"
     stats = stats.select(group, cls,
                          F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
                          F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
-    j = base.join(broadcast_if_small(stats), [group, cls])
+    j = base.join(stats, [group, cls])
     lo, hi = F.col("_lo"), F.col("_hi")
     step = (hi - lo) / F.lit(float(bins))
 

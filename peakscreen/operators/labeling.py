@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from peakscreen.functions.cleaning import fill_zero
 from peakscreen.functions.decisions import error_flags, label_from_result
-from peakscreen.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 
 def merge_reports(peaks: DataFrame, reports: DataFrame,
                   left_keys: Sequence[str] = ("sample_name", "analyte"),
                   right_keys: Sequence[str] = ("SampleCode2", "ComponentName2"),
                   result: str = "Numeric Result", label: str = "reported",
-                  null_safe: bool = True, dedupe: bool = False, fill: bool = True,
-                  broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  null_safe: bool = True, dedupe: bool = False, fill: bool = True) -> DataFrame:
     """Left-join peaks with reported results and derive the 0/1 label.
 
     * Every peak row survives; duplicate report keys multiply rows (as a plain
@@ -25,15 +23,13 @@ def merge_reports(peaks: DataFrame, reports: DataFrame,
       per key, aggregated before the join so the report side shrinks first.
     * ``null_safe`` matches null keys with null keys.
     * ``fill`` zero-fills numeric nulls afterwards, as the labelled table does.
-    * The report side is broadcast only when a bounded count proves it small;
-      otherwise both sides shuffle on the keys and AQE splits skewed keys.
+    * The planner's size estimate and runtime statistics choose between a
+      broadcast and a shuffle of both sides, whose skewed keys AQE splits.
     """
     r = reports.select(*[F.col(f"`{k}`") for k in right_keys], F.col(f"`{result}`").alias("_result"))
     if dedupe:
         r = r.groupBy(*[F.col(f"`{k}`") for k in right_keys]).agg(F.max("_result").alias("_result"))
     r = r.toDF(*[f"_rk{i}" for i in range(len(right_keys))], "_result")
-    if broadcast_rows:
-        r = broadcast_if_small(r, broadcast_rows)
     cond = None
     for i, k in enumerate(left_keys):
         lk, rk = F.col(f"`{k}`"), F.col(f"_rk{i}")

@@ -80,8 +80,12 @@ def vif_values(m: dict, cols: Sequence[str]) -> list[tuple[str, float]]:
     contain a constant (explicit or a complete one-hot set), in which case it
     is centred, as an OLS fit reports R^2 in that case. Near-singular Gram
     matrices use the pseudo-inverse; a perfectly explained column gets inf.
+    Columns are scaled to unit length first, so no column is taken for noise
+    because its unit is small (VIF does not depend on units).
     """
-    g, s, n = m["G"], m["s"], m["n"]
+    length = np.sqrt(np.diag(m["G"]))
+    length = np.where(length > 0, length, 1.0)
+    g, s, n = m["G"] / np.outer(length, length), m["s"] / length, m["n"]
     p = len(cols)
     out = []
     for i in range(p):
@@ -124,8 +128,8 @@ def lasso_coordinate_descent(zz: np.ndarray, zy: np.ndarray, alpha: float, n: in
             delta = max(delta, abs(new - w[j]))
             w[j] = new
         if delta < tol:
-            break
-    return w
+            return w
+    raise RuntimeError(f"coordinate descent did not converge in {max_iter} rounds")
 
 
 def lasso_path(df: DataFrame, features: Sequence[str], target: str,
@@ -138,14 +142,18 @@ def lasso_path(df: DataFrame, features: Sequence[str], target: str,
     """
     feats = list(features)
     alphas = list(alphas if alphas is not None else np.logspace(-6, -1, 50))
-    m = moments(df, feats, target)
-    n = m["n"]
-    mu = m["s"] / n
-    cov = m["G"] - n * np.outer(mu, mu)
-    sd = np.sqrt(np.maximum(np.diag(cov) / n, 0.0))
+    # Covariance aggregates merge without cancellation, unlike sums of products.
+    p = len(feats)
+    x, y = [_c(f).cast("double") for f in feats], _c(target).cast("double")
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               *[F.covar_pop(x[i], x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)],
+               *[F.covar_pop(x[i], y).alias(f"c{i}") for i in range(p)]).first()
+    n = int(r["n"])
+    cov = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)]).reshape(p, p)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     sd_safe = np.where(sd > 0, sd, 1.0)
-    zz = cov / np.outer(sd_safe, sd_safe)
-    zy = (m["c"] - mu * m["sy"]) / sd_safe
+    zz = n * cov / np.outer(sd_safe, sd_safe)
+    zy = n * np.array([r[f"c{i}"] or 0.0 for i in range(p)]) / sd_safe
     w = None
     rows = []
     path = []

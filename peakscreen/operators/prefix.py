@@ -21,44 +21,28 @@ different association than a sequential scan would use.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from peakscreen.session import ensure_checkpoint_dir, ship_package
+from peakscreen.session import ensure_checkpoint_dir
 
 _BLK = "_blk"
 
 
-def _same(a, b) -> bool:
-    if a is None or b is None:
-        return a is None and b is None
-    if isinstance(a, float) and isinstance(b, float) and math.isnan(a) and math.isnan(b):
-        return True
-    return a == b
-
-
 def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column | str],
                   partition_by: Sequence[str] = (), out: Sequence[str] | None = None,
-                  n_blocks: int | None = None, engine: str = "arrow") -> DataFrame:
+                  n_blocks: int | None = None) -> DataFrame:
     """Append inclusive running sums of ``values`` in ``order`` within ``partition_by``.
 
     ``order`` must make rows unique within a group (add a row id as the last
     key); ties are otherwise broken arbitrarily. Null values count as 0.
 
-    ``engine="arrow"`` adds the offsets in a vectorised pass over each block
-    where it already sits (no second shuffle). ``engine="window"`` stays in the
-    JVM: a window per (block, group) plus a broadcast join of the bounded
-    offset table, at the price of one more shuffle of the data.
+    Everything stays in the JVM, so every column keeps its exact type and value:
+    a window per (block, group) plus the offsets of the blocks before.
     """
-    if engine not in ("arrow", "window"):
-        raise ValueError(f"unknown engine {engine!r}")
     spark = df.sparkSession
     values = list(values)
     out = list(out or [f"{v}_cum" for v in values])
@@ -66,7 +50,6 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
     keys = [F.col(p) for p in parts] + [F.col(o) if isinstance(o, str) else o for o in order]
 
     ensure_checkpoint_dir(spark)
-    ship_package(spark)
     # Without an explicit count, AQE sizes the blocks from the map statistics
     # (coalescing adjacent ranges keeps them contiguous and ordered).
     ranged = (df.repartitionByRange(n_blocks, *keys) if n_blocks
@@ -88,67 +71,7 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
         F.count(F.lit(1)).over(w).alias("_earlier"),
         *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(v) for v in values],
     ).where(F.col("_earlier") > 0).drop("_earlier")
-    if engine == "window":
-        return _window_pass(staged, offs, values, order, parts, out)
-    # Bounded: at most one inheriting group per block.
-    offsets = {}
-    for r in offs.collect():
-        offsets[(r[_BLK],) + tuple(r[p] for p in parts)] = [r[v] for v in values]
-
-    src_types = {f.name: f.dataType for f in df.schema.fields}
-    out_types = [T.LongType() if isinstance(src_types[v], T.IntegralType) else T.DoubleType()
-                 for v in values]
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(o, t, True)
-                                                     for o, t in zip(out, out_types)])
-    integral = [isinstance(t, T.LongType) for t in out_types]
-
-    def per_block(batches):
-        prev_key = None
-        carry = None
-        first = True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            blk = int(pdf[_BLK].iloc[0])
-            vals = [pdf[v].fillna(0).to_numpy(dtype=np.int64 if integral[i] else np.float64)
-                    for i, v in enumerate(values)]
-            if parts:
-                key_df = pdf[parts]
-                # Row i starts a new group when its key differs from row i-1.
-                change = np.zeros(len(pdf), dtype=bool)
-                change[0] = True
-                for p in parts:
-                    col = key_df[p]
-                    eq = (col.values[1:] == col.values[:-1]) | (col.isna().values[1:] & col.isna().values[:-1])
-                    change[1:] |= ~eq
-                grp = np.cumsum(change) - 1
-                first_key = tuple(None if pd.isna(x) else x for x in key_df.iloc[0].tolist())
-            else:
-                grp = np.zeros(len(pdf), dtype=np.int64)
-                first_key = ()
-            if first:
-                base = offsets.get((blk,) + first_key)
-                first = False
-            elif prev_key is not None and all(_same(a, b) for a, b in zip(prev_key, first_key)):
-                base = carry
-            else:
-                base = None
-            cums = []
-            for i, arr in enumerate(vals):
-                s = pd.Series(arr).groupby(grp, sort=False).cumsum().to_numpy()
-                if base is not None:
-                    s = s.copy()
-                    s[grp == 0] += base[i]
-                cums.append(s)
-            prev_key = (tuple(None if pd.isna(x) else x for x in pdf[parts].iloc[-1].tolist())
-                        if parts else ())
-            carry = [c[-1] for c in cums]
-            res = pdf.drop(columns=[_BLK])
-            for o, c in zip(out, cums):
-                res[o] = c
-            yield res
-
-    return staged.mapInPandas(per_block, schema)
+    return _window_pass(staged, offs, values, order, parts, out)
 
 
 def _window_pass(staged: DataFrame, offs: DataFrame, values: Sequence[str],
@@ -159,8 +82,12 @@ def _window_pass(staged: DataFrame, offs: DataFrame, values: Sequence[str],
     w = Window.partitionBy(_BLK, *parts).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, 0)
     # At most one inheriting group per block: the offset table is bounded by the block count.
-    off = F.broadcast(offs.select(_BLK, *parts, *[F.col(v).alias(f"_off_{v}") for v in values]))
-    joined = staged.join(off, [_BLK, *parts], "left")
+    off = F.broadcast(offs.select(F.col(_BLK).alias("_oblk"), *[F.col(p).alias(f"_okey{i}") for i, p in enumerate(parts)],
+                                  *[F.col(v).alias(f"_off_{v}") for v in values]))
+    match = F.col(_BLK) == F.col("_oblk")
+    for i, p in enumerate(parts):
+        match = match & staged[p].eqNullSafe(F.col(f"_okey{i}"))
+    joined = staged.join(off, match, "left")
     cols = [c for c in staged.columns if c != _BLK]
     sums = [(F.coalesce(F.col(f"_off_{v}"), F.lit(0)) + F.sum(F.coalesce(F.col(v), F.lit(0))).over(w))
             .alias(o) for v, o in zip(values, out)]

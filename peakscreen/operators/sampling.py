@@ -31,8 +31,8 @@ def hash_order(id_col: str, seed: int) -> Column:
 
 
 def hash_draw(index: Column, salt: str, modulus: Column | int) -> Column:
-    """Deterministic draw in [0, modulus) from an index: first 8 hex digits of md5 mod m."""
-    h = F.conv(F.substring(F.md5(F.concat(index.cast("string"), F.lit(f"|{salt}"))), 1, 8), 16, 10)
+    """Deterministic draw in [0, modulus) from an index: first 15 hex digits (60 bits) of md5 mod m."""
+    h = F.conv(F.substring(F.md5(F.concat(index.cast("string"), F.lit(f"|{salt}"))), 1, 15), 16, 10)
     m = modulus if isinstance(modulus, Column) else F.lit(modulus)
     return F.pmod(h.cast("long"), m.cast("long"))
 

@@ -303,7 +303,7 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 mx AS (SELECT max(n) AS nmax FROM c),
 d0 AS (SELECT quality, n, unnest(range(0, nmax - n)) AS j FROM c, mx WHERE nmax > n),
 d AS (SELECT quality, j AS copy_no,
-             CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|' || CAST(quality AS VARCHAR) || '|42'), 1, 8))
+             CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|' || CAST(quality AS VARCHAR) || '|42'), 1, 15))
                   AS BIGINT) % n + 1 AS rk FROM d0)
 SELECT doc_id, quality, CAST(-1 AS BIGINT) AS copy_no FROM labels
 UNION ALL

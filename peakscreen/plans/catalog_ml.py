@@ -116,9 +116,9 @@ nb AS (SELECT a.vec_id, b.vec_id AS nb_id,
        FROM m a JOIN m b ON a.vec_id <> b.vec_id),
 draws AS (
   SELECT j,
-         CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|base|42'), 1, 8)) AS BIGINT) % n_min + 1 AS rk,
-         CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|nb|42'), 1, 8)) AS BIGINT) % 5 AS nb_rank,
-         CAST(CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|lam|42'), 1, 8)) AS BIGINT) % 1073741824
+         CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|base|42'), 1, 15)) AS BIGINT) % n_min + 1 AS rk,
+         CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|nb|42'), 1, 15)) AS BIGINT) % 5 AS nb_rank,
+         CAST(CAST(('0x' || substr(md5(CAST(j AS VARCHAR) || '|lam|42'), 1, 15)) AS BIGINT) % 1073741824
               AS DOUBLE) / 1073741824.0 AS lam
   FROM (SELECT unnest(range(0, n_max - n_min)) AS j, n_min FROM mc, mx)),
 syn AS (

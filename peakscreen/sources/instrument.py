@@ -130,16 +130,15 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
         bad = None
         for c in strict_numeric:
             v = F.trim(F.try_element_at(fields, F.col(f"_p{idx[c]}")))
-            b = F.coalesce(~v.rlike(S.NUMERIC_PATTERN), F.lit(True))
+            b = F.coalesce(~v.rlike(S.NUMERIC_PATTERN) & (v != ""), F.lit(True))   # a blank is a missing value
             bad = b if bad is None else bad | b
         out.append(bad.alias("_bad"))
     rows = exploded.select(*out)
     if strict_numeric:
-        from peakscreen.operators.joins import broadcast_if_small
         bad_files = rows.where(F.col("_bad")).select("source_file").distinct()
         rejected = rejected.unionByName(bad_files.select(
             "source_file", F.lit("non-numeric value in a numeric column").alias("reason")))
-        rows = rows.join(broadcast_if_small(bad_files), "source_file", "left_anti").drop("_bad")
+        rows = rows.join(bad_files, "source_file", "left_anti").drop("_bad")
     return ParsedFiles(rows, rejected)
 
 

@@ -1,6 +1,7 @@
 """One-pass Gram algebra against per-column regressions and a direct lasso solver."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from peakscreen.operators import linalg as la
@@ -78,3 +79,22 @@ def test_lasso_path_matches_direct_solver(spark):
             assert abs(got[f] - w[j]) < 1e-5
     assert {r["rank"] for r in path} == {1, 2, 3, 4}
     assert any(r["highlight"] for r in path) and F is not None
+
+
+def test_vif_and_lasso_on_mixed_scales(spark):
+    """Columns of scale 1e7, 0.1 and 1e-3 with a collinear pair; a mean far above the deviation."""
+    from peakscreen.operators import linalg
+
+    rng = np.random.default_rng(0)
+    area, width = rng.normal(1e7, 2e6, 400), rng.normal(0.1, 0.02, 400)
+    twin, tiny = width + rng.normal(0, 2e-4, 400), rng.normal(1e-3, 1e-4, 400)
+    x = np.column_stack([area, width, twin, tiny])
+    df = spark.createDataFrame([(*map(float, r), float(1e8 + i % 3)) for i, r in enumerate(x)], "a double, w double, t double, s double, far double")
+    got = {r["feature"]: r["vif"] for r in linalg.vif(df, ["a", "w", "t", "s"]).collect()}
+    for j, c in enumerate("awts"):
+        others = np.delete(x, j, axis=1)
+        scaled = others / np.linalg.norm(others, axis=0)
+        rest = x[:, j] - scaled @ np.linalg.lstsq(scaled, x[:, j], rcond=None)[0]
+        assert got[c] == pytest.approx((x[:, j] ** 2).sum() / (rest ** 2).sum(), rel=1e-4)
+    path = linalg.lasso_path(df, ["far", "w"], "s", alphas=[1e-9]).collect()
+    assert all(np.isfinite(r["coef"]) for r in path)

@@ -51,11 +51,21 @@ def test_window_engine_matches(spark):
     rows = [(i, 5 if i % 3 == 0 else i, "hot" if i % 2 else f"g{i % 5}", (i * 37) % 11 - 5)
             for i in range(600)]
     df = spark.createDataFrame(rows, "row_id long, t long, grp string, v long")
-    a = running_total(df, ["v"], ["t", "row_id"], ["grp"], n_blocks=5, engine="window")
+    a = running_total(df, ["v"], ["t", "row_id"], ["grp"], n_blocks=5)
     b = running_total(df, ["v"], ["t", "row_id"], ["grp"], n_blocks=5)
     j = a.select("row_id", F.col("v_cum").alias("x")).join(b.select("row_id", "v_cum"), "row_id")
     assert j.count() == 600 and j.where(F.col("x") != F.col("v_cum")).count() == 0
-    g = running_total(df, ["v"], ["t", "row_id"], n_blocks=4, engine="window")
+    g = running_total(df, ["v"], ["t", "row_id"], n_blocks=4)
     w2 = Window.orderBy("t", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("ref", F.sum("v").over(w2))
     assert g.join(ref.select("row_id", "ref"), "row_id").where(F.col("v_cum") != F.col("ref")).count() == 0
+
+
+def test_exact_longs_null_groups_and_late_timestamps(spark):
+    """Nullable longs above 2^53, null groups and years beyond nanosecond range keep their values."""
+    big = 9007199254740993
+    df = spark.sql(f"""SELECT * FROM VALUES (1, {big}L, NULL, timestamp'3000-01-01'), (2, NULL, NULL, timestamp'3000-01-02'),
+        (3, {big + 2}L, NULL, timestamp'3000-01-03'), (4, 5L, 'a', timestamp'2020-01-01') AS t(id, v, grp, ts)""")
+    out = {r["id"]: r for r in running_total(df, ["v"], ["ts", "id"], ["grp"], n_blocks=3).collect()}
+    assert [out[i]["v_cum"] for i in (1, 2, 3, 4)] == [big, big, 2 * big + 2, 5]
+    assert [out[i]["v"] for i in (1, 2, 3)] == [big, None, big + 2] and out[3]["ts"].year == 3000
