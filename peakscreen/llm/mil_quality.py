@@ -98,8 +98,8 @@ class Featurizer:
         n = per(np.ones(len(ids)))
         chars, lower, upper, digit, alpha = (per(info[:, k]) for k in range(5))
         some, letters = np.maximum(n, 1), np.maximum(chars, 1)
-        pairs = np.unique(passage * np.int64(1 << 32) + ids)
-        distinct = np.bincount(pairs >> 32, minlength=total)
+        pairs = np.sort(passage * np.int64(1 << 32) + ids)
+        distinct = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] >> 32, minlength=total)
         repeated = np.zeros(total)
         if len(ids) > 1:
             same = (ids[1:] == ids[:-1]) & (passage[1:] == passage[:-1])
