@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakscreen.llm.common import map_arrow
+from peakscreen.llm.common import map_arrow, staged
 from peakscreen.llm.encoding import encoder
 from peakscreen.session import ship_package
 
@@ -138,7 +138,8 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
         Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", "seg", inside.alias("_in")).join(parts, "part").select(
         "part", "seg", (F.col("_in") + F.col("_part")).alias("start"))
-    return segs.join(starts, ["part", "seg"])
+    # Written first: the planner then sees how small it is and leaves the payloads in place.
+    return segs.join(staged(starts, "token-starts"), ["part", "seg"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
