@@ -74,7 +74,9 @@ def simhashes(lines: pa.Array) -> np.ndarray:
     words = coded.dictionary.to_pylist()
     digest = xxhash.xxh64_intdigest
     spread = _SPREAD[np.array([digest(w, 1) for w in words], dtype=np.uint64).view(np.uint8)].reshape(-1, 8)
-    pairs = np.unique(np.repeat(np.arange(len(lines)), ends) * np.int64(len(words)) + coded.indices.to_numpy())
+    pairs = np.repeat(np.arange(len(lines)), ends) * np.int64(len(words)) + coded.indices.to_numpy()
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
     line, word = pairs // len(words), pairs % len(words)
     n = np.bincount(line, minlength=len(lines))
     first = np.cumsum(n) - n
