@@ -143,11 +143,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lines = pc.utf8_trim(cut.flatten(), " ")
                 some = pc.not_equal(lines, "")
                 keep = some.to_numpy(zero_copy_only=False)
-                lines, at = lines.filter(some), pa.array(row[keep])
+                # Lines repeated within the part are hashed once.
+                coded, at = lines.filter(some).dictionary_encode(), pa.array(row[keep])
+                keys = pa.array([xxhash.xxh3_128_digest(x) for x in coded.dictionary.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(at), part.column("text_hash").take(at), pa.array(number[keep], pa.int32()),
-                     pa.array([xxhash.xxh3_128_digest(x) for x in lines.to_pylist()], pa.binary()),
-                     pa.array(simhashes(lines), pa.int64())], names=["id", "text_hash", "line", "key", "fp"])
+                     keys.take(coded.indices), pa.array(simhashes(coded.dictionary), pa.int64()).take(coded.indices)],
+                    names=["id", "text_hash", "line", "key", "fp"])
 
     ship_package(docs.sparkSession)
     return docs.mapInArrow(run, "id long, text_hash long, line int, key binary, fp long")
@@ -220,9 +222,11 @@ def line_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, lea
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line")
     distinct = staged(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
                                                F.first("fp").alias("fp")), "lines-distinct")
-    by_fp = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    by_fp = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "lines-fingerprints")
     comp = connected_components(links(by_fp.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
-    shared = by_fp.join(comp, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"))
+    # Other fingerprints stand for one line without a link.
+    shared = staged(by_fp.join(comp, "fp", "left").where("n > 1 OR component IS NOT NULL").select(
+        "fp", "n", F.coalesce("component", "fp").alias("component")), "lines-shared")
     sizes = shared.groupBy("component").agg(F.sum("n").alias("size")).where("size > 1")
     several = staged(shared.join(sizes, "component").select(
         "fp", "component", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "lines-sets")

@@ -90,9 +90,9 @@ def _masks(radius: int, blocks: int) -> list[int]:
 
 def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key: list[str]
                  ) -> Iterator[pa.RecordBatch]:
-    """Star edges of the runs of equal keys in batches sorted by key and fingerprint.
+    """Star edges of the runs of equal keys in batches sorted by key.
 
-    Output rows ``u, v, choice, part, tile``: edges have tile -1; the members of
+    Output rows ``u, v, key, tile``: edges have tile -1; the members of
     a run that was cut into tiles pass through with their tile number.
     """
     small: list[np.ndarray] = []     # runs of 2 to 64, end to end
@@ -102,11 +102,10 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
 
     def rows(u, v, k=None, t=-1):
         n = len(u)
-        c = k or (0, 0)
         return pa.RecordBatch.from_arrays(
             [pa.array(u.view(np.int64)), pa.array(v.view(np.int64)),
-             pa.array(np.full(n, c[0], dtype=np.int32)), pa.array(np.full(n, c[1], dtype=np.int64)),
-             pa.array(np.full(n, t, dtype=np.int32))], names=["u", "v", "choice", "part", "tile"])
+             pa.array(np.full(n, k[0] if k else 0, dtype=np.int64)), pa.array(np.full(n, t, dtype=np.int32))],
+            names=["u", "v", "key", "tile"])
 
     def edges(fps, a, b):
         return rows(fps[a], fps[b])
@@ -175,26 +174,25 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int
     if not 0 < radius < blocks:
         raise ValueError("0 < radius < blocks is needed")
     ship_package(fps.sparkSession)
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part"))
-                     for i, m in enumerate(_masks(radius, blocks))])
-    dealt = (fps.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.part", "fp")
-             .repartition("choice", "part").sortWithinPartitions("choice", "part", "fp"))
-    out = "u bigint, v bigint, choice int, part bigint, tile int"
+    # One long names choice and bits: it sorts by itself (rows of a key need no order among
+    # themselves), and keys that share a number only put strangers into one run.
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(radius, blocks))])
+    dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
+    out = "u bigint, v bigint, key bigint, tile int"
     found = staged(dealt.mapInArrow(
-        lambda it: _link_sorted(it, radius, tile, ["choice", "part"]), out), "simhash-links")
+        lambda it: _link_sorted(it, radius, tile, ["key"]), out), "simhash-links")
     near = found.where("tile < 0").select("u", "v")
 
     # Keys beyond one tile: every pair of tiles meets once, apart from the other pairs.
-    cut = found.where("tile >= 0").select("choice", "part", "tile", F.col("u").alias("fp"))
-    n_tiles = cut.groupBy("choice", "part").agg((F.max("tile") + 1).alias("tiles"))
+    cut = found.where("tile >= 0").select("key", "tile", F.col("u").alias("fp"))
+    n_tiles = cut.groupBy("key").agg((F.max("tile") + 1).alias("tiles"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    paired = (cut.join(n_tiles, ["choice", "part"]).where("tiles > 1")
-              .select("choice", "part", "tile", "fp", other).where("other != tile")
-              .select("choice", "part", F.least("tile", "other").alias("a"),
-                      F.greatest("tile", "other").alias("b"), "fp")
-              .repartition("choice", "part", "a", "b")
-              .sortWithinPartitions("choice", "part", "a", "b", "fp"))
-    pair_key = ["choice", "part", "a", "b"]
+    paired = (cut.join(n_tiles, "key").where("tiles > 1")
+              .select("key", "tile", "fp", other).where("other != tile")
+              .select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "fp")
+              .repartition("key", "a", "b")
+              .sortWithinPartitions("key", "a", "b"))
+    pair_key = ["key", "a", "b"]
     met = paired.mapInArrow(lambda it: _link_sorted(it, radius, 2 * tile + 1, pair_key), out)
     return near.union(met.select("u", "v"))
 
