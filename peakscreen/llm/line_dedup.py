@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakscreen.llm import bitslice
 from peakscreen.llm.common import map_arrow, staged
 from peakscreen.llm.components import connected_components
 from peakscreen.llm.simhash_dedup import links
@@ -49,7 +48,9 @@ _SPREAD = np.array([sum((b >> j & 1) << (8 * j) for j in range(8)) for b in rang
 def normalised(lines: pa.Array) -> pa.Array:
     """Lower case, digit runs to 0, other runs of non-letters to one space, trimmed; line feeds stay."""
     low = pc.utf8_lower(lines.cast(pa.large_string()))
-    low = pc.replace_substring_regex(pc.replace_substring_regex(low, r"\p{N}+", "0"), r"[^\p{L}0\n]+", " ")
+    low = pc.replace_substring_regex(low, r"\p{N}+", "0")
+    # Most runs are a single space already: those need no match.
+    low = pc.replace_substring_regex(low, r"[^\p{L}0\n ][^\p{L}0\n]*| [^\p{L}0\n]+", " ")
     return pc.utf8_trim(low, " ")
 
 
@@ -57,6 +58,11 @@ def _plain(texts: pa.Array) -> pa.Array:
     return normalised(pc.fill_null(texts, ""))
 
 
+def strings(values: pa.Array) -> list[str]:
+    """As ``to_pylist``, which builds a scalar for each value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def normalise(line: str) -> str:
     return normalised(pa.array([line]))[0].as_py()
 
@@ -71,7 +77,7 @@ def simhashes(lines: pa.Array) -> np.ndarray:
     cut = pc.split_pattern(lines.cast(pa.large_string()), " ")
     ends = np.diff(cut.offsets.to_numpy())
     coded = cut.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = strings(coded.dictionary)
     digest = xxhash.xxh64_intdigest
     spread = _SPREAD[np.array([digest(w, 1) for w in words], dtype=np.uint64).view(np.uint8)].reshape(-1, 8)
     pairs = np.repeat(np.arange(len(lines)), ends) * np.int64(len(words)) + coded.indices.to_numpy()
@@ -145,7 +151,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 keep = some.to_numpy(zero_copy_only=False)
                 # Lines repeated within the part are hashed once.
                 coded, at = lines.filter(some).dictionary_encode(), pa.array(row[keep])
-                keys = pa.array([xxhash.xxh3_128_digest(x) for x in coded.dictionary.to_pylist()], pa.binary())
+                keys = pa.array([xxhash.xxh3_128_digest(x) for x in strings(coded.dictionary)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(at), part.column("text_hash").take(at), pa.array(number[keep], pa.int32()),
                      keys.take(coded.indices), pa.array(simhashes(coded.dictionary), pa.int64()).take(coded.indices)],
@@ -162,11 +168,8 @@ def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Iter
         asking, left = [int(left[0])], left[1:]
         while asking and len(left):
             q = asking.pop()
-            planes, used = bitslice.planes(fps[left])
-            near = bitslice.within(planes, np.full(len(planes), fps[q]), used, radius)
-            block, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             hit = np.zeros(len(left), dtype=bool)
-            for at in (block * 64 + lane).tolist():
+            for at in np.flatnonzero(np.bitwise_count(fps[left] ^ fps[q]) <= radius).tolist():
                 if similar(texts[q], texts[left[at]], least):
                     hit[at] = True
                     yield q, int(left[at])
