@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from peakscreen.llm.common import strings
+
 #: Pre-tokens remembered by a worker; beyond it the memory starts anew.
 CACHE = 600_000
 #: Bytes of text cut at a time.
@@ -124,7 +126,7 @@ class Encoder:
         starts, ends = starts[:-1] - starts[0], starts[1:] - starts[0]
         coded = cut.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
+        distinct = strings(coded.dictionary)
         ids = [self._piece(p) for p in distinct]
         # A text's first piece has no leading space.
         head_of: dict[int, int] = {}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakscreen.llm.common import map_arrow, staged
+from peakscreen.llm.common import map_arrow, staged, strings
 from peakscreen.llm.components import connected_components
 from peakscreen.llm.simhash_dedup import links
 from peakscreen.session import ship_package
@@ -58,11 +58,6 @@ def _plain(texts: pa.Array) -> pa.Array:
     return normalised(pc.fill_null(texts, ""))
 
 
-def strings(values: pa.Array) -> list[str]:
-    """As ``to_pylist``, which builds a scalar for each value."""
-    return values.to_numpy(zero_copy_only=False).tolist()
-
-
 def normalise(line: str) -> str:
     return normalised(pa.array([line]))[0].as_py()
 
