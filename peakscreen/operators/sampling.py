@@ -203,18 +203,19 @@ def over_sample(df: DataFrame, label: str, id_col: str, seed: int = 42,
     return base.unionByName(picked.select(*base.columns))
 
 
-def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int,
+                 tile_bytes: int = 32 << 20) -> DataFrame:
     """For each query row, its k nearest rows of ``ref`` (self excluded), exact.
 
     ``ref`` must be bounded (the caller checks its size): its vectors are
     shipped to every task once and each task scores its own rows against them
-    in vectorised blocks, emitting only the k best per row -- never all pairs.
+    in vectorised tiles of ``tile_bytes``, emitting only the best per row -- never all pairs.
     """
     import numpy as np
     import pandas as pd
     spark = query.sparkSession
     ship_package(spark)
-    rp = ref.select(id_col, vec).toPandas()
+    rp = ref.select(id_col, vec).toPandas().sort_values(id_col, ignore_index=True)
     ids = rp[id_col].to_numpy()
     mat = (np.vstack([np.asarray(v, dtype=np.float64) for v in rp[vec]]) if len(rp)
            else np.zeros((0, 1)))
@@ -228,22 +229,24 @@ def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int
                 continue
             q = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
             qid = pdf[id_col].to_numpy()
-            out_i, out_n, out_d = [], [], []
-            for s in range(0, len(q), 1024):
-                blk, bid = q[s:s + 1024], qid[s:s + 1024]
+            found = []
+            rows = max(1, tile_bytes // (8 * len(rid)))
+            kk = min(k + 1, len(rid))                              # one place for the row itself
+            for s in range(0, len(q), rows):
+                blk, bid = q[s:s + rows], qid[s:s + rows]
                 d2 = (blk ** 2).sum(axis=1)[:, None] + rsq[None, :] - 2.0 * blk @ rmat.T
                 d2 = np.maximum(d2, 0.0)
-                d2[bid[:, None] == rid[None, :]] = np.inf          # no self match
-                kk = min(k, len(rid))
-                cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-                for row in range(len(blk)):
-                    for j in cand[row]:
-                        if np.isfinite(d2[row, j]):
-                            out_i.append(bid[row]); out_n.append(rid[j])
-                            out_d.append(float(np.sqrt(d2[row, j])))
-            yield pd.DataFrame({id_col: np.asarray(out_i, dtype=np.int64),
-                                "nb_id": np.asarray(out_n, dtype=np.int64),
-                                "nb_dist": np.asarray(out_d, dtype=np.float64)})
+                cut = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
+                # Equal distances at the cut: the smallest ids (columns are in id order).
+                tied = d2 == cut
+                room = kk - (d2 < cut).sum(axis=1, keepdims=True)
+                row, col = np.nonzero((d2 < cut) | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room)))
+                other = bid[row] != rid[col]
+                row, col = row[other], col[other]
+                # Chosen pairs get their distance without cancellation.
+                found.append(pd.DataFrame({id_col: bid[row].astype(np.int64), "nb_id": rid[col].astype(np.int64),
+                                           "nb_dist": np.sqrt(((blk[row] - rmat[col]) ** 2).sum(axis=1))}))
+            yield pd.concat(found, ignore_index=True)
 
     return query.select(id_col, vec).mapInPandas(nearest, f"{id_col} long, nb_id long, nb_dist double")
 

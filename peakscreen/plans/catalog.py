@@ -468,11 +468,4 @@ def all_sql() -> dict[str, str]:
 
 
 def _load_extensions() -> None:
-    import importlib
-    for mod in ("peakscreen.plans.catalog_eval", "peakscreen.plans.catalog_ml",
-                "peakscreen.plans.catalog_files"):
-        try:
-            importlib.import_module(mod)
-        except ModuleNotFoundError as e:
-            if e.name != mod:
-                raise
+    from peakscreen.plans import catalog_eval, catalog_files, catalog_ml, catalog_tables  # noqa: F401

@@ -23,6 +23,9 @@ from peakscreen.plans.views import load
 # The part-type vocabulary used as the one-hot "analyte" column.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 CONTINUOUS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+#: Settings of the registered fits, smaller than the operators' defaults (551 rounds, depth 30):
+#: a checking run fits every family several times. They bound the model, never the rows.
+FIT_PARAMS = {"forest": {"maxDepth": 8}, "gbt": {"maxIter": 50}}
 
 
 def lineitem_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def _scores_query(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         feats, train, test = _splits(spark, sf_dir)
         train_us = sm.under_sample(train, "reported", "row_id", 42)
-        fm = md.fit_model(train_us, feature_names(feats), kind)
+        fm = md.fit_model(train_us, feature_names(feats), kind, **FIT_PARAMS.get(kind, {}))
         s = md.score(fm, test)
         return s.select("row_id", "reported", r6("probas").alias("probas"),
                         F.when(F.col("probas") >= 0.5, 1).otherwise(0).alias("prediction"))
@@ -155,7 +158,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "reported", "row_id", 42)
     valid = inner.where(F.col("split") == "test").drop("split")
     table, _ = md.compare_models(["logistic", "forest", "gbt"], fit_part, valid, test,
-                                 feature_names(feats))
+                                 feature_names(feats), params=FIT_PARAMS)
     return table
 
 
@@ -216,14 +219,11 @@ def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_sql() -> str:
     from peakscreen.plans.views import EVENT_OTHER_TYPE, EVENT_SAMPLE_TYPE
-    from peakscreen.streaming.batches import MIN_FILE_BUCKETS, ROWS_PER_FILE
+    from peakscreen.streaming.batches import ROWS_PER_FILE
     types = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_SAMPLE_TYPE.items())
     return f"""
-WITH nb AS (
-  SELECT greatest({MIN_FILE_BUCKETS}, CAST(ceil(max(c) / {ROWS_PER_FILE}.0) AS BIGINT)) AS n
-  FROM (SELECT strftime(ts, '%Y%m%d') AS d, count(*) AS c FROM events GROUP BY 1)),
-f AS (
-  SELECT strftime(ts, '%Y%m%d') AS day, CAST(event_id % (SELECT n FROM nb) AS INTEGER) AS bucket,
+WITH f AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, CAST(event_id // {ROWS_PER_FILE} AS INTEGER) AS bucket,
          CASE event_type {types} ELSE '{EVENT_OTHER_TYPE}' END AS sample_type,
          TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rt,
          value / (value + 20.0) AS probs

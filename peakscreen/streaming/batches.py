@@ -23,10 +23,10 @@ from peakscreen.sources.instrument import parse_files
 
 
 def read_file_stream(spark: SparkSession, path: str, glob: str = "*.txt",
-                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """New export files as (source_file, content) records."""
+                     max_files_per_trigger: int | None = None, recursive: bool = False) -> DataFrame:
+    """New export files as (source_file, content) records; sub-folders only if ``recursive``."""
     r = (spark.readStream.format("text").option("wholetext", "true")
-         .option("pathGlobFilter", glob).option("recursiveFileLookup", "true"))
+         .option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = r.load(path)
@@ -36,7 +36,7 @@ def read_file_stream(spark: SparkSession, path: str, glob: str = "*.txt",
 def batch_writer(out_dir: str, score_fn: Callable[[DataFrame], DataFrame],
                  columns: Sequence[str], threshold: float = 0.4,
                  rt: str = S.RT, sample_type: str = S.SAMPLE_TYPE,
-                 list_cols: Sequence[str] = (S.SAMPLE_NAME, S.PEAK_NAME, S.PEAK_AREA),
+                 list_cols: Sequence[str] = (S.SAMPLE_NAME, S.PEAK_NAME, S.PEAK_AREA, "source_file"),
                  numeric_columns: Sequence[str] = S.NUMERIC_COLUMNS):
     """foreachBatch function: parse -> score -> decide -> write lists and status."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -45,7 +45,7 @@ def batch_writer(out_dir: str, score_fn: Callable[[DataFrame], DataFrame],
                                    sample_type=sample_type, threshold=threshold)
         decided = decided.persist()
         failed, dirty = qc.control_lists(decided, list_cols)
-        review = qc.review_list(decided, list_cols[:2])
+        review = qc.review_list(decided, [*list_cols[:2], *(c for c in list_cols[2:] if c == "source_file")])
         status = qc.control_status(decided, ["source_file"])
         for name, df in [("failed_controls", failed), ("dirty_blanks", dirty),
                          ("review", review), ("control_status", status),
@@ -58,9 +58,9 @@ def batch_writer(out_dir: str, score_fn: Callable[[DataFrame], DataFrame],
 
 def run_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                score_fn: Callable[[DataFrame], DataFrame], columns: Sequence[str] = S.PEAK_COLUMNS,
-               max_files_per_trigger: int | None = None, **kw) -> None:
+               max_files_per_trigger: int | None = None, recursive: bool = False, **kw) -> None:
     """Process every file available now, then stop (``availableNow`` trigger)."""
-    src = read_file_stream(spark, in_dir, max_files_per_trigger=max_files_per_trigger)
+    src = read_file_stream(spark, in_dir, max_files_per_trigger=max_files_per_trigger, recursive=recursive)
     q = (src.writeStream.foreachBatch(batch_writer(out_dir, score_fn, columns, **kw))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -72,32 +72,25 @@ def run_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
 
 # Header of the generated export files.
 ROUNDTRIP_COLUMNS = [S.SAMPLE_NAME, S.SAMPLE_TYPE, S.PEAK_NAME, S.PEAK_AREA, S.RT, "Score"]
-MIN_FILE_BUCKETS = 4
+#: Event ids per export file: a row's file follows from the row alone, at any data size.
 ROWS_PER_FILE = 20000
 
 
-def file_buckets(events: DataFrame) -> int:
-    """Files per day so that the busiest day still has ~ROWS_PER_FILE lines per file."""
-    top = events.groupBy(F.date_format("ts", "yyyyMMdd")).count().agg(F.max("count")).first()[0] or 0
-    return max(MIN_FILE_BUCKETS, -(-int(top) // ROWS_PER_FILE))
-
-
 def write_event_exports(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Write events as export files: one file per (day, bucket), preamble + header first.
 
-    Events of a day are spread over ``file_buckets`` files by event id, so no
+    Events of a day are spread over files of at most ``ROWS_PER_FILE`` ids, so no
     file (and no task) holds a hot day or a hot user whole; the header row
     sorts first within its file.
     """
     from peakscreen.plans.views import EVENT_OTHER_TYPE, EVENT_SAMPLE_TYPE, load
     ev = load(spark, sf_dir, "events")
-    n_buckets = file_buckets(ev)
     st = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENT_SAMPLE_TYPE.items() for x in kv])[
         F.col("event_type")], F.lit(EVENT_OTHER_TYPE))
     k = F.get_json_object("props", "$.k")
     rows = ev.select(
         F.date_format("ts", "yyyyMMdd").alias("day"),
-        F.pmod(F.col("event_id"), F.lit(n_buckets)).cast("int").alias("bucket"),
+        F.floor(F.col("event_id") / F.lit(ROWS_PER_FILE)).cast("int").alias("bucket"),
         F.col("event_id").alias("_ord"),
         F.concat_ws("\t", F.concat(F.lit("S"), F.col("user_id").cast("string")), st,
                     F.concat(F.col("event_type"), F.lit("-1")), F.col("user_id").cast("string"),
@@ -125,7 +118,7 @@ def stream_events_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.withColumn("probs", v / (v + F.lit(20.0)))
 
     columns_typed = ROUNDTRIP_COLUMNS
-    run_stream(spark, in_dir, out_dir, ckpt, score_fn, columns_typed, max_files_per_trigger=16,
+    run_stream(spark, in_dir, out_dir, ckpt, score_fn, columns_typed, max_files_per_trigger=16, recursive=True,
                numeric_columns=S.NUMERIC_COLUMNS + ["Score"])
     status = spark.read.parquet(f"{out_dir}/control_status")
     # Key each file by the (day, bucket) it holds; paths and batch numbers vary per run.
