@@ -61,7 +61,7 @@ def test_compare_search_curve_pca_early_stop(spark, table):
     assert row["model"] == "logistic" and 0 <= row["threshold"] <= 1 and row["f1"] > 0.5
     assert 0.8 < row["auc"] <= 1.0
     best, f1 = md.random_search(table, FEATS, "logistic", {"regParam": (0.0, 0.5)}, n_iter=3, k=3)
-    assert set(best) == {"regParam"} and 0.0 <= f1 <= 1.0
+    assert set(best) == {"regParam"} and 0.7 <= f1 <= 1.0
     lc = md.learning_curve(table, FEATS, "logistic", (0.5, 1.0), 3).collect()
     assert len(lc) == 2 and all(0 <= r["test_f1_mean"] <= 1 for r in lc)
     ratios, pts = md.pca_summary(table, FEATS, 2)
