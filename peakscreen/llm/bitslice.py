@@ -124,24 +124,29 @@ def _star(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def link_large(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (index pairs) that connect one bucket of any size as its links do.
 
-    Breadth first: a fingerprint that was reached leaves the lanes and asks once
-    itself, so a bucket of near copies costs about its size, not its square.
+    Breadth first from 64 seeds at a time: a fingerprint that was reached joins a tree and
+    asks once itself. It asks the fingerprints not reached yet and those of other trees that have
+    still to ask, so two trees cannot stay apart, and a bucket of near copies (one tree) costs
+    about its size, not its square.
     """
     n = len(fps)
+    tree = np.arange(n)                      # smallest known index of each fingerprint's tree
     left = np.arange(n)                      # not reached yet
     asking = np.zeros(0, dtype=np.int64)     # reached, still to ask
-    found_a, found_b = [], []
-    while len(left):
+    while len(left) or len(asking):
         if not len(asking):
-            seeds, left = left[:64], left[64:]
-            a, b = link_small(fps[seeds], np.zeros(1, dtype=np.int64), radius)
-            found_a.append(seeds[a])
-            found_b.append(seeds[b])
-            asking = seeds
+            asking, left = left[:64], left[64:]
+        # Batches of one tree where possible: they need not ask their own tree.
+        asking = asking[np.argsort(tree[asking], kind="stable")]
+        batch, rest = asking[:64], asking[64:]
+        own = tree[batch[0]]
+        others = asking if tree[batch[-1]] != own else rest[tree[rest] != own]
+        asking = rest
+        asked = np.concatenate([left, others])
+        if not len(asked):
             continue
-        batch, asking = asking[:64], asking[64:]
-        p, used = planes(fps[left])
-        reached = np.zeros(len(left), dtype=bool)
+        p, used = planes(fps[asked])
+        reached = np.zeros(len(asked), dtype=bool)
         blocks = max(1, ROWS // len(batch))
         for lo in range(0, len(p), blocks):
             part, lanes = p[lo:lo + blocks], used[lo:lo + blocks]
@@ -150,11 +155,10 @@ def link_large(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             hits = within(part[row_b], fps[batch][row_q], lanes[row_b], radius)
             row, lane = _lanes(hits)
             where = (lo + row_b[row]) * 64 + lane
-            found_a.append(batch[row_q[row]])
-            found_b.append(left[where])
+            tree = local_components(n, tree[batch[row_q[row]]], tree[asked[where]])[tree]
             reached[where] = True
-        asking = np.concatenate([asking, left[reached]])
-        left = left[~reached]
-    if not found_a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return _star(n, np.concatenate(found_a), np.concatenate(found_b))
+        fresh = reached[:len(left)]
+        asking = np.concatenate([asking, left[fresh]])
+        left = left[~fresh]
+    node = np.flatnonzero(tree != np.arange(n))
+    return tree[node], node

@@ -103,3 +103,23 @@ def test_links_connect_as_all_pairs_do(spark):
     # A far smaller key makes large buckets: the breadth-first search must agree.
     a, b = bitslice.link_large(np.array(fps, dtype=np.uint64), 4)
     assert bitslice.local_components(len(fps), a, b).tolist() == want
+
+
+def test_large_bucket_joins_trees_of_different_seeds():
+    """s1-r1-r2-s2: r1 and r2 are reached in one round, each from its own seed."""
+    rng = np.random.default_rng(11)
+    for links, fillers in ((3, 80), (6, 80), (40, 300), (200, 10)):
+        fps = [int(x) for x in rng.integers(0, 1 << 63, size=fillers, dtype=np.uint64)]
+        # Sparse chains: neighbours differ in 4 bits, in one bit of each of four bytes.
+        for _ in range(3):
+            path = [int(rng.integers(0, 1 << 63, dtype=np.uint64))]
+            for i in range(links):
+                path.append(path[-1] ^ sum(1 << (8 * int(k) + int(rng.integers(8)))
+                                           for k in rng.choice(8, size=4, replace=False)))
+            # Ends first: they are seeds of their own.
+            fps = path[:1] + path[-1:] + fps + path[1:-1]
+        fps = list(dict.fromkeys(fps))
+        pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+        want = bitslice.local_components(len(fps), *np.array(pairs).T).tolist()
+        a, b = bitslice.link_large(np.array(fps, dtype=np.uint64), 4)
+        assert bitslice.local_components(len(fps), a, b).tolist() == want
