@@ -88,12 +88,13 @@ def _masks(radius: int, blocks: int) -> list[int]:
     return out
 
 
-def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key: list[str]
-                 ) -> Iterator[pa.RecordBatch]:
+def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key: list[str],
+                 whole: bool = False) -> Iterator[pa.RecordBatch]:
     """Star edges of the runs of equal keys in batches sorted by key.
 
-    Output rows ``u, v, key, tile``: edges have tile -1; the members of
-    a run that was cut into tiles pass through with their tile number.
+    Output rows ``u, v, key, tile``: edges have tile -1; the members of a run of ``tile`` rows
+    or more, which is cut into tiles of exactly ``tile`` and a rest, pass through with their tile
+    number. With ``whole``, a run longer than ``tile`` is an error.
     """
     small: list[np.ndarray] = []     # runs of 2 to 64, end to end
     small_sizes: list[np.ndarray] = []
@@ -156,9 +157,14 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int, key:
                 if open_key is not None:
                     yield from close(True)
                 open_key, tile_no = k, 0
-            for at in range(lo, hi, tile):
-                held.append(fps[at:min(hi, at + tile)])
-                if sum(map(len, held)) >= tile:
+            while lo < hi:
+                # However the batches fall, no tile exceeds ``tile``.
+                room = tile - sum(map(len, held))
+                if whole and hi - lo > room:
+                    raise ValueError(f"a run of more than {tile} fingerprints has to stay whole")
+                held.append(fps[lo:min(hi, lo + room)])
+                lo += room
+                if not whole and lo <= hi:
                     yield from close(False)
         if sum(map(len, small)) >= 1 << 16:
             yield flush()
@@ -193,7 +199,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int
               .repartition("key", "a", "b")
               .sortWithinPartitions("key", "a", "b"))
     pair_key = ["key", "a", "b"]
-    met = paired.mapInArrow(lambda it: _link_sorted(it, radius, 2 * tile + 1, pair_key), out)
+    met = paired.mapInArrow(lambda it: _link_sorted(it, radius, 2 * tile, pair_key, whole=True), out)
     return near.union(met.select("u", "v"))
 
 

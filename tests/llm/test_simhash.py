@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -123,3 +124,48 @@ def test_large_bucket_joins_trees_of_different_seeds():
         want = bitslice.local_components(len(fps), *np.array(pairs).T).tolist()
         a, b = bitslice.link_large(np.array(fps, dtype=np.uint64), 4)
         assert bitslice.local_components(len(fps), a, b).tolist() == want
+
+
+def signed(fps):
+    return [f - (1 << 64) if f >> 63 else f for f in fps]
+
+
+def test_tiles_keep_their_size_however_batches_fall():
+    """Batches of 7 do not divide a tile of 16: no tile is larger, and a unit to stay whole is never cut."""
+    fps = signed([int(x) for x in np.random.default_rng(2).integers(0, 1 << 63, size=90, dtype=np.uint64)])
+    table = pa.table({"fp": pa.array(fps, pa.int64()), "key": pa.array([1] * 5 + [2] * 69 + [3] * 16, pa.int64())})
+    rows = pa.Table.from_batches(sd._link_sorted(iter(table.to_batches(max_chunksize=7)), 4, 16, ["key"])).to_pylist()
+    sizes = {}
+    for r in rows:
+        if r["tile"] >= 0:
+            sizes[r["key"], r["tile"]] = sizes.get((r["key"], r["tile"]), 0) + 1
+    assert sizes == {(2, 0): 16, (2, 1): 16, (2, 2): 16, (2, 3): 16, (2, 4): 5, (3, 0): 16}
+    with pytest.raises(ValueError, match="whole"):
+        list(sd._link_sorted(iter(table.to_batches(max_chunksize=7)), 4, 68, ["key"], whole=True))
+    list(sd._link_sorted(iter(table.to_batches(max_chunksize=7)), 4, 69, ["key"], whole=True))
+
+
+def test_links_between_tiles_with_batches_that_do_not_divide_them(spark):
+    """One key of 420 strangers and 30 chains; every chain has to be found across the tiles of 70."""
+    rng = np.random.default_rng(9)
+    # The low 32 bits are equal: with 6 blocks at radius 4, all share the keys of the blocks in there.
+    fps = [int(x) << 32 for x in rng.integers(0, 1 << 31, size=420, dtype=np.uint64)]
+    for f in list(fps[:30]):
+        for _ in range(4):
+            f ^= sum(1 << int(k) for k in rng.choice(np.arange(32, 64), size=4, replace=False))
+            fps.append(f)
+    fps = list(dict.fromkeys(fps))
+    rng.shuffle(fps)
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    want = bitslice.local_components(len(fps), *np.array(pairs).T).tolist()
+    at = {f: i for i, f in enumerate(signed(fps))}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "60")
+    try:
+        df = spark.createDataFrame([(f,) for f in at], "fp long").coalesce(1)
+        got = sd.links(df, tile=70).collect()
+    finally:
+        spark.conf.set(name, before)
+    a, b = np.array([(at[u], at[v]) for u, v in got]).T
+    assert bitslice.local_components(len(fps), a, b).tolist() == want
