@@ -77,7 +77,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = shared_path(spark, "token-store")
-    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    # The ids are those of the tokenizers library as it is: control strings in a text get their special ids.
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), control_ids=True)
     return token_store.read_documents(spark, path)
 
 

@@ -5,12 +5,14 @@ number of pre-tokens, because the pre-tokenizer joins at most one space to what
 follows and never to what precedes. Pieces repeat, so a batch is cut and
 dictionary-encoded column-wise, and only pieces not met before go through the tokenizer's
 own pre-tokenizer and model. Texts where a cut would touch other white space are
-encoded whole. The ids equal those of encoding every text whole.
+encoded whole, and so are texts that hold the string of an added token which is to get
+its own id. The ids equal those of encoding every text whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -37,26 +39,33 @@ def _byte_alphabet() -> dict[int, int]:
 _ALPHABET = _byte_alphabet()
 
 
-def load(tokenizer_json: str):
+def load(tokenizer_json: str, control_ids: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one task, one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_json)
-    t.encode_special_tokens = True     # control strings in a text are ordinary text
+    t.encode_special_tokens = not control_ids     # or else control strings in a text are ordinary text
     t.no_padding()
     t.no_truncation()
     return t
 
 
 class Encoder:
-    """Encodes batches of texts to uint32 ids; safe for any text and any byte-level BPE file."""
+    """Encodes batches of texts to uint32 ids; safe for any text and any byte-level BPE file.
 
-    def __init__(self, tokenizer_json: str):
-        self.tokenizer = load(tokenizer_json)
+    With ``control_ids``, control strings in a text (such as an end-of-text mark) get the ids of
+    the file's special tokens, as the library does unless told otherwise; without, they are ordinary text.
+    """
+
+    def __init__(self, tokenizer_json: str, control_ids: bool = False):
+        self.tokenizer = load(tokenizer_json, control_ids)
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None \
             and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.words: dict[str, bytes] = {}
+        # The model alone does not look for added tokens.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if control_ids or not t.special]
+        self.added = "|".join(re.escape(c) for c in added)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -142,6 +151,8 @@ class Encoder:
         if None in ids:
             bad |= np.logical_or.reduceat(np.array([i is None for i in ids])[index], starts)
             ids = [i or b"" for i in ids]
+        if self.added:
+            bad |= pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         flat = np.frombuffer(b"".join(map(ids.__getitem__, index.tolist())), dtype=np.uint32)
         if bad.any():
             cuts = np.concatenate([[0], np.cumsum(per_text)])
@@ -151,12 +162,12 @@ class Encoder:
         return flat, per_text
 
 
-_LOADED: dict[int, Encoder] = {}
+_LOADED: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(tokenizer_json: str) -> Encoder:
+def encoder(tokenizer_json: str, control_ids: bool = False) -> Encoder:
     """This worker's encoder of a tokenizer file (kept between tasks)."""
-    key = hash(tokenizer_json)
+    key = hash(tokenizer_json), control_ids
     if key not in _LOADED:
-        _LOADED[key] = Encoder(tokenizer_json)
+        _LOADED[key] = Encoder(tokenizer_json, control_ids)
     return _LOADED[key]

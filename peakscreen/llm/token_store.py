@@ -46,19 +46,19 @@ SEGMENT_SCHEMA = ("part int, seg int, doc_ids array<bigint>, n_tokens array<int>
                   "offsets array<bigint>, dict_sha256 string, payload binary")
 
 
-def encoded(batch: pa.Array, tokenizer_json: str) -> list[bytes]:
+def encoded(batch: pa.Array, tokenizer_json: str, control_ids: bool = False) -> list[bytes]:
     """Each text's ids with the end id, as little-endian bytes."""
-    flat, cuts = encoder(tokenizer_json).batch(batch)
+    flat, cuts = encoder(tokenizer_json, control_ids).batch(batch)
     raw, end = flat.astype("<u4").tobytes(), np.array([END_ID], dtype="<u4").tobytes()
     return [raw[4 * a:4 * b] + end for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def train_dictionary(docs: DataFrame, tokenizer_json: str, limit: int = DICT_DOCS) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_json: str, limit: int = DICT_DOCS, control_ids: bool = False) -> bytes:
     sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(encoded(b.column("text"), tokenizer_json), pa.binary())], names=["ids"])
+            [pa.array(encoded(b.column("text"), tokenizer_json, control_ids), pa.binary())], names=["ids"])
 
     samples = [bytes(r["ids"]) for r in map_arrow(sample, batch, "ids binary").collect()]
     try:
@@ -71,11 +71,14 @@ def _context(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_json: str) -> str:
-    """Write ``docs(doc_id, text)`` as a store at ``path``; returns the dictionary's hash."""
+def write_store(docs: DataFrame, path: str, tokenizer_json: str, control_ids: bool = False) -> str:
+    """Write ``docs(doc_id, text)`` as a store at ``path``; returns the dictionary's hash.
+
+    ``control_ids``: control strings in a text get their special ids (:class:`~peakscreen.llm.encoding.Encoder`).
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    dictionary = train_dictionary(docs, tokenizer_json)
+    dictionary = train_dictionary(docs, tokenizer_json, control_ids=control_ids)
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(sha, bytearray(dictionary))], "dict_sha256 string, dictionary binary") \
         .coalesce(1).write.parquet(f"{path}/dictionary")
@@ -95,7 +98,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str) -> str:
                 names=["part", "seg", "doc_ids", "n_tokens", "offsets", "dict_sha256", "payload"])
 
         for b in batches:
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoded(b.column("text"), tokenizer_json)):
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoded(b.column("text"), tokenizer_json, control_ids)):
                 frame = compress(raw)
                 ids.append(doc_id)
                 counts.append(len(raw) // 4)

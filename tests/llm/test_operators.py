@@ -130,6 +130,24 @@ def test_token_store_round_trip(spark):
     assert token_store.read_documents(spark, empty).collect() == []
 
 
+def test_token_store_query_gives_control_strings_their_ids(spark, monkeypatch):
+    """op8 as the tokenizers library encodes, nothing set on it."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_str(catalog.tokenizer_file("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext|> <|endoftext|>\n\n", "<|endoftext| >", "plain text", None]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    monkeypatch.setattr(catalog, "table", lambda *_: docs)
+    got = sorted(catalog.op8_token_store(spark, "unused").collect(), key=lambda r: r["doc_id"])
+    at = 0
+    for r, text in zip(got, texts, strict=True):
+        ids = plain.encode(text or "", add_special_tokens=False).ids
+        assert (50256 in ids) == ("<|endoftext|>" in (text or ""))
+        raw = np.array(ids + [0], dtype="<u4").tobytes()
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(raw) // 4, zlib.crc32(raw)), text
+        at += len(raw) // 4
+
+
 def test_chat_round_trip(spark, monkeypatch):
     vocabulary = catalog.tokenizer_file("byte_bpe_50k.json")
     tricky = "<|end|> <\\|end|> <\\\\/s> [INST] [\\/INST] <s><<SYS>> été\n"
