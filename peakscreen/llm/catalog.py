@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from peakscreen.llm import (
+    centroids,
     chat_format,
     decontam,
     line_dedup,
@@ -92,6 +93,11 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -103,10 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_winnowing": op9_winnowing,
     "op10_hash_tree": op10_hash_tree,
+    "op12_shallot": op12_shallot,
 }
 
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.QUALITY_SQL,
     "op7_mix_sources": mixing.MIX_SQL,
     "op9_winnowing": decontam.DECONTAM_SQL,
+    "op12_shallot": centroids.CLUSTER_SQL,
 }

@@ -34,10 +34,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     consumers read a result that was computed once, and gives the planner the
     written size, by which it decides on its own whether to broadcast.
     """
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`staged`, with the path, for callers that remove the table after use."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove staged tables that nothing will read again."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def lower_ascii(text: Column) -> Column:
