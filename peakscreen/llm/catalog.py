@@ -10,6 +10,7 @@ from peakscreen.llm import (
     centroids,
     chat_format,
     decontam,
+    embedding_pq,
     line_dedup,
     mil_quality,
     mixing,
@@ -98,6 +99,11 @@ def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
 
 
+def op13_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return embedding_pq.dedup_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing": op9_winnowing,
     "op10_hash_tree": op10_hash_tree,
     "op12_shallot": op12_shallot,
+    "op13_product_quantisation": op13_product_quantisation,
 }
 
 SQL: dict[str, str] = {
@@ -117,4 +124,5 @@ SQL: dict[str, str] = {
     "op7_mix_sources": mixing.MIX_SQL,
     "op9_winnowing": decontam.DECONTAM_SQL,
     "op12_shallot": centroids.CLUSTER_SQL,
+    "op13_product_quantisation": embedding_pq.NEAR_SQL,
 }
