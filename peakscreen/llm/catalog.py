@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from peakscreen.llm import (
     centroids,
     chat_format,
+    collocations,
     decontam,
     embedding_pq,
     line_dedup,
@@ -94,6 +95,11 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return collocations.collocation_table(table(spark, sf_dir, "documents"))
+
+
 def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_winnowing": op9_winnowing,
     "op10_hash_tree": op10_hash_tree,
+    "op11_collocations": op11_collocations,
     "op12_shallot": op12_shallot,
     "op13_product_quantisation": op13_product_quantisation,
 }
@@ -123,6 +130,7 @@ SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.QUALITY_SQL,
     "op7_mix_sources": mixing.MIX_SQL,
     "op9_winnowing": decontam.DECONTAM_SQL,
+    "op11_collocations": collocations.COLLOCATION_SQL,
     "op12_shallot": centroids.CLUSTER_SQL,
     "op13_product_quantisation": embedding_pq.NEAR_SQL,
 }
