@@ -14,7 +14,8 @@
    A pair that could be met twice is counted where the smaller key asks, so no pair is ever written:
    a unit of work returns, per vector, its number of links and the smallest key of its group in the unit.
    Lists beyond ``TILE`` members or queries are cut into tiles, and each pair of tiles is a unit.
-5. Connected components over those few edges, named by the smallest vec_id.
+5. Connected components over those few edges. Names begin with the smallest vec_id of equal vectors and sort by
+   it, so a group's least name gives its component_id and nothing is gathered by group.
 
 Lists are missed only by the probes, so recall is that of the probes; the tests measure it against brute force.
 
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakscreen.llm.common import discard, map_arrow, staged_at
@@ -44,6 +45,8 @@ RECALL = 0.995
 #: Vectors that the index is fitted on, and their bytes.
 SAMPLE, SAMPLE_BYTES = 1 << 15, 32 << 20
 MAX_LISTS = 2048
+#: Probes at least: a small sample says little about the depth.
+LEAST_PROBES = 8
 #: Dimensions of a subspace and entries of its codebook.
 SUBSPACE, ENTRIES = 4, 16
 TILE = 1024
@@ -155,7 +158,8 @@ def fit_index(sample: np.ndarray, n_rows: int, cosine: float = COSINE, recall: f
     gx, gy = gap(x), gap(y)
     own_x, own_y = gx.argmin(axis=1)[:, None], gy.argmin(axis=1)[:, None]
     depth = np.minimum((gx < np.take_along_axis(gx, own_y, 1)).sum(axis=1), (gy < np.take_along_axis(gy, own_x, 1)).sum(axis=1))
-    index.probes = int(np.sort(depth)[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+    deep = int(np.sort(depth)[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+    index.probes = min(len(lists), max(LEAST_PROBES, deep))
     return index
 
 
@@ -202,7 +206,7 @@ def _search(members: dict, queries: dict, index: Index, which: int, cosine: floa
     """Links between the queries and members of one unit: ``key, links, root`` per linked vector."""
     unit_q, unit_m = _units(queries["vec"]), _units(members["vec"])
     norm_q, norm_m = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (queries["vec"], members["vec"]))
-    both, place = np.unique(np.array([*queries["key"], *members["key"]], dtype="S16"), return_inverse=True)
+    both, place = np.unique(np.array([*queries["key"], *members["key"]], dtype="S25"), return_inverse=True)
     at_q, at_m = place[:len(unit_q)], place[len(unit_q):]
     names: dict[int, bytes] = dict(zip(place.tolist(), [*queries["key"], *members["key"]]))
     links, groups = np.zeros(len(both), np.int64), _Groups(len(both))
@@ -285,22 +289,37 @@ def _links(indexed: DataFrame, index: Index, cosine: float, tile: int) -> DataFr
     return units.mapInArrow(lambda it: _units_of(it, index, cosine), "key binary, links bigint, root binary")
 
 
+_SIGN = -(1 << 63)
+
+
+def _name(low: str, key: str) -> Column:
+    """Bytes that sort by smallest vec_id (null last), then key: the least name of a group holds its component_id."""
+    digits = F.lpad(F.hex(F.coalesce(F.col(low), F.lit(-1)).bitwiseXOR(F.lit(_SIGN))), 16, "0")
+    return F.concat(F.unhex(F.concat(F.when(F.col(low).isNull(), "01").otherwise("00"), digits)), F.col(key))
+
+
+def _named_id(name: Column) -> Column:
+    low = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", low)
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``embeddings(vec_id, embedding)``."""
     spark = embeddings.sparkSession
     rows, _ = staged_at(packed(embeddings), "vectors")
-    distinct, distinct_path = staged_at(rows.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("vec").alias("vec")),
-        "vectors-distinct")
+    counted = rows.where("key IS NOT NULL").groupBy("key").agg(
+        F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("vec").alias("vec"))
+    distinct, distinct_path = staged_at(counted.select(F.col("key").alias("value"), _name("low", "key").alias("key"), "n", "size", "vec"),
+                                        "vectors-distinct")
     found = None
     paths = [distinct_path]
     # One index for each length that occurs; a table of embeddings has one or a few.
     for size, count in sorted((r["size"], r["count"]) for r in distinct.groupBy("size").count().collect()):
         own = distinct.where(F.col("size") == size)
         bound = max(256, min(SAMPLE, SAMPLE_BYTES // (8 * size)))
-        share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, bound / count))
-        chosen = own.where(share).select("key", "vec").limit(2 * bound).collect()
-        chosen = sorted(chosen, key=lambda r: bytes(r["key"])) or own.select("vec").limit(1).collect()
+        share = F.pmod(F.xxhash64("value"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, bound / count))
+        chosen = own.where(share).select("value", "vec").limit(2 * bound).collect()
+        chosen = sorted(chosen, key=lambda r: bytes(r["value"])) or own.select("vec").limit(1).collect()
         sample = _units(np.frombuffer(b"".join(bytes(r["vec"]) for r in chosen)).reshape(-1, size))
         index = fit_index(sample, count, cosine, recall)
         indexed, path = staged_at(_indexed(own, index), "vectors-indexed")
@@ -311,12 +330,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     groups = connected_components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    counted = found.groupBy("key").agg(F.sum("links").alias("links"))
-    placed = (distinct.select("key", "low", "n").join(counted, "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
-              .select("key", "low", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("group")))
-    named = placed.groupBy("group").agg(F.min("low").alias("component_id"))
-    by_key, _ = staged_at(placed.join(named, "group").select(
-        "key", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"), "vector-groups")
+    linked = found.groupBy("key").agg(F.sum("links").alias("links"))
+    placed = distinct.join(linked, "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    by_key, _ = staged_at(placed.select(
+        F.col("value").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        _named_id(F.coalesce("component", "key")).alias("component_id")), "vector-groups")
     discard(spark, *paths)
     out = rows.select("vec_id", "key").join(by_key, "key", "left")
     group = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

