@@ -4,11 +4,13 @@ Random draws of a single-machine library cannot be reproduced on a cluster, so
 the contract is: exact sizes per class, determinism under a seed and
 independence from partitioning. Rows are ordered by ``md5(id | seed)``.
 
-Picking the first ``n`` rows of a class in that order is done without a
-global sort ("hash cut"): a histogram of the first four hex digits per class
-(at most 65,536 buckets per class) tells which bucket holds the cut; rows in
-lower buckets are kept outright and only the rows of the cut bucket are ranked.
-A hot class is thereby split into 65,536 independent ranges.
+Picking the first ``n`` rows of a class in that order is one comparison per row ("hash cut"): a
+histogram of the first hex digits per class (at most 65,536 buckets each) tells which bucket holds the
+cut; its rows are counted by the next digits until few are left, and the hash of the n-th row is the cut.
+The output then filters its input once and ranks nothing.
+
+Rows that share an id share their place in the order and fall on the same side of every cut. A
+null label is a class of its own (the last one); a null id is the empty one; empty tables come back empty.
 """
 
 from __future__ import annotations
@@ -19,15 +21,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakscreen.operators.knn import TILE, knn_within
 from peakscreen.operators.prefix import running_total
-from peakscreen.session import ship_package
 
-_H, _B = "_h", "_b"
+_H = "_h"
+#: Classes at most: their sizes are collected and their cuts broadcast.
+MAX_CLASSES = 10_000
+#: Rows of a cut bucket that are ordered to find the cut, and digits by which a larger one is narrowed.
+CUT_ROWS, DIGITS = 100_000, 4
+#: Above and below every hash.
+_ALL, _NONE = "g", ""
 
 
 def hash_order(id_col: str, seed: int) -> Column:
     """md5 of ``id|seed``: the row's position in the seeded order."""
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}")))
 
 
 def hash_draw(index: Column, salt: str, modulus: Column | int) -> Column:
@@ -37,68 +45,79 @@ def hash_draw(index: Column, salt: str, modulus: Column | int) -> Column:
     return F.pmod(h.cast("long"), m.cast("long"))
 
 
-def class_counts(df: DataFrame, cls: str) -> dict:
-    """Rows per class (one small aggregate; the number of classes is the bound)."""
-    return {r[cls]: int(r["count"]) for r in df.groupBy(cls).count().collect()}
-
+def _class_order(c) -> tuple:
+    return c is None, 0 if c is None else c
 
-def _with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    h = hash_order(id_col, seed)
-    return df.withColumn(_H, h).withColumn(_B, F.conv(F.substring(F.col(_H), 1, 4), 16, 10).cast("int"))
 
+def _per_class(rows: DataFrame) -> list:
+    """Rows of a table with one row per class, whose number is checked."""
+    found = rows.limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return found
 
-def hash_histogram(df: DataFrame, cls: str, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their hash bucket, per-class bucket histogram).
-
-    The histogram has at most 65,536 rows per class and is persisted: it gives
-    the class counts and the cut of every class without another scan.
-    """
-    staged = _with_hash(df, id_col, seed)
-    hist = staged.groupBy(cls, _B).count().persist()
-    return staged, hist
 
-
-def counts_from_histogram(hist: DataFrame, cls: str) -> dict:
-    return {r[cls]: int(r["n"]) for r in hist.groupBy(cls).agg(F.sum("count").alias("n")).collect()}
+def class_counts(df: DataFrame, cls: str) -> dict:
+    """Rows per class."""
+    return {r[0]: int(r[1]) for r in _per_class(df.groupBy(cls).count())}
 
 
-def _cut_table(staged: DataFrame, cls: str, need: dict, hist: DataFrame | None = None) -> DataFrame:
-    spark = staged.sparkSession
-    hist = hist if hist is not None else staged.groupBy(cls, _B).count()
-    w = Window.partitionBy(cls).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("count").over(w))
-    need_df = spark.createDataFrame([(k, int(v)) for k, v in need.items()],
-                                    staged.select(cls).schema.add("_need", "long"))
-    cut = (hist.join(F.broadcast(need_df), cls)
-           .where(F.col("_cum") >= F.col("_need"))
-           .groupBy(cls).agg(F.min(_B).alias("_cut"),
-                             F.min_by(F.col("_cum") - F.col("count"), F.col(_B)).alias("_before"),
-                             F.first("_need").alias("_need")))
-    return cut
+def _narrow(hashed: DataFrame, hist: DataFrame, need: dict, cls: str, digits: int) -> dict:
+    """Per class that has a cut: (prefix of ``digits`` hex digits that holds it, rows before, rows inside)."""
+    spark = hashed.sparkSession
+    w = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = spark.createDataFrame([(c, n) for c, n in need.items()], hashed.select(F.col("c")).schema.add("need", "long"))
+    cut = (hist.withColumn("upto", F.sum("n").over(w)).alias("h").join(F.broadcast(wanted.alias("w")), F.expr("h.c <=> w.c"))
+           .where("upto >= need").groupBy("h.c").agg(F.min_by(F.struct("p", "upto", "n"), "p").alias("x")))
+    return {r[0]: (r["x"]["p"], r["x"]["upto"] - r["x"]["n"], r["x"]["n"]) for r in _per_class(cut)}
 
 
-def mark_first_n(df: DataFrame, cls: str, id_col: str, need: dict, seed: int,
-                 flag: str = "_selected", staged: DataFrame | None = None,
-                 hist: DataFrame | None = None) -> DataFrame:
+def hash_cuts(df: DataFrame, cls: str, id_col: str, seed: int, need) -> dict:
+    """Per class, the hash up to which its first ``need(class sizes)[class]`` rows reach."""
+    spark = df.sparkSession
+    hashed = df.select(F.col(f"`{cls}`").alias("c"), hash_order(id_col, seed).alias("h"))
+    hist = hashed.groupBy("c", F.substring("h", 1, DIGITS).alias("p")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        counts = {r[0]: int(r[1]) for r in _per_class(hist.groupBy("c").agg(F.sum("n")))}
+        wanted = need(counts)
+        cuts = {c: _ALL if wanted.get(c, 0) >= n else _NONE for c, n in counts.items()}
+        left = {c: int(wanted[c]) for c, n in counts.items() if 0 < wanted.get(c, 0) < n}
+        at = _narrow(hashed, hist, left, cls, DIGITS) if left else {}
+    finally:
+        hist.unpersist()
+    digits = DIGITS
+    while left:
+        left = {c: left[c] - before for c, (_, before, _) in at.items()}
+        table = spark.createDataFrame([(c, p, left[c]) for c, (p, _, _) in at.items()],
+                                      hashed.select("c").schema.add("prefix", "string").add("need", "long"))
+        inside = hashed.alias("r").join(F.broadcast(table.alias("t")), F.expr("r.c <=> t.c AND startswith(r.h, t.prefix)")) \
+            .select("r.c", "r.h", "t.need")
+        if max(n for _, _, n in at.values()) <= CUT_ROWS or digits >= 32:
+            # Equal hashes count together, so a repeated id is one row here.
+            each = inside.groupBy("c", "need", "h").agg(F.count(F.lit(1)).alias("n"))
+            w = Window.partitionBy("c").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+            found = each.withColumn("upto", F.sum("n").over(w)).where("upto >= need").groupBy("c").agg(F.min("h").alias("h"))
+            return cuts | {r["c"]: r["h"] for r in _per_class(found)}
+        digits += DIGITS
+        hist = inside.groupBy("c", F.substring("h", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        at = _narrow(hashed, hist, left, cls, digits)
+    return cuts
+
+
+def _mark(df: DataFrame, cls: str, id_col: str, seed: int, need, flag: str) -> DataFrame:
+    """Append ``flag``: whether the row lies within its class's cut."""
+    cuts = hash_cuts(df, cls, id_col, seed, need)
+    table = df.sparkSession.createDataFrame(list(cuts.items()), df.select(F.col(f"`{cls}`").alias("_cut_class")).schema.add("_cut", "string"))
+    joined = df.join(F.broadcast(table), F.col(f"`{cls}`").eqNullSafe(F.col("_cut_class")), "left")     # MAX_CLASSES rows at most
+    return joined.withColumn(flag, F.coalesce(hash_order(id_col, seed) <= F.col("_cut"), F.lit(False))).drop("_cut_class", "_cut")
+
+
+def mark_first_n(df: DataFrame, cls: str, id_col: str, need: dict, seed: int, flag: str = "_selected") -> DataFrame:
     """Flag the first ``need[c]`` rows of each class ``c`` in seeded hash order.
 
-    Classes absent from ``need`` get no rows; a need above the class size takes
-    the whole class. ``staged``/``hist`` from :func:`hash_histogram` avoid a scan.
+    Classes absent from ``need`` get no rows; a need above the class size takes the whole class.
     """
-    if staged is None:
-        staged = _with_hash(df, id_col, seed)
-    # One row per class in ``need`` (already collected), so the size bound is known.
-    cut = _cut_table(staged, cls, need, hist)
-    cut = F.broadcast(cut) if len(need) <= 100_000 else cut
-    j = staged.join(cut, cls, "left")
-    covered = F.col(cls).isin(list(need)) if need else F.lit(False)
-    outside = j.where(F.col("_cut").isNull() | (F.col(_B) != F.col("_cut"))).withColumn(
-        flag, F.when(F.col("_cut").isNull(), covered)   # need exceeds class size: take all
-        .otherwise(F.col(_B) < F.col("_cut")))
-    w = Window.partitionBy(cls).orderBy(_H, id_col)
-    inside = j.where(F.col(_B) == F.col("_cut")).withColumn(
-        flag, F.row_number().over(w) <= F.col("_need") - F.col("_before"))
-    return outside.unionByName(inside).drop(_H, _B, "_cut", "_before", "_need")
+    return _mark(df, cls, id_col, seed, lambda _: need, flag)
 
 
 def allocate(counts: dict, n_total: int) -> dict:
@@ -109,39 +128,36 @@ def allocate(counts: dict, n_total: int) -> dict:
     base = {k: (n_total * v) // n for k, v in counts.items()}
     rem = {k: (n_total * v) % n for k, v in counts.items()}
     left = n_total - sum(base.values())
-    for k in sorted(counts, key=lambda k: (-rem[k], k))[:left]:
+    for k in sorted(counts, key=lambda k: (-rem[k], _class_order(k)))[:left]:
         base[k] += 1
     return base
 
 
+def _share(test_size: float):
+    return lambda counts: allocate(counts, math.ceil(test_size * sum(counts.values())))
+
+
+def _split(df: DataFrame, cls: str, id_col: str, test_size: float, seed: int, out: str) -> DataFrame:
+    marked = _mark(df, cls, id_col, seed, _share(test_size), "_selected")
+    return marked.withColumn(out, F.when(F.col("_selected"), "test").otherwise("train")).drop("_selected")
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.33,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """Stratified train/test split (M1): ``ceil(test_size * N)`` test rows spread over classes."""
-    staged, hist = hash_histogram(df, label, id_col, seed)
-    counts = counts_from_histogram(hist, label)
-    n_test = math.ceil(test_size * sum(counts.values()))
-    need = allocate(counts, n_test)
-    m = mark_first_n(df, label, id_col, need, seed, staged=staged, hist=hist)
-    return m.withColumn(out, F.when(F.col("_selected"), "test").otherwise("train")).drop("_selected")
+    return _split(df, label, id_col, test_size, seed, out)
 
 
 def random_split(df: DataFrame, id_col: str, test_size: float = 0.33, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Unstratified split (M2): the first ``ceil(test_size * N)`` rows in hash order are test."""
-    staged = df.withColumn("_one", F.lit(1))
-    n = staged.count()
-    m = mark_first_n(staged, "_one", id_col, {1: math.ceil(test_size * n)}, seed)
-    return m.withColumn(out, F.when(F.col("_selected"), "test").otherwise("train")).drop(
-        "_selected", "_one")
+    return _split(df.withColumn("_one", F.lit(1)), "_one", id_col, test_size, seed, out).drop("_one")
 
 
 def under_sample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
     """Every class down to the minority size, without replacement (M3)."""
-    staged, hist = hash_histogram(df, label, id_col, seed)
-    counts = counts_from_histogram(hist, label)
-    n_min = min(counts.values())
-    m = mark_first_n(df, label, id_col, {k: n_min for k in counts}, seed, staged=staged, hist=hist)
-    return m.where(F.col("_selected")).drop("_selected")
+    smallest = lambda counts: dict.fromkeys(counts, min(counts.values(), default=0))
+    return _mark(df, label, id_col, seed, smallest, "_selected").where(F.col("_selected")).drop("_selected")
 
 
 def class_rank(df: DataFrame, label: str, id_col: str, seed: int = 42, out: str = "_rank",
@@ -169,8 +185,9 @@ def nested_subsets(df: DataFrame, label: str, id_col: str, fractions: Sequence[f
     for i, f in enumerate(sorted(fractions)):
         lim = None
         for c, n in counts.items():
-            cond = (F.col(label) == F.lit(c)) & (F.col("_rank") <= F.lit(math.ceil(f * n)))
+            cond = F.col(label).eqNullSafe(F.lit(c)) & (F.col("_rank") <= F.lit(math.ceil(f * n)))
             lim = cond if lim is None else lim | cond
+        lim = F.lit(False) if lim is None else lim
         idx = F.when(lim, F.lit(i)) if idx is None else idx.when(lim, F.lit(i))
     return r.withColumn(out, idx.cast("int")).drop("_rank")
 
@@ -184,7 +201,7 @@ def over_sample(df: DataFrame, label: str, id_col: str, seed: int = 42,
     """
     spark = df.sparkSession
     counts = class_counts(df, label)
-    n_max = max(counts.values())
+    n_max = max(counts.values(), default=0)
     ranked = class_rank(df, label, id_col, seed)
     draws = None
     for c, n in counts.items():
@@ -192,115 +209,41 @@ def over_sample(df: DataFrame, label: str, id_col: str, seed: int = 42,
         if extra <= 0 or n == 0:
             continue
         d = spark.range(0, extra).select(
-            F.lit(c).cast(df.schema[label].dataType).alias(label),
+            F.lit(c).cast(df.schema[label].dataType).alias("_draw_class"),
             F.col("id").alias(copy_col),
-            (hash_draw(F.col("id"), f"{c}|{seed}", n) + 1).alias("_rank"))
+            (hash_draw(F.col("id"), f"{c}|{seed}", n) + 1).alias("_draw_rank"))
         draws = d if draws is None else draws.unionByName(d)
     base = ranked.drop("_rank").withColumn(copy_col, F.lit(-1).cast("long"))
     if draws is None:
         return base
-    picked = draws.join(ranked, [label, "_rank"]).drop("_rank")
+    picked = draws.join(ranked, F.col("_draw_class").eqNullSafe(F.col(label)) & (F.col("_draw_rank") == F.col("_rank")))
     return base.unionByName(picked.select(*base.columns))
 
 
-def _knn_against(query: DataFrame, ref: DataFrame, id_col: str, vec: str, k: int,
-                 tile_bytes: int = 32 << 20) -> DataFrame:
-    """For each query row, its k nearest rows of ``ref`` (self excluded), exact.
-
-    ``ref`` must be bounded (the caller checks its size): its vectors are
-    shipped to every task once and each task scores its own rows against them
-    in vectorised tiles of ``tile_bytes``, emitting only the best per row -- never all pairs.
-    """
-    import numpy as np
-    import pandas as pd
-    spark = query.sparkSession
-    ship_package(spark)
-    rp = ref.select(id_col, vec).toPandas().sort_values(id_col, ignore_index=True)
-    ids = rp[id_col].to_numpy()
-    mat = (np.vstack([np.asarray(v, dtype=np.float64) for v in rp[vec]]) if len(rp)
-           else np.zeros((0, 1)))
-    bc = spark.sparkContext.broadcast((ids, mat))
-
-    def nearest(batches):
-        rid, rmat = bc.value
-        rsq = (rmat ** 2).sum(axis=1)
-        for pdf in batches:
-            if pdf.empty or len(rid) == 0:
-                continue
-            q = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            qid = pdf[id_col].to_numpy()
-            found = []
-            rows = max(1, tile_bytes // (8 * len(rid)))
-            kk = min(k + 1, len(rid))                              # one place for the row itself
-            for s in range(0, len(q), rows):
-                blk, bid = q[s:s + rows], qid[s:s + rows]
-                d2 = (blk ** 2).sum(axis=1)[:, None] + rsq[None, :] - 2.0 * blk @ rmat.T
-                d2 = np.maximum(d2, 0.0)
-                cut = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
-                # Equal distances at the cut: the smallest ids (columns are in id order).
-                tied = d2 == cut
-                room = kk - (d2 < cut).sum(axis=1, keepdims=True)
-                row, col = np.nonzero((d2 < cut) | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room)))
-                other = bid[row] != rid[col]
-                row, col = row[other], col[other]
-                # Chosen pairs get their distance without cancellation.
-                found.append(pd.DataFrame({id_col: bid[row].astype(np.int64), "nb_id": rid[col].astype(np.int64),
-                                           "nb_dist": np.sqrt(((blk[row] - rmat[col]) ** 2).sum(axis=1))}))
-            yield pd.concat(found, ignore_index=True)
-
-    return query.select(id_col, vec).mapInPandas(nearest, f"{id_col} long, nb_id long, nb_dist double")
-
-
-def knn_within(df: DataFrame, id_col: str, vec: str, k: int = 5,
-               block_rows: int | None = None, block_bytes: int = 64 << 20) -> DataFrame:
-    """Exact k nearest neighbours of every row among the rows of ``df`` (self excluded).
-
-    The reference side is cut into hash blocks of bounded size; each block is
-    shipped to the tasks in turn and every row keeps its k best candidates per
-    block; a final per-row top-k over the (k x blocks) candidates gives the
-    exact answer. Output: id, nb_rank (0-based), nb_id, nb_dist.
-    """
-    n = df.count()
-    if block_rows is None:
-        first = df.select(F.size(vec).alias("d")).first()
-        dim = max(1, int(first["d"])) if first else 1
-        block_rows = max(1000, block_bytes // (8 * dim))
-    n_blocks = max(1, math.ceil(n / block_rows))
-    keyed = df.select(id_col, vec).withColumn("_kb", F.pmod(F.xxhash64(id_col), F.lit(n_blocks)))
-    cands = None
-    for b in range(n_blocks):
-        ref = keyed.where(F.col("_kb") == b)
-        c = _knn_against(keyed, ref, id_col, vec, k)
-        cands = c if cands is None else cands.unionByName(c)
-    w = Window.partitionBy(id_col).orderBy("nb_dist", "nb_id")
-    return cands.withColumn("nb_rank", (F.row_number().over(w) - 1).cast("int")).where(
-        F.col("nb_rank") < k)
-
-
 def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
-          block_rows: int | None = None) -> DataFrame:
+          tile: int = TILE) -> DataFrame:
     """Synthetic minority rows until the classes balance (M5).
 
     Each synthetic row is ``base + lam * (neighbour - base)`` with the base
     drawn from the minority class, the neighbour among its k nearest minority
     neighbours and ``lam`` in [0, 1), all from seeded hashes of the draw number.
-    ``vec`` is an array<double> column. Neighbours are exact (blocked search,
-    see :func:`knn_within`).
+    ``vec`` is an array<double> column. Neighbours are exact (:mod:`peakscreen.operators.knn`).
+    A null label is a class of its own; an empty table comes back empty.
     Output: id, label, vec, ``synthetic`` flag; synthetic ids are negative.
     """
     spark = df.sparkSession
     counts = class_counts(df, label)
-    minority = min(counts, key=lambda c: (counts[c], c))
-    n_min, n_max = counts[minority], max(counts.values())
-    if n_min < k + 1:
+    minority = min(counts, key=lambda c: (counts[c], _class_order(c)), default=None)
+    n_min, n_max = counts.get(minority, 0), max(counts.values(), default=0)
+    if 0 < n_min < k + 1:
         raise ValueError(f"SMOTE needs more than {k} minority rows, got {n_min}")
     base_rows = df.select(F.col(id_col).cast("long").alias(id_col), label,
                           F.col(vec).cast("array<double>").alias(vec), F.lit(False).alias("synthetic"))
     n_synth = n_max - n_min
     if n_synth == 0:
         return base_rows
-    mino = base_rows.where(F.col(label) == F.lit(minority)).select(id_col, vec)
-    nbrs = knn_within(mino, id_col, vec, k, block_rows)
+    mino = base_rows.where(F.col(label).eqNullSafe(F.lit(minority))).select(id_col, vec)
+    nbrs = knn_within(mino, id_col, vec, k, tile)
     ranked = class_rank(mino.withColumn("_c", F.lit(1)), "_c", id_col, seed).drop("_c")
     draws = spark.range(0, n_synth).select(
         F.col("id").alias("_j"),

@@ -1,8 +1,10 @@
 """Hash-ordered sampling: sizes, determinism across partitionings, exact neighbours."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from peakscreen.operators import knn
 from peakscreen.operators import sampling as sm
 
 
@@ -61,8 +63,8 @@ def test_knn_exact_and_smote(spark):
     rows = [(i, 1 if i < 20 else 0, [float(v) for v in X[i]]) for i in range(60)]
     df = spark.createDataFrame(rows, "row_id long, reported int, vec array<double>")
     mino = df.where("reported = 1")
-    for block_rows in (1000, 7):              # one block, and several blocks
-        nb = sm.knn_within(mino, "row_id", "vec", k=3, block_rows=block_rows).collect()
+    for tile in (1000, 7):                    # whole cells, and cells in several tiles
+        nb = sm.knn_within(mino, "row_id", "vec", k=3, tile=tile).collect()
         got = {}
         for r in nb:
             got.setdefault(r["row_id"], {})[r["nb_rank"]] = r["nb_id"]
@@ -79,3 +81,86 @@ def test_knn_exact_and_smote(spark):
     for r in syn:
         v = np.array(r["vec"])
         assert np.all(v >= lo - 1e-12) and np.all(v <= hi + 1e-12)
+
+
+def test_null_labels_are_a_class(spark):
+    rows = [(i, None if i < 11 else i % 2) for i in range(31)]
+    df = spark.createDataFrame(rows, "row_id long, reported int")
+    out = sm.stratified_split(df, "reported", "row_id", 0.33, 42)
+    test = out.where("split = 'test'")
+    assert out.count() == 31 and test.count() == 11
+    assert dict(test.groupBy("reported").count().collect()) == sm.allocate({None: 11, 0: 10, 1: 10}, 11)
+    assert dict(sm.under_sample(df, "reported", "row_id").groupBy("reported").count().collect()) == {None: 10, 0: 10, 1: 10}
+    assert dict(sm.over_sample(df, "reported", "row_id").groupBy("reported").count().collect()) == {None: 11, 0: 11, 1: 11}
+    subsets = sm.nested_subsets(df, "reported", "row_id", (0.5, 1.0))
+    assert subsets.where("subset IS NULL").isEmpty()
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "row_id long, reported int, vec array<double>")
+    for out in (sm.stratified_split(df, "reported", "row_id"), sm.random_split(df, "row_id"), sm.under_sample(df, "reported", "row_id"),
+                sm.over_sample(df, "reported", "row_id"), sm.smote(df, "reported", "row_id", "vec"),
+                sm.knn_within(df, "row_id", "vec"), sm.stratified_folds(df, "reported", "row_id"),
+                sm.nested_subsets(df, "reported", "row_id", (0.5, 1.0))):
+        assert out.collect() == []
+
+
+def test_cut_narrows_and_keeps_equal_ids_together(spark, monkeypatch):
+    """Many rows with one id share a hash; a bucket beyond the limit is narrowed digit by digit."""
+    monkeypatch.setattr(sm, "CUT_ROWS", 2)
+    monkeypatch.setattr(sm, "DIGITS", 1)
+    df = _labels(spark, 3000, 3)
+    need = {0: 1234, 1: 77}
+    got = sm.mark_first_n(df, "reported", "row_id", need, 42).where("_selected")
+    assert dict(got.groupBy("reported").count().collect()) == need
+    same = spark.createDataFrame([(None if i % 3 else 5, 0, i) for i in range(90)] + [(i, 0, i) for i in range(100, 130)],
+                                 "row_id long, reported int, x int")
+    sides = sm.random_split(same, "row_id", 0.4).groupBy("row_id").agg(F.count_distinct("split").alias("n"))
+    assert sides.where("n > 1").isEmpty()
+
+
+def test_cut_reads_its_input_once_and_ranks_nothing(spark):
+    plan = sm.under_sample(_labels(spark), "reported", "row_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan and plan.count("Scan ExistingRDD") <= 2
+
+
+def _plain_knn(rows, k):
+    out = []
+    for i, v in rows:
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if j != i)[:k]
+        out += [(i, n, j, round(d, 9)) for n, (d, j) in enumerate(near)]
+    return sorted(out)
+
+
+def _knn_rows(spark, rows, k, **params):
+    df = spark.createDataFrame(rows, "row_id long, vec array<double>").repartition(3)
+    return sorted((r[0], r[1], r[2], round(r[3], 9)) for r in sm.knn_within(df, "row_id", "vec", k, **params).collect())
+
+
+def test_knn_with_ties_copies_and_clusters(spark):
+    """A third of all rows are one vector, others lie on a grid with many equal distances."""
+    rng = np.random.RandomState(1)
+    grid = rng.randint(0, 6, (120, 3)).astype(float)
+    blobs = np.concatenate([c + rng.normal(size=(30, 3)) * .05 for c in rng.normal(size=(4, 3)) * 9])
+    vecs = [*grid.tolist(), *blobs.tolist(), *[[1.0, 2.0, 3.0]] * 110]
+    ids = rng.permutation(len(vecs)).tolist()
+    rows = list(zip(ids, vecs))
+    want = _plain_knn(rows, 4)
+    for params in ({}, {"tile": 16, "pivots": 9}, {"tile": 5, "pivots": 1}, {"pivots": 200}):
+        assert _knn_rows(spark, rows, 4, **params) == want
+
+
+def test_knn_prunes(spark):
+    """Compared pairs grow far slower than all pairs."""
+    rng = np.random.RandomState(2)
+    share = []
+    for n in (500, 2000, 8000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 3)))], "row_id long, vec array<double>")
+        share.append(knn.compared_pairs(df, "row_id", "vec", 5) / n ** 2)
+    assert share[0] > share[1] > share[2] and share[2] < 0.1
+
+
+def test_knn_refuses_null_vectors(spark):
+    df = spark.createDataFrame([(1, None), (2, [1.0])], "row_id long, vec array<double>")
+    with pytest.raises(Exception, match="no neighbours"):
+        sm.knn_within(df, "row_id", "vec").collect()
