@@ -7,8 +7,8 @@
 2. n-grams are counted inside the distinct chunks and weighted by the chunk's frequency. An n-gram belongs to
    the chunk in which it starts outside the trailing window (in the last chunk of a piece: anywhere), so
    that every occurrence counts once; the window is long enough for the longest phrase to end inside.
-3. Counting goes by length: words, then pairs of words that are frequent, then longer phrases whose pairs are
-   frequent. What is frequent reaches the tasks as a Bloom filter of bounded size; when it is too
+3. Counting goes by length: words, then pairs of words that are frequent, then triples whose pairs are
+   frequent, then longer phrases whose triples are. What is frequent reaches the tasks as a Bloom filter of bounded size; when it is too
    small for the data it lets more phrases through to the exact counts and loses none.
 4. Candidates (2 to ``LONGEST`` words, at least ``LEAST`` occurrences) take the score of their weakest cut, those that
    live inside a longer one are dropped, and each language reports its first ``TOP``.
@@ -67,9 +67,10 @@ class Words:
         ends = raw == 0xFF
         gap = ends | (raw == 32)
         starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        piece = np.cumsum(ends, dtype=np.int32)[starts]
+        narrow = np.int32 if len(raw) < 1 << 31 else np.int64
+        piece = np.cumsum(ends, dtype=narrow)[starts]
         body = raw[~gap]
-        offsets = np.append((np.arange(len(raw)) - np.cumsum(gap))[starts], len(body)) if len(starts) else np.zeros(1, np.int64)
+        offsets = np.append(starts - np.cumsum(gap, dtype=narrow)[starts], len(body)) if len(starts) else np.zeros(1, np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
         coded = words.dictionary_encode()
         return cls(coded.dictionary, coded.indices.to_numpy().astype(np.int64), piece)
@@ -211,25 +212,35 @@ def _keys(lang: np.ndarray | np.uint64, *hashes: np.ndarray) -> np.ndarray:
 
 
 def _filter_of(frequent: DataFrame, seed: int) -> Filter:
-    """Filter of ``lang`` and hash columns ``h1`` (and ``h2``). At most ``FILTER_BITS`` / 64 longs reach the driver."""
+    """Filter of ``lang`` and word hashes ``h1`` (and ``h2``), or of the words of ``phrase``.
+
+    At most ``FILTER_BITS`` / 64 longs reach the driver.
+    """
     n = frequent.count()
     bits = 64
     while bits < min(FILTER_BITS, n * BITS_PER_ENTRY):
         bits *= 2
     hashes = [c for c in ("h1", "h2") if c in frequent.columns]
 
+    def words_of(b: pa.RecordBatch) -> list[np.ndarray]:
+        if hashes:
+            return [b.column(c).to_numpy().view(np.uint64) for c in hashes]
+        parts = pc.split_pattern(b.column("phrase"), " ").flatten().dictionary_encode()
+        own = np.array([xxhash.xxh64_intdigest(w, seed) for w in parts.dictionary.to_pylist()], np.uint64)[parts.indices.to_numpy()]
+        return list(own.reshape(b.num_rows, -1).T)
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 langs = b.column("lang").dictionary_encode()
                 own = np.array([_lang_hash(x, seed) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
-                keys = _keys(own, *(b.column(c).to_numpy().view(np.uint64) for c in hashes))
+                keys = _keys(own, *words_of(b))
                 p = np.concatenate(Filter.places(keys, np.uint64(bits - 1)))
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)),
                                                   pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["at", "bit"])
 
     words = np.zeros(bits // 64, np.uint64)
-    marked = frequent.select("lang", *hashes).mapInArrow(mark, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bit"))
+    marked = frequent.select("lang", *(hashes or ["phrase"])).mapInArrow(mark, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bit"))
     for r in marked.toLocalIterator():
         words[r["at"]] = np.int64(r["bit"]).view(np.uint64)
     return Filter(bits, words)
@@ -270,29 +281,29 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent) -> Iterat
     return _gathered(batches, part)
 
 
-def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, size, f`` of phrases of three words and more whose pairs may all be frequent."""
+def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range) -> Iterator[pa.RecordBatch]:
+    """``lang, phrase, size, f`` of phrases of these sizes whose parts of ``known`` words may all be frequent."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             c = Counted.of(own)
             h = c.words.hashes(seed)[c.words.word]
             n = len(h)
-            pair = np.zeros(n, bool)
-            if n > 1:
-                inside = np.flatnonzero(c.room[:-1] > 1)
-                pair[inside] = frequent.value.has(_keys(_lang_hash(lang, seed), h[inside], h[inside + 1]))
-            at = np.flatnonzero(pair & c.counts)
+            begins = np.zeros(n, bool)
+            inside = np.flatnonzero(c.room >= known)
+            begins[inside] = frequent.value.has(_keys(_lang_hash(lang, seed), *(h[inside + i] for i in range(known))))
+            at = np.flatnonzero(begins & c.counts)
             code = c.words.word[at]
-            for size in range(2, LONGEST + 1):
+            for size in range(2, sizes.stop):
+                if size > known:
+                    on = (c.room[at] >= size) & begins[np.minimum(at + size - known, n - 1)]
+                    at, code = at[on], code[on]
                 # Codes of equal phrases stay equal and small: numbered anew with each word.
                 code = np.unique(code * (len(c.words.names) + 1) + c.words.word[at + size - 1], return_inverse=True)[1]
-                if size > 2:
+                if size in sizes:
                     first, f = c.summed(at, code)
                     yield pa.RecordBatch.from_arrays(
                         [_lang_column(lang, len(first)), c.words.joined(first, np.full(len(first), size)),
                          pa.array(np.full(len(first), size, np.int32)), pa.array(f)], names=["lang", "phrase", "size", "f"])
-                on = (c.room[at] > size) & pair[np.minimum(at + size - 1, n - 1)]
-                at, code = at[on], code[on]
 
     return _gathered(batches, part)
 
@@ -321,14 +332,18 @@ def phrase_counts(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     some = spark.sparkContext.broadcast(_filter_of(frequent_words, seed))
     pairs = staged(chunks.mapInArrow(lambda it: _pair_rows(it, seed, some), "lang string, h1 bigint, h2 bigint, f bigint")
                    .groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-pairs")
-    near = spark.sparkContext.broadcast(_filter_of(pairs, seed))
-    longer = chunks.mapInArrow(lambda it: _long_rows(it, seed, near), "lang string, phrase string, size int, f bigint") \
-        .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    def longer(frequent: DataFrame, known: int, sizes: range) -> DataFrame:
+        near = spark.sparkContext.broadcast(_filter_of(frequent, seed))
+        return staged(chunks.mapInArrow(lambda it: _long_rows(it, seed, near, known, sizes), "lang string, phrase string, size int, f bigint")
+                      .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-longer")
+
+    triples = longer(pairs, 2, range(3, 4))
+    rest = longer(triples, 3, range(4, LONGEST + 1))
     name = frequent_words.select("lang", "h1", F.col("phrase").alias("w"))
     named = pairs.join(name.select("lang", "h1", F.col("w").alias("w1")), ["lang", "h1"]) \
         .join(name.select("lang", F.col("h1").alias("h2"), F.col("w").alias("w2")), ["lang", "h2"])
     counts = staged(frequent_words.select("lang", "phrase", F.lit(1).alias("size"), "f").union(
-        named.select("lang", F.concat_ws(" ", "w1", "w2"), F.lit(2), "f")).union(longer.select("lang", "phrase", "size", "f")), "phrase-counts")
+        named.select("lang", F.concat_ws(" ", "w1", "w2"), F.lit(2), "f")).union(triples).union(rest), "phrase-counts")
     discard(spark, words_path)
     return counts, totals
 
