@@ -52,6 +52,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def boxed(docs: DataFrame, **own: Column) -> DataFrame:
+    """All columns in one struct ``row`` beside ``own``: whatever a table's columns are called, they meet no name
+    of ours. :func:`unboxed` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Texts without other letters take ``lower``, which is far cheaper."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakscreen.llm.common import let, lower_ascii, staged
+from peakscreen.llm.common import boxed, let, lower_ascii, staged, unboxed
 
 #: A word: letters, digits and everything beyond ASCII; the class form that Java scans fastest.
 WORD = r"[\p{Alnum}\P{ASCII}]+"
@@ -153,9 +153,8 @@ def decontam_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, same columns."""
     found = staged(hits(docs, benchmark).select("_id", "_th"), "decontam-found")
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return marked.join(found, marked["doc_id"].eqNullSafe(found["_id"])
-                       & (F.col("_text_hash") == F.col("_th")), "left_anti").drop("_text_hash")
+    marked = boxed(docs, id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    return unboxed(marked.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left_anti"))
 
 
 DECONTAM_SQL = r"""

@@ -43,7 +43,7 @@ _TEXTS = 500
 def shape(word: str) -> str:
     """Classes of a word's characters, runs shortened: ``Thing,`` is ``Xx.``."""
     out = []
-    for ch in word[:64]:
+    for ch in word:
         c = "x" if ch.islower() else "X" if ch.isupper() else "0" if ch.isdigit() else "a" if ch.isalpha() else ch
         if not out or out[-1] != c:
             out.append(c)

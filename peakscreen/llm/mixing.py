@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakscreen.llm.common import staged, unit_draw, word_count
+from peakscreen.llm.common import boxed, staged, unboxed, unit_draw, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -97,12 +97,10 @@ def mix_table(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, same columns."""
-    cols = docs.columns
     rates = staged(targets(staged(sized(docs), "mix-sizes")).coalesce(1), "mix-rates")
-    taken = copies(docs, rates)
-    repeated = taken.where(F.col("copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in cols])
+    taken = copies(boxed(docs, doc_id=F.col("doc_id"), source=F.col("source")), rates)
+    return unboxed(taken.where(F.col("copies") > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 MIX_SQL = r"""

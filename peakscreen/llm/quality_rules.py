@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakscreen.llm.common import WORD, let, staged
+from peakscreen.llm.common import WORD, boxed, let, staged, unboxed
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP = 30
@@ -176,8 +176,8 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The kept documents, same columns. The text is measured twice rather than shuffled."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return judged(measured(docs)).where("kept").select(*cols)
+    rows = boxed(docs, text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
+    return unboxed(judged(measured(rows)).where("kept"))
 
 
 def _fence_sql(name: str, source: str, keys: str) -> str:

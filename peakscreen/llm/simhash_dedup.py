@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakscreen.llm import bitslice
-from peakscreen.llm.common import LOWER_BYTES, map_arrow, staged
+from peakscreen.llm.common import LOWER_BYTES, boxed, map_arrow, staged, unboxed
 from peakscreen.llm.components import connected_components
 from peakscreen.session import ship_package
 
@@ -227,13 +227,11 @@ def dedup_table(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """One row of each near-duplicate group, same columns: the row with the smallest doc_id
     (nulls last; rows with equal ids: the smallest text hash; equal texts too: any one)."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
     groups = near_duplicates(docs, **params)
     best = groups.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
     keep = staged(best.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_th")),
                   "simhash-kept")
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"])
-                       & (F.col("_text_hash") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*cols)
+    marked = boxed(docs, id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    kept = marked.join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left_semi")
+    return unboxed(kept.dropDuplicates(["id", "text_hash"]))

@@ -289,7 +289,7 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents below the rejection severity, same columns."""
-    name = "_severity"
-    while name in docs.columns:
-        name = "_" + name
-    return score(docs, fit(docs, labels), name).where(F.col(name) < REJECT_AT).drop(name)
+    # Numbered names meet neither ours nor a dot, which the Arrow functions take for a field.
+    numbered = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    scored = score(numbered, fit(docs, labels), "severity")
+    return scored.where(F.col("severity") < REJECT_AT).drop("severity").toDF(*docs.columns)
