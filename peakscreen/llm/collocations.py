@@ -8,8 +8,10 @@
    the chunk in which it starts outside the trailing window (in the last chunk of a piece: anywhere), so
    that every occurrence counts once; the window is long enough for the longest phrase to end inside.
 3. Counting goes by length: words, then pairs of words that are frequent, then triples whose pairs are
-   frequent, then longer phrases whose triples are. What is frequent reaches the tasks as a Bloom filter of bounded size; when it is too
-   small for the data it lets more phrases through to the exact counts and loses none.
+   frequent, then longer phrases whose triples are. What is frequent reaches the tasks as a Bloom filter of bounded size. Pairs and
+   triples are first counted by hash in a table of bounded size per task; those whose bucket stays below the
+   threshold over all tasks are not counted further. Either device, when too small for the data, lets more phrases
+   through to the exact counts and loses none.
 4. Candidates (2 to ``LONGEST`` words, at least ``LEAST`` occurrences) take the score of their weakest cut, those that
    live inside a longer one are dropped, and each language reports its first ``TOP``.
 
@@ -42,6 +44,8 @@ PERIOD = 12
 GATHER = 1 << 21
 #: Bits of the filter at most, and bits for each entry below that.
 FILTER_BITS, BITS_PER_ENTRY = 1 << 26, 16
+#: Buckets of the hashed counts at most (one byte each in a task), and ranges by which tasks' tables are added up.
+BUCKETS, RANGES = 1 << 24, 256
 _END = b"\xff"                   # stands in no UTF-8 text
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -174,12 +178,13 @@ class Counted:
         last = t.column("last").combine_chunks().to_numpy(zero_copy_only=False)[words.piece]
         return cls(words, t.column("n").combine_chunks().to_numpy()[words.piece], room, last | (room > OVERLAP))
 
-    def summed(self, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One position and the summed weights of each distinct code."""
+    @staticmethod
+    def summed(at: np.ndarray, code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of ``at`` and the summed weights of each distinct code."""
         by = np.argsort(code, kind="stable")
         sorted_ = code[by]
         first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(by) else np.zeros(0, np.int64)
-        return at[by][first], np.add.reduceat(self.weight[at][by], first) if len(by) else np.zeros(0, np.int64)
+        return at[by][first], np.add.reduceat(weight[by], first) if len(by) else np.zeros(0, np.int64)
 
 
 class Filter:
@@ -265,45 +270,109 @@ def _word_rows(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Reco
     return _gathered(batches, part)
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent) -> Iterator[pa.RecordBatch]:
+def _starts(c: Counted, h: np.ndarray, lang: np.uint64, frequent: Filter, known: int, size: int) -> np.ndarray:
+    """Positions of phrases of ``size`` words whose parts of ``known`` words may all be frequent."""
+    begins = np.zeros(len(h), bool)
+    inside = np.flatnonzero(c.room >= known)
+    begins[inside] = frequent.has(_keys(lang, *(h[inside + i] for i in range(known))))
+    at = np.flatnonzero(begins & c.counts & (c.room >= size))
+    for i in range(1, size - known + 1):
+        at = at[begins[at + i]]
+    return at
+
+
+def _bucket(lang: np.uint64, h: np.ndarray, at: np.ndarray, size: int, buckets: int) -> np.ndarray:
+    return (_keys(lang, *(h[at + i] for i in range(size))) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, buckets: int, least: int) -> Iterator[pa.RecordBatch]:
+    """``part, counts``: a task's counts of phrases of one word more than ``known`` by hash, none above ``least``."""
+    table = np.zeros(buckets, np.min_scalar_type(least))
+
+    def part(t: pa.Table):
+        for lang, own in _by_lang(t):
+            c = Counted.of(own)
+            h = c.words.hashes(seed)[c.words.word]
+            code = _lang_hash(lang, seed)
+            at = _starts(c, h, code, frequent.value, known, known + 1)
+            bucket = _bucket(code, h, at, known + 1, buckets)
+            first, n = c.summed(np.arange(len(at)), bucket, c.weight[at])
+            where = bucket[first]
+            table[where] = np.minimum(table[where] + n, least)
+        return ()
+
+    for _ in _gathered(batches, part):
+        pass
+    if table.any():
+        for i, x in enumerate(np.split(table, min(RANGES, buckets))):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
+
+
+def _promising(chunks: DataFrame, seed: int, frequent, known: int, buckets: int, least: int) -> np.ndarray:
+    """Whether a bucket reaches ``least`` over all tasks. One bit per bucket reaches the driver."""
+    kind = np.min_scalar_type(least)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+
+        def done():
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())],
+                                                 names=["part", "bits"])
+
+        for b in batches:
+            for i, counts in zip(b.column("part").to_pylist(), b.column("counts")):
+                x = np.frombuffer(counts.as_buffer(), kind)
+                if i != now:
+                    yield from done()
+                    now, sums = i, np.zeros(len(x), np.int64)
+                sums += x
+        yield from done()
+
+    tables = chunks.mapInArrow(lambda it: _hashed_counts(it, seed, frequent, known, buckets, least), "part int, counts binary")
+    summed = tables.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
+    out, parts = np.zeros(buckets, bool), min(RANGES, buckets)
+    for r in summed.toLocalIterator():
+        lo = r["part"] * (buckets // parts)
+        out[lo:lo + buckets // parts] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:buckets // parts]
+    return out
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, hopeful) -> Iterator[pa.RecordBatch]:
     """``lang, h1, h2, f`` of pairs of words that may both be frequent."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             c = Counted.of(own)
-            h = c.words.hashes(seed)
-            ok = frequent.value.has(_keys(_lang_hash(lang, seed), h))[c.words.word]
-            at = np.flatnonzero(c.counts[:-1] & (c.room[:-1] > 1) & ok[:-1] & ok[1:])
-            first, f = c.summed(at, c.words.word[at] * len(h) + c.words.word[at + 1])
+            hashes = c.words.hashes(seed)
+            h, code = hashes[c.words.word], _lang_hash(lang, seed)
+            at = _starts(c, h, code, frequent.value, 1, 2)
+            at = at[hopeful.value[_bucket(code, h, at, 2, len(hopeful.value))]]
+            first, f = c.summed(at, c.words.word[at] * len(hashes) + c.words.word[at + 1], c.weight[at])
             yield pa.RecordBatch.from_arrays(
-                [_lang_column(lang, len(first)), pa.array(h[c.words.word[first]].view(np.int64)),
-                 pa.array(h[c.words.word[first + 1]].view(np.int64)), pa.array(f)], names=["lang", "h1", "h2", "f"])
+                [_lang_column(lang, len(first)), pa.array(h[first].view(np.int64)), pa.array(h[first + 1].view(np.int64)), pa.array(f)],
+                names=["lang", "h1", "h2", "f"])
 
     return _gathered(batches, part)
 
 
-def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range) -> Iterator[pa.RecordBatch]:
+def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range, hopeful=None) -> Iterator[pa.RecordBatch]:
     """``lang, phrase, size, f`` of phrases of these sizes whose parts of ``known`` words may all be frequent."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             c = Counted.of(own)
-            h = c.words.hashes(seed)[c.words.word]
-            n = len(h)
-            begins = np.zeros(n, bool)
-            inside = np.flatnonzero(c.room >= known)
-            begins[inside] = frequent.value.has(_keys(_lang_hash(lang, seed), *(h[inside + i] for i in range(known))))
-            at = np.flatnonzero(begins & c.counts)
-            code = c.words.word[at]
-            for size in range(2, sizes.stop):
-                if size > known:
-                    on = (c.room[at] >= size) & begins[np.minimum(at + size - known, n - 1)]
-                    at, code = at[on], code[on]
+            h, lang_code = c.words.hashes(seed)[c.words.word], _lang_hash(lang, seed)
+            for size in sizes:
+                at = _starts(c, h, lang_code, frequent.value, known, size)
+                if hopeful is not None:
+                    at = at[hopeful.value[_bucket(lang_code, h, at, size, len(hopeful.value))]]
                 # Codes of equal phrases stay equal and small: numbered anew with each word.
-                code = np.unique(code * (len(c.words.names) + 1) + c.words.word[at + size - 1], return_inverse=True)[1]
-                if size in sizes:
-                    first, f = c.summed(at, code)
-                    yield pa.RecordBatch.from_arrays(
-                        [_lang_column(lang, len(first)), c.words.joined(first, np.full(len(first), size)),
-                         pa.array(np.full(len(first), size, np.int32)), pa.array(f)], names=["lang", "phrase", "size", "f"])
+                code = c.words.word[at]
+                for i in range(1, size):
+                    code = np.unique(code * (len(c.words.names) + 1) + c.words.word[at + i], return_inverse=True)[1]
+                first, f = c.summed(at, code, c.weight[at])
+                yield pa.RecordBatch.from_arrays(
+                    [_lang_column(lang, len(first)), c.words.joined(first, np.full(len(first), size)),
+                     pa.array(np.full(len(first), size, np.int32)), pa.array(f)], names=["lang", "phrase", "size", "f"])
 
     return _gathered(batches, part)
 
@@ -329,16 +398,20 @@ def phrase_counts(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     else:
         raise RuntimeError("words share hashes under every seed")
     totals = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-    some = spark.sparkContext.broadcast(_filter_of(frequent_words, seed))
-    pairs = staged(chunks.mapInArrow(lambda it: _pair_rows(it, seed, some), "lang string, h1 bigint, h2 bigint, f bigint")
+    n_words = int(totals.agg(F.sum("n")).first()[0] or 0)
+    buckets = min(BUCKETS, max(1 << 12, 1 << (n_words // 8).bit_length()))
+    share = spark.sparkContext.broadcast
+    some = share(_filter_of(frequent_words, seed))
+    hopeful = share(_promising(chunks, seed, some, 1, buckets, least))
+    pairs = staged(chunks.mapInArrow(lambda it: _pair_rows(it, seed, some, hopeful), "lang string, h1 bigint, h2 bigint, f bigint")
                    .groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-pairs")
-    def longer(frequent: DataFrame, known: int, sizes: range) -> DataFrame:
-        near = spark.sparkContext.broadcast(_filter_of(frequent, seed))
-        return staged(chunks.mapInArrow(lambda it: _long_rows(it, seed, near, known, sizes), "lang string, phrase string, size int, f bigint")
+    def longer(near, known: int, sizes: range, hopes) -> DataFrame:
+        return staged(chunks.mapInArrow(lambda it: _long_rows(it, seed, near, known, sizes, hopes), "lang string, phrase string, size int, f bigint")
                       .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-longer")
 
-    triples = longer(pairs, 2, range(3, 4))
-    rest = longer(triples, 3, range(4, LONGEST + 1))
+    near = share(_filter_of(pairs, seed))
+    triples = longer(near, 2, range(3, 4), share(_promising(chunks, seed, near, 2, buckets, least)))
+    rest = longer(share(_filter_of(triples, seed)), 3, range(4, LONGEST + 1), None)
     name = frequent_words.select("lang", "h1", F.col("phrase").alias("w"))
     named = pairs.join(name.select("lang", "h1", F.col("w").alias("w1")), ["lang", "h1"]) \
         .join(name.select("lang", F.col("h1").alias("h2"), F.col("w").alias("w2")), ["lang", "h2"])
