@@ -18,7 +18,9 @@ from peakscreen import schema as S
 from peakscreen.functions.decisions import (f1_from_counts, precision_from_counts,
                                             recall_from_counts)
 from peakscreen.functions.names import display_name
-from peakscreen.operators.prefix import running_total
+from pyspark.storagelevel import StorageLevel
+
+from peakscreen.operators.prefix import descending, running_total
 
 
 def _col(c: str | Column) -> Column:
@@ -206,22 +208,25 @@ def class_report(df: DataFrame, score: str = "probas", label: str = "reported",
 
 # -- A7, A8, A16 --------------------------------------------------------------
 
+def _score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
+    y = F.coalesce(_col(label) == 1, F.lit(False))
+    return df.where(_col(score).isNotNull()).groupBy(_col(score).alias("threshold")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+
+
 def roc_points(df: DataFrame, score: str = "probas", label: str = "reported",
                n_blocks: int | None = None, keep_counts: bool = False,
                drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fps, tps, fpr, tpr) for every distinct score, descending.
 
-    Rows with a null score are ignored. All points are kept (no collinear-point
-    dropping); the curve's (0, 0) start is added by :func:`profit_curve`.
+    Rows with a null score are ignored, a null label counts as negative. All points are kept (no collinear-point
+    dropping); the curve's (0, 0) start is added by :func:`profit_curve`. The points are persisted
+    while they are summed up: totals, bounds and running sums read them, not the input.
     """
-    y = _col(label) == 1
-    pts = df.where(_col(score).isNotNull()).groupBy(_col(score).alias("threshold")).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    totals = df.where(_col(score).isNotNull()).agg(
-        F.count_if(y).alias("p"), F.count_if(~y).alias("n")).first()
-    p, n = int(totals["p"]), int(totals["n"])
-    cum = running_total(pts, ["pos", "neg"], [F.col("threshold").desc()], out=["tps", "fps"],
-                        n_blocks=n_blocks)
+    pts = _score_counts(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = pts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    p, n = int(totals["p"] or 0), int(totals["n"] or 0)
+    cum = running_total(pts, ["pos", "neg"], descending("threshold"), out=["tps", "fps"], n_blocks=n_blocks)
     extra = ["pos", "neg"] if keep_counts else []
     if drop_intermediate:
         cum = _drop_collinear(cum)
@@ -238,7 +243,7 @@ def _drop_collinear(cum: DataFrame) -> DataFrame:
     difference of fps or tps is non-zero. Neighbours are found by equi-joins on
     the point's rank (from a distributed running count), not an ordered window.
     """
-    ranked = running_total(cum.withColumn("_one", F.lit(1)), ["_one"], [F.col("threshold").desc()],
+    ranked = running_total(cum.withColumn("_one", F.lit(1)), ["_one"], descending("threshold"),
                            out=["_r"]).drop("_one")
     nb = ranked.select(F.col("_r"), F.col("fps").alias("_f"), F.col("tps").alias("_t"))
     prev = nb.select((F.col("_r") + 1).alias("_r"), F.col("_f").alias("_fp"), F.col("_t").alias("_tp"))
@@ -256,12 +261,11 @@ def roc_auc(df: DataFrame, score: str = "probas", label: str = "reported") -> fl
     Each point knows its own increments (pos, neg), so the segment from the
     previous point is neg/N * (2*tps - pos) / (2P): no ordering window is needed.
     """
-    y = _col(label) == 1
-    pts = df.where(_col(score).isNotNull()).groupBy(_col(score).alias("threshold")).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    cum = running_total(pts, ["pos"], [F.col("threshold").desc()], out=["tps"])
+    pts = _score_counts(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    cum = running_total(pts, ["pos"], descending("threshold"), out=["tps"])
     r = cum.agg(F.sum(F.col("neg") * (2 * F.col("tps") - F.col("pos"))).alias("s"),
                 F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    pts.unpersist()
     if not r["p"] or not r["n"]:
         return float("nan")
     return float(r["s"]) / (2.0 * r["p"] * r["n"])
@@ -316,10 +320,11 @@ def score_histogram(df: DataFrame, score: str = "probas", group: str = "analyte"
     base = df.where(s.isNotNull()).select(_col(group).alias(group), _col(cls).alias(cls),
                                           s.alias("_x"))
     stats = base.groupBy(group, cls).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    stats = stats.select(group, cls,
+    stats = stats.select(F.col(group).alias("_g"), F.col(cls).alias("_c"),
                          F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
                          F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
-    j = base.join(stats, [group, cls])
+    # A null group or class is a group of its own.
+    j = base.join(stats, F.col(group).eqNullSafe(F.col("_g")) & F.col(cls).eqNullSafe(F.col("_c")))
     lo, hi = F.col("_lo"), F.col("_hi")
     step = (hi - lo) / F.lit(float(bins))
 

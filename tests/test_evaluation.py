@@ -100,3 +100,9 @@ def test_rounded_f1_loss(spark):
     df = spark.createDataFrame([(0.5, 1), (0.51, 1), (0.2, 0), (0.7, 0)], "probas double, reported int")
     # 0.5 rounds to 0 (half to even): tp=1, fp=1, fn=1 -> F1 = 0.5
     assert abs(ev.rounded_f1_loss(df) - 0.5) < 1e-12
+
+
+def test_histogram_counts_null_groups(spark):
+    df = spark.createDataFrame([(.1, None, 1), (.2, "a", None), (.3, "a", 0)], "probas double, analyte string, reported int")
+    out = ev.score_histogram(df).collect()
+    assert sum(r.n for r in out) == 3 and {(r.analyte, r.reported) for r in out} == {(None, 1), ("a", None), ("a", 0)}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakscreen.operators.prefix import running_total
+from peakscreen.operators.prefix import descending, running_total
 
 
 @pytest.mark.parametrize("n_blocks", [1, 3, 7])
@@ -27,7 +27,7 @@ def test_matches_window_with_hot_key(spark, n_blocks):
 
 def test_descending_and_nulls(spark):
     df = spark.createDataFrame([(1, 3.0, 1), (2, 2.0, None), (3, 1.0, 4)], "row_id long, s double, v long")
-    out = running_total(df, ["v"], [F.col("s").desc()], n_blocks=2)
+    out = running_total(df, ["v"], descending("s"), n_blocks=2)
     got = {r["row_id"]: r["v_cum"] for r in out.collect()}
     assert got == {1: 1, 2: 1, 3: 5}
 
@@ -38,7 +38,7 @@ def test_aqe_sized_blocks_stay_ordered(spark):
     try:
         rows = [(i, 7 if i % 3 == 0 else i, (i * 13) % 5) for i in range(3000)]
         df = spark.createDataFrame(rows, "row_id long, t long, v long")
-        out = running_total(df, ["v"], ["t", "row_id"])        # AQE decides the block count
+        out = running_total(df, ["v"], ["t", "row_id"])        # blocks follow the shuffle partitions
         w = Window.orderBy("t", "row_id").rowsBetween(Window.unboundedPreceding, 0)
         ref = df.withColumn("ref", F.sum("v").over(w))
         j = out.join(ref.select("row_id", "ref"), "row_id")
@@ -69,3 +69,20 @@ def test_exact_longs_null_groups_and_late_timestamps(spark):
     out = {r["id"]: r for r in running_total(df, ["v"], ["ts", "id"], ["grp"], n_blocks=3).collect()}
     assert [out[i]["v_cum"] for i in (1, 2, 3, 4)] == [big, big, 2 * big + 2, 5]
     assert [out[i]["v"] for i in (1, 2, 3)] == [big, None, big + 2] and out[3]["ts"].year == 3000
+
+
+def test_descending_sorts_as_spark_does(spark):
+    rows = [(i, v) for i, v in enumerate([1.0, None, float("nan"), float("inf"), -2.0, float("-inf"), 0.0, None])]
+    df = spark.createDataFrame(rows, "id long, s double")
+    plain = [r.id for r in df.orderBy(F.col("s").desc(), "id").collect()]
+    assert plain == [r.id for r in df.orderBy(*descending("s"), "id").collect()]
+
+
+def test_one_shuffle_of_the_rows_and_no_checkpoint(spark):
+    rows = [(i, i % 7, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, t long, v long")
+    out = running_total(df, ["v"], ["t", "row_id"], n_blocks=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "RepartitionByExpression" not in plan
+    a = {r.row_id: r.v_cum for r in out.collect()}
+    assert a == {r.row_id: r.v_cum for r in running_total(df.repartition(13), ["v"], ["t", "row_id"], n_blocks=5).collect()}
