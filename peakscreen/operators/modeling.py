@@ -302,17 +302,19 @@ def early_stopped_gbt(train: DataFrame, features: Sequence[str], label: str = "r
     return fm
 
 
-def pca_summary(df: DataFrame, features: Sequence[str], k: int = 4,
-                id_col: str = "row_id") -> tuple[list[float], DataFrame]:
-    """Explained variance (percent) of k components and the 2-D projection.
-
-    Spark's PCA does not centre, so the input is standardised first.
-    """
+def fit_pca(df: DataFrame, features: Sequence[str], k: int) -> PipelineModel:
+    """assemble -> population scaler -> PCA; Spark's PCA does not centre, the scaler does."""
     n = df.count()
     stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
     stages += population_scaler(n, len(features))
     stages.append(PCA(k=k, inputCol="scaled", outputCol="pca"))
-    model = Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(df)
+
+
+def pca_summary(df: DataFrame, features: Sequence[str], k: int = 4,
+                id_col: str = "row_id") -> tuple[list[float], DataFrame]:
+    """Explained variance (percent) of k components and the 2-D projection."""
+    model = fit_pca(df, features, k)
     ratios = [float(x) * 100.0 for x in model.stages[-1].explainedVariance.toArray()]
     pts = model.transform(df).select(id_col, vector_to_array("pca").alias("_p"))
     pts = pts.select(id_col, F.col("_p")[0].alias("pc1"), F.col("_p")[1].alias("pc2"))

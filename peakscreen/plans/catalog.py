@@ -468,4 +468,4 @@ def all_sql() -> dict[str, str]:
 
 
 def _load_extensions() -> None:
-    from peakscreen.plans import catalog_eval, catalog_files, catalog_ml, catalog_tables  # noqa: F401
+    from peakscreen.plans import catalog_certificates, catalog_eval, catalog_files, catalog_jobs, catalog_ml, catalog_tables  # noqa: F401

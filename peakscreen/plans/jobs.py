@@ -6,7 +6,7 @@ sinks (Parquet writes) and small summaries trigger execution.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,15 +76,21 @@ def batch_features(rows: DataFrame, vocabulary: Sequence[str] = S.ANALYTES) -> D
     return df
 
 
-def score_batch(rows: DataFrame, model: md.FittedModel, threshold: float = 0.4) -> DataFrame:
+#: A fitted model, or any function that appends the probability ``probs`` to a batch's features.
+Scorer = md.FittedModel | Callable[[DataFrame], DataFrame]
+
+
+def score_batch(rows: DataFrame, model: Scorer, threshold: float = 0.4) -> DataFrame:
     """C4: features -> probability -> decision, expectation, control errors, review flag."""
     feats = batch_features(rows)
-    filled = feats.na.fill(0, subset=model.features)
-    scored = md.score(model, filled, out="probs")
+    if isinstance(model, md.FittedModel):
+        scored = md.score(model, feats.na.fill(0, subset=model.features), out="probs")
+    else:
+        scored = model(feats)
     return qc.add_decisions(scored, score="probs", threshold=threshold)
 
 
-def evaluate_batch(spark: SparkSession, path: str, model: md.FittedModel,
+def evaluate_batch(spark: SparkSession, path: str, model: Scorer,
                    threshold: float = 0.4, upload: bool = False) -> dict:
     """C4: one uploaded batch -> failed controls, dirty blanks, review list, status."""
     parsed = ins.read_upload(spark, path) if upload else ins.read_instrument_dir(spark, path)
@@ -94,7 +100,7 @@ def evaluate_batch(spark: SparkSession, path: str, model: md.FittedModel,
             "status": qc.control_status(decided), "rejected": parsed.rejected}
 
 
-def batch_profit_job(spark: SparkSession, export_dir: str, model: md.FittedModel,
+def batch_profit_job(spark: SparkSession, export_dir: str, model: Scorer,
                      threshold: float = 0.4) -> DataFrame:
     """Every batch in a directory scored; running profit over acquisition time."""
     cols = list(S.PEAK_COLUMNS) + [S.ACQUISITION_DATE]
@@ -130,3 +136,10 @@ class FeatureData:
 
     def over(self, df: DataFrame, seed: int = 42) -> DataFrame:
         return sm.over_sample(df, self.label, self.id_col, seed)
+
+    def smote(self, df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+        """Balanced by synthetic rows over all numeric features; their ids are negative."""
+        names = fe.feature_columns(df, self.label, (self.id_col,))
+        vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in names]).alias("vec")
+        out = sm.smote(df.select(self.id_col, self.label, vec), self.label, self.id_col, "vec", k, seed)
+        return out.select(self.id_col, self.label, *[F.col("vec")[i].alias(c) for i, c in enumerate(names)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -40,3 +42,17 @@ def load_model(path: str):
     """Load a model saved by :func:`save_model`."""
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def save_fitted(spark: SparkSession, fitted, path: str) -> None:
+    """Persist a ``FittedModel`` whole: pipeline (scaler included), name, features and threshold."""
+    save_model(fitted.model, f"{path}/pipeline")
+    about = {"name": fitted.name, "features": list(fitted.features), "threshold": fitted.threshold}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_fitted(spark: SparkSession, path: str):
+    """Load a model saved by :func:`save_fitted`, ready to score."""
+    from peakscreen.operators.modeling import FittedModel
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    return FittedModel(about["name"], load_model(f"{path}/pipeline"), about["features"], about["threshold"])

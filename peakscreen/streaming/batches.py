@@ -95,12 +95,16 @@ def write_event_exports(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
         F.concat_ws("\t", F.concat(F.lit("S"), F.col("user_id").cast("string")), st,
                     F.concat(F.col("event_type"), F.lit("-1")), F.col("user_id").cast("string"),
                     k, F.col("value").cast("string")).alias("value"))
+    write_exports(rows, ROUNDTRIP_COLUMNS, out_dir)
+
+
+def write_exports(rows: DataFrame, columns: Sequence[str], out_dir: str) -> None:
+    """Write ``day, bucket, _ord, value`` lines as one export file per (day, bucket): preamble, header, lines in order."""
     keys = rows.select("day", "bucket").distinct()
     head = keys.select("day", "bucket", F.lit(-2).cast("long").alias("_ord"),
                        F.concat(F.lit("Peak Name: events\nExported "), F.col("day"),
                                 F.lit("\n")).alias("value"))
-    header = keys.select("day", "bucket", F.lit(-1).cast("long").alias("_ord"),
-                         F.lit("\t".join(ROUNDTRIP_COLUMNS)).alias("value"))
+    header = keys.select("day", "bucket", F.lit(-1).cast("long").alias("_ord"), F.lit("\t".join(columns)).alias("value"))
     allr = head.unionByName(header).unionByName(rows)
     (allr.repartition("day", "bucket").sortWithinPartitions("day", "bucket", "_ord")
      .select("day", "bucket", "value")
