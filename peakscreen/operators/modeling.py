@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from peakscreen.operators import boosting as bo
 from peakscreen.operators import evaluation as ev
 from peakscreen.operators import sampling as sm
 
@@ -103,7 +104,7 @@ def make_estimator(kind: str, n_features: int, features_col: str = "scaled",
 class FittedModel:
     """A fitted pipeline, its feature names and the threshold chosen for it."""
     name: str
-    model: PipelineModel
+    model: PipelineModel | bo.BoostedTrees
     features: list[str]
     threshold: float = 0.5
     extras: dict = field(default_factory=dict)
@@ -112,12 +113,15 @@ class FittedModel:
 def fit_model(train: DataFrame, features: Sequence[str], kind: str, label: str = "reported",
               name: str | None = None, weighted: bool = True, pos_weight: float | None = None,
               **params) -> FittedModel:
-    """assemble -> population scaler -> estimator, fitted on ``train``.
+    """assemble -> population scaler -> estimator, fitted on ``train`` (L1-L5); ``boosting`` is the study's
+    own (:mod:`peakscreen.operators.boosting`), ``gbt`` Spark's.
 
     Boosting weighs positives ``pos_weight`` times (2 unless given); the other
     families balance the classes (F21).
     """
     feats = list(features)
+    if kind == "boosting":
+        return FittedModel(name or kind, bo.fit_boosted(train, feats, label, **params), feats)
     data = train.withColumn("label", F.col(label).cast("double"))
     if weighted and kind == "gbt":
         heavy = BOOST_POS_WEIGHT if pos_weight is None else pos_weight
@@ -143,6 +147,8 @@ def fit_model(train: DataFrame, features: Sequence[str], kind: str, label: str =
 
 def score(fm: FittedModel, df: DataFrame, out: str = "probas") -> DataFrame:
     """Probability of class 1 for every row (L10); input columns are kept."""
+    if isinstance(fm.model, bo.BoostedTrees):
+        return fm.model.score(df, out)
     scored = fm.model.transform(df)
     keep = [c for c in df.columns]
     return scored.select(*[F.col(f"`{c}`") for c in keep],
@@ -151,6 +157,8 @@ def score(fm: FittedModel, df: DataFrame, out: str = "probas") -> DataFrame:
 
 def coefficients(fm: FittedModel) -> list[tuple[str, float]]:
     """Weight per feature (L11): coefficients or feature importances."""
+    if isinstance(fm.model, bo.BoostedTrees):
+        return fm.model.importances()
     est = fm.model.stages[-1]
     if hasattr(est, "coefficients"):
         w = est.coefficients.toArray()
@@ -208,6 +216,24 @@ def compare_models(kinds: Sequence[str], train: DataFrame, valid: DataFrame, tes
     return df, fitted
 
 
+def comparison_reports(fitted: Sequence[FittedModel], test: DataFrame, label: str = "reported") -> DataFrame:
+    """Class report of every model at its threshold (A15), with a ``model`` column."""
+    return ev.stack_curves([(fm.name, ev.class_report(score(fm, test), "probas", label, fm.threshold)) for fm in fitted], "model")
+
+
+def comparison_curves(fitted: Sequence[FittedModel], test: DataFrame, label: str = "reported") -> DataFrame:
+    """ROC points of every model (A15), with a ``model`` column."""
+    return ev.stack_curves([(fm.name, ev.roc_points(score(fm, test), "probas", label)) for fm in fitted], "model")
+
+
+def profit_by_model(fitted: Sequence[FittedModel], test: DataFrame, label: str = "reported", cost=(0.0, 0.0, -1.0, 0.5),
+                    extra_negatives: int = 27445) -> DataFrame:
+    """Profit curves of differently fitted models on the same rows."""
+    tot = test.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
+    return ev.stack_curves([(fm.name, ev.profit_curve(ev.roc_points(score(fm, test), "probas", label), int(tot["p"]), int(tot["n"]), cost,
+                                                      extra_negatives)) for fm in fitted], "model")
+
+
 def profit_by_sampling(methods: dict[str, DataFrame], test: DataFrame, features: Sequence[str],
                        kind: str = "gbt", label: str = "reported",
                        cost=(0.0, 0.0, -1.0, 0.5), extra_negatives: int = 27445,

@@ -137,20 +137,24 @@ def forest_probabilities(bins: np.ndarray, y: np.ndarray, other: np.ndarray, tre
 
 def boosted_margins(bins: np.ndarray, y: np.ndarray, other: np.ndarray, rounds: int, eta: float, how: Growth, seed: int,
                     subsample: float = 1.0, columns: float = 1.0, pos_weight: float = 1.0,
-                    start: tuple[int, np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                    start: tuple[int, np.ndarray, np.ndarray] | None = None,
+                    keep: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(round, margins of the training rows, margins of the other rows) of logistic boosting, round by round.
 
     Each round draws from a generator of its own, so boosting goes on from ``start`` as if it had never stopped.
+    ``keep`` collects the columns and the tree of each round.
     """
     first, own, margins = start or (0, np.zeros(len(y)), np.zeros(len(other)))
     weight = np.where(y == 1, pos_weight, 1.0)
-    keep = max(1, round(columns * bins.shape[1]))
+    n_cols = max(1, round(columns * bins.shape[1]))
     for r in range(first + 1, first + rounds + 1):
         rng = np.random.default_rng((seed, r))
         p = 1 / (1 + np.exp(-own))
         n = weight * (rng.random(len(y)) < subsample)
-        cols = np.sort(rng.permutation(bins.shape[1])[:keep])
+        cols = np.sort(rng.permutation(bins.shape[1])[:n_cols])
         tree = grow(bins[:, cols], n * (p - y), n * p * (1 - p), n, how, rng)
         own = own + eta * tree.predict(bins[:, cols])
         margins = margins + eta * tree.predict(other[:, cols])
+        if keep is not None:
+            keep.append((cols, tree))
         yield r, own, margins

@@ -25,10 +25,6 @@ from peakscreen.session import ensure_checkpoint_dir
 # The part-type vocabulary used as the one-hot "analyte" column.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 CONTINUOUS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
-#: Settings of the registered fits, smaller than the operators' defaults (551 rounds, depth 30):
-#: a checking run fits every family several times. They bound the model, never the rows.
-FIT_PARAMS = {"forest": {"maxDepth": 8}, "gbt": {"maxIter": 50}}
-
 
 def lineitem_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table: row_id, 6 continuous features, 6 one-hot part types, label ``reported``."""
@@ -60,7 +56,7 @@ def _scores_query(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         feats, train, test = _splits(spark, sf_dir)
         train_us = sm.under_sample(train, "reported", "row_id", 42)
-        fm = md.fit_model(train_us, feature_names(feats), kind, **FIT_PARAMS.get(kind, {}))
+        fm = md.fit_model(train_us, feature_names(feats), kind)
         s = md.score(fm, test)
         return s.select("row_id", "reported", r6("probas").alias("probas"),
                         F.when(F.col("probas") >= 0.5, 1).otherwise(0).alias("prediction"))
@@ -69,7 +65,7 @@ def _scores_query(kind: str):
 
 
 for _kind, _name in [("logistic", "logistic_scores"), ("forest", "forest_scores"),
-                     ("gbt", "gbt_scores"), ("mlp", "mlp_scores")]:
+                     ("boosting", "gbt_scores"), ("mlp", "mlp_scores")]:
     register(_name)(_scores_query(_kind))
 
 
@@ -151,17 +147,33 @@ def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
                       r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("sq_norm"))
 
 
-@register("model_comparison")
-def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three model families; threshold picked on a validation split, F1 on test."""
+def _compared(spark: SparkSession, sf_dir: str):
     feats, train, test = _splits(spark, sf_dir)
     inner = sm.stratified_split(train, "reported", "row_id", 0.25, 7).cache()
     fit_part = sm.under_sample(inner.where(F.col("split") == "train").drop("split"),
                                "reported", "row_id", 42)
     valid = inner.where(F.col("split") == "test").drop("split")
-    table, _ = md.compare_models(["logistic", "forest", "gbt"], fit_part, valid, test,
-                                 feature_names(feats), params=FIT_PARAMS)
-    return table
+    table, fitted = md.compare_models(["logistic", "forest", "boosting"], fit_part, valid, test, feature_names(feats))
+    return table, fitted, test
+
+
+@register("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three model families; threshold picked on a validation split, F1 and AUC on test, and the class report."""
+    table, fitted, test = _compared(spark, sf_dir)
+    report = md.comparison_reports(fitted, test)
+    rows = report.groupBy("model").agg(*[
+        F.max(F.when(F.col("class") == c, F.col(m))).alias(f"{m}_{c}") for c in ("0", "1") for m in ("precision", "recall", "f1", "support")])
+    return table.join(rows, "model")
+
+
+@register("profit_by_model")
+def profit_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profit curves of logistic regression and boosting on the same test rows."""
+    feats, train, test = _splits(spark, sf_dir)
+    rows = sm.under_sample(train, "reported", "row_id", 42)
+    fitted = [md.fit_model(rows, feature_names(feats), kind) for kind in ("logistic", "boosting")]
+    return md.profit_by_model(fitted, test).select("model", "threshold", r6("fpr_adj").alias("fpr_adj"), "tpr", r6("profit").alias("profit"))
 
 
 @register("profit_by_sampling")
@@ -219,10 +231,12 @@ def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("learning_curve")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train and validation F1 by training size over 3 stratified folds."""
-    feats, train, _ = _splits(spark, sf_dir)
-    train_us = sm.under_sample(train, "reported", "row_id", 42)
-    return md.learning_curve(train_us, feature_names(feats), "logistic", (0.4, 0.7, 1.0), 3)
+    """Train and validation F1 at 20 sizes from 40 to 100 percent over 10 stratified folds of the
+    under-sampled table; all 200 fits share their passes."""
+    feats = lineitem_features(spark, sf_dir)
+    fractions = [0.4 + 0.6 * i / 19 for i in range(20)]
+    scores = sr.logistic_learning_curve(sm.under_sample(feats, "reported", "row_id", 42), feature_names(feats), fractions, 10)
+    return ev.fold_summary(scores, "fraction", ("train_f1", "test_f1"))
 
 
 @register("feature_ranking")

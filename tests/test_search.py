@@ -60,7 +60,7 @@ def test_boosting_goes_on_where_it_stopped():
 def test_logistic_candidates_are_optimal(table):
     """Every candidate in every fold fulfils its own optimality conditions."""
     folds = 3
-    rows = table.select(F.array(*FEATURES).alias("x"), F.col("reported").cast("double").alias("y"), (F.col("row_id") % folds).cast("int").alias("fold"))
+    rows = table.select(F.array(*FEATURES).alias("x"), F.col("reported").cast("double").alias("y"), (F.col("row_id") % folds).cast("int").alias("fold"), F.lit(0).alias("level"))
     penalties = [(0, 0), (5, 0), (0, 30), (4, 4), (1000, 0)]
     batch = sr.fit_logistic_batch(rows, 3, folds, penalties)
     got = rows.collect()
@@ -135,3 +135,36 @@ def test_rounds_by_patience(table):
     again = sr.rounds_by_patience(table, FEATURES, segment=50, **args).orderBy("round").collect()
     assert np.allclose(means, [r.mean_pr_auc for r in again])
     assert len(sr.rounds_by_patience(table, FEATURES, max_rounds=3, **args).collect()) == 3
+
+
+def test_learning_curve_equals_single_fits(spark, table):
+    """Every size and fold agrees with a fit of its own on the rows it may learn from."""
+    from peakscreen.operators import sampling as sm
+    fractions, folds = [0.3, 0.6, 1.0], 3
+    out = {(round(r.fraction, 2), r.fold): r for r in sr.logistic_learning_curve(table, FEATURES, fractions, folds).collect()}
+    placed = sm.nested_subsets(sm.stratified_folds(table, "reported", "row_id", folds, 42), "reported", "row_id", fractions, 42).collect()
+    for c, x in enumerate(fractions):
+        for f in range(folds):
+            own = [r for r in placed if r.fold != f and r.subset <= c]
+            assert out[x, f].train_size == len(own)
+            rows = spark.createDataFrame([([r.a, r.b, r.c], float(r.reported), 1, 0) for r in own], "x array<double>, y double, fold int, level int")
+            batch = sr.fit_logistic_batch(rows, 3, 2, [(0, 0)])
+            held = [r for r in placed if r.fold == f]
+            says = batch.scaled(np.array([[r.a, r.b, r.c] for r in held]), 0) @ batch.coef[0, 0] >= 0
+            assert abs(out[x, f].test_f1 - sr.f1_of(says, np.array([r.reported for r in held]))) < .02
+
+
+def test_boosting_model(spark, table):
+    from peakscreen.operators import evaluation as ev
+    from peakscreen.operators import modeling as md
+    fitted = md.fit_model(table, FEATURES, "boosting", rounds=30)
+    scored = md.score(fitted, table.withColumn("x.y", F.lit(1)))
+    assert scored.columns == [*table.columns, "x.y", "probas"] and ev.roc_auc(scored, "probas", "reported") > .8
+    again = md.score(md.fit_model(table.repartition(7), FEATURES, "boosting", rounds=30), table)
+    assert scored.select("row_id", "probas").exceptAll(again.select("row_id", "probas")).isEmpty()
+    few = md.fit_model(table, FEATURES, "boosting", rounds=3, fit_rows=40)
+    assert len(few.model.rounds) == 3 and abs(sum(w for _, w in md.coefficients(few)) - 1) < 1e-9
+    curves = md.profit_by_model([fitted, md.fit_model(table, FEATURES, "logistic")], table)
+    assert {r.model for r in curves.select("model").distinct().collect()} == {"boosting", "logistic"}
+    report = md.comparison_reports([fitted], table).collect()
+    assert [r["class"] for r in report] == ["0", "1", "accuracy", "macro avg", "weighted avg"]
