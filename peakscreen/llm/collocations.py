@@ -7,9 +7,9 @@
 2. n-grams are counted inside the distinct chunks and weighted by the chunk's frequency. An n-gram belongs to
    the chunk in which it starts outside the trailing window (in the last chunk of a piece: anywhere), so
    that every occurrence counts once; the window is long enough for the longest phrase to end inside.
-3. Counting goes by length: words, then pairs of words that are frequent, then triples whose pairs are
-   frequent, then longer phrases whose triples are. What is frequent reaches the tasks as a Bloom filter of bounded size. Pairs and
-   triples are first counted by hash in a table of bounded size per task; those whose bucket stays below the
+3. Counting goes by length: words, then pairs of words that are frequent, then longer phrases whose pairs are
+   frequent. What is frequent reaches the tasks as a Bloom filter of bounded size. Phrases
+   are first counted by hash in a table of bounded size per task; those whose bucket stays below the
    threshold over all tasks are not counted further. Either device, when too small for the data, lets more phrases
    through to the exact counts and loses none.
 4. Candidates (2 to ``LONGEST`` words, at least ``LEAST`` occurrences) take the score of their weakest cut, those that
@@ -217,35 +217,25 @@ def _keys(lang: np.ndarray | np.uint64, *hashes: np.ndarray) -> np.ndarray:
 
 
 def _filter_of(frequent: DataFrame, seed: int) -> Filter:
-    """Filter of ``lang`` and word hashes ``h1`` (and ``h2``), or of the words of ``phrase``.
-
-    At most ``FILTER_BITS`` / 64 longs reach the driver.
-    """
+    """Filter of ``lang`` and word hashes ``h1`` (and ``h2``). At most ``FILTER_BITS`` / 64 longs reach the driver."""
     n = frequent.count()
     bits = 64
     while bits < min(FILTER_BITS, n * BITS_PER_ENTRY):
         bits *= 2
     hashes = [c for c in ("h1", "h2") if c in frequent.columns]
 
-    def words_of(b: pa.RecordBatch) -> list[np.ndarray]:
-        if hashes:
-            return [b.column(c).to_numpy().view(np.uint64) for c in hashes]
-        parts = pc.split_pattern(b.column("phrase"), " ").flatten().dictionary_encode()
-        own = np.array([xxhash.xxh64_intdigest(w, seed) for w in parts.dictionary.to_pylist()], np.uint64)[parts.indices.to_numpy()]
-        return list(own.reshape(b.num_rows, -1).T)
-
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 langs = b.column("lang").dictionary_encode()
                 own = np.array([_lang_hash(x, seed) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
-                keys = _keys(own, *words_of(b))
+                keys = _keys(own, *(b.column(c).to_numpy().view(np.uint64) for c in hashes))
                 p = np.concatenate(Filter.places(keys, np.uint64(bits - 1)))
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)),
                                                   pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["at", "bit"])
 
     words = np.zeros(bits // 64, np.uint64)
-    marked = frequent.select("lang", *(hashes or ["phrase"])).mapInArrow(mark, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bit"))
+    marked = frequent.select("lang", *hashes).mapInArrow(mark, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bit"))
     for r in marked.toLocalIterator():
         words[r["at"]] = np.int64(r["bit"]).view(np.uint64)
     return Filter(bits, words)
@@ -285,8 +275,9 @@ def _bucket(lang: np.uint64, h: np.ndarray, at: np.ndarray, size: int, buckets:
     return (_keys(lang, *(h[at + i] for i in range(size))) & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, buckets: int, least: int) -> Iterator[pa.RecordBatch]:
-    """``part, counts``: a task's counts of phrases of one word more than ``known`` by hash, none above ``least``."""
+def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range, buckets: int,
+                   least: int) -> Iterator[pa.RecordBatch]:
+    """``part, counts``: a task's counts of phrases of these sizes by hash, none above ``least``."""
     table = np.zeros(buckets, np.min_scalar_type(least))
 
     def part(t: pa.Table):
@@ -294,11 +285,12 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known
             c = Counted.of(own)
             h = c.words.hashes(seed)[c.words.word]
             code = _lang_hash(lang, seed)
-            at = _starts(c, h, code, frequent.value, known, known + 1)
-            bucket = _bucket(code, h, at, known + 1, buckets)
-            first, n = c.summed(np.arange(len(at)), bucket, c.weight[at])
-            where = bucket[first]
-            table[where] = np.minimum(table[where] + n, least)
+            for size in sizes:
+                at = _starts(c, h, code, frequent.value, known, size)
+                bucket = _bucket(code, h, at, size, buckets)
+                first, n = c.summed(np.arange(len(at)), bucket, c.weight[at])
+                where = bucket[first]
+                table[where] = np.minimum(table[where] + n, least)
         return ()
 
     for _ in _gathered(batches, part):
@@ -308,7 +300,7 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def _promising(chunks: DataFrame, seed: int, frequent, known: int, buckets: int, least: int) -> np.ndarray:
+def _promising(chunks: DataFrame, seed: int, frequent, known: int, sizes: range, buckets: int, least: int) -> np.ndarray:
     """Whether a bucket reaches ``least`` over all tasks. One bit per bucket reaches the driver."""
     kind = np.min_scalar_type(least)
 
@@ -329,7 +321,7 @@ def _promising(chunks: DataFrame, seed: int, frequent, known: int, buckets: int,
                 sums += x
         yield from done()
 
-    tables = chunks.mapInArrow(lambda it: _hashed_counts(it, seed, frequent, known, buckets, least), "part int, counts binary")
+    tables = chunks.mapInArrow(lambda it: _hashed_counts(it, seed, frequent, known, sizes, buckets, least), "part int, counts binary")
     summed = tables.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
     out, parts = np.zeros(buckets, bool), min(RANGES, buckets)
     for r in summed.toLocalIterator():
@@ -355,7 +347,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, hopeful)
     return _gathered(batches, part)
 
 
-def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range, hopeful=None) -> Iterator[pa.RecordBatch]:
+def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range, hopeful) -> Iterator[pa.RecordBatch]:
     """``lang, phrase, size, f`` of phrases of these sizes whose parts of ``known`` words may all be frequent."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
@@ -363,8 +355,7 @@ def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: in
             h, lang_code = c.words.hashes(seed)[c.words.word], _lang_hash(lang, seed)
             for size in sizes:
                 at = _starts(c, h, lang_code, frequent.value, known, size)
-                if hopeful is not None:
-                    at = at[hopeful.value[_bucket(lang_code, h, at, size, len(hopeful.value))]]
+                at = at[hopeful.value[_bucket(lang_code, h, at, size, len(hopeful.value))]]
                 # Codes of equal phrases stay equal and small: numbered anew with each word.
                 code = c.words.word[at]
                 for i in range(1, size):
@@ -377,6 +368,23 @@ def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: in
     return _gathered(batches, part)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up equal phrases of a task, about ``GATHER`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def done():
+        t = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")])
+        held.clear()
+        return t.select(["lang", "phrase", "size", "f_sum"]).rename_columns(["lang", "phrase", "size", "f"]).to_batches(10_000)
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= GATHER:
+            yield from done()
+    if held:
+        yield from done()
+
+
 def dictionary(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     """``lang, last, text, n``: the distinct chunks and their parse frequencies."""
     ship_package(docs.sparkSession)
@@ -402,21 +410,18 @@ def phrase_counts(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     buckets = min(BUCKETS, max(1 << 12, 1 << (n_words // 8).bit_length()))
     share = spark.sparkContext.broadcast
     some = share(_filter_of(frequent_words, seed))
-    hopeful = share(_promising(chunks, seed, some, 1, buckets, least))
+    hopeful = share(_promising(chunks, seed, some, 1, range(2, 3), buckets, least))
     pairs = staged(chunks.mapInArrow(lambda it: _pair_rows(it, seed, some, hopeful), "lang string, h1 bigint, h2 bigint, f bigint")
                    .groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-pairs")
-    def longer(near, known: int, sizes: range, hopes) -> DataFrame:
-        return staged(chunks.mapInArrow(lambda it: _long_rows(it, seed, near, known, sizes, hopes), "lang string, phrase string, size int, f bigint")
-                      .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-longer")
-
-    near = share(_filter_of(pairs, seed))
-    triples = longer(near, 2, range(3, 4), share(_promising(chunks, seed, near, 2, buckets, least)))
-    rest = longer(share(_filter_of(triples, seed)), 3, range(4, LONGEST + 1), None)
+    near, longer = share(_filter_of(pairs, seed)), range(3, LONGEST + 1)
+    hopes = share(_promising(chunks, seed, near, 2, longer, buckets, least))
+    long = chunks.mapInArrow(lambda it: _merged(_long_rows(it, seed, near, 2, longer, hopes)), "lang string, phrase string, size int, f bigint") \
+        .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     name = frequent_words.select("lang", "h1", F.col("phrase").alias("w"))
     named = pairs.join(name.select("lang", "h1", F.col("w").alias("w1")), ["lang", "h1"]) \
         .join(name.select("lang", F.col("h1").alias("h2"), F.col("w").alias("w2")), ["lang", "h2"])
     counts = staged(frequent_words.select("lang", "phrase", F.lit(1).alias("size"), "f").union(
-        named.select("lang", F.concat_ws(" ", "w1", "w2"), F.lit(2), "f")).union(triples).union(rest), "phrase-counts")
+        named.select("lang", F.concat_ws(" ", "w1", "w2"), F.lit(2), "f")).union(long), "phrase-counts")
     discard(spark, words_path)
     return counts, totals
 
