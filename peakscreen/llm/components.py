@@ -9,10 +9,13 @@ shared folder; the number of rounds grows with the logarithm of the diameter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakscreen.session import ensure_checkpoint_dir
+from peakscreen.session import ensure_checkpoint_dir, ship_package
 
 MAX_ROUNDS = 200
 
@@ -35,6 +38,45 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     return hung.where(F.col("u") != F.col("v")).distinct()
 
 
+#: Edges that one task contracts at a time.
+PART_EDGES = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a task's edges with the smallest node it reaches there."""
+    up: dict = {}
+
+    def root(x):
+        path = []
+        while (y := up.setdefault(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            up[p] = x
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field("u").type
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    found = [(x, r) for x in list(up) if (r := root(x)) != x]
+    for lo in range(0, len(found), 10_000):
+        part = found[lo:lo + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], kind), pa.array([r for _, r in part], kind)], names=["u", "v"])
+
+
+def contracted(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
+    """``edges(u, v)`` contracted to stars within parts of about ``part_edges``: the same components,
+    fewer and shorter paths, so that the rounds of :func:`connected_components` are few."""
+    ship_package(edges.sparkSession)
+    now = edges.where(F.col("u") != F.col("v")).select("u", "v").distinct().checkpoint()
+    parts = -(-now.count() // part_edges)
+    return now.repartition(max(1, parts)).mapInArrow(_forest, now.schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(u, v)``; the component is its smallest node.
 

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakscreen.llm.common import map_arrow, staged, strings
-from peakscreen.llm.components import connected_components
+from peakscreen.llm.common import boxed, let, map_arrow, staged, strings
+from peakscreen.llm.components import connected_components, contracted
 from peakscreen.llm.simhash_dedup import links
 from peakscreen.session import ship_package
 
@@ -203,14 +203,15 @@ def _with_text(distinct: DataFrame, docs: DataFrame) -> DataFrame:
         "lines-wanted")
     # Rows with equal id and text hold the same lines: one of them is enough.
     rows = docs.join(wanted, docs["id"].eqNullSafe(wanted["_wid"]) & (docs["text_hash"] == wanted["_wth"])) \
-        .select("id", "text_hash", F.explode("lines").alias("x"), F.split("text", "\n").alias("all")) \
-        .select("x.*", F.get("all", F.col("x.line")).alias("text"))
+        .select(F.explode(let(F.split("text", "\n"), lambda cut: F.transform("lines", lambda x: F.struct(
+            x["key"].alias("key"), x["fp"].alias("fp"), x["component"].alias("component"), x["tiles"].alias("tiles"),
+            F.get(cut, x["line"]).alias("text"))))).alias("x")).select("x.*")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         i = b.schema.get_field_index("text")
         return b.set_column(i, "text", normalised(b.column(i)).cast(pa.string()))
 
-    return map_arrow(rows, batch, rows.schema).drop("line").distinct()
+    return map_arrow(rows, batch, rows.schema).distinct()
 
 
 def line_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, least: float = SIMILARITY,
@@ -221,7 +222,7 @@ def line_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, lea
     distinct = staged(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
                                                F.first("fp").alias("fp")), "lines-distinct")
     by_fp = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "lines-fingerprints")
-    comp = connected_components(links(by_fp.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
+    comp = connected_components(contracted(links(by_fp.select("fp"), radius, blocks))).withColumnRenamed("node", "fp")
     # Other fingerprints stand for one line without a link.
     shared = staged(by_fp.join(comp, "fp", "left").where("n > 1 OR component IS NOT NULL").select(
         "fp", "n", F.coalesce("component", "fp").alias("component")), "lines-shared")
@@ -236,37 +237,45 @@ def line_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, lea
              .select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "key", "fp", "text")
              .repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "key"))
     found = staged(units.mapInArrow(lambda it: _verify(it, radius, least), "u binary, v binary"), "lines-verified")
-    groups = connected_components(found).withColumnRenamed("node", "key")
+    groups = connected_components(contracted(found)).withColumnRenamed("node", "key")
     repeated = distinct.join(groups, "key", "left").where((F.col("n") > 1) | F.col("component").isNotNull()) \
         .select("key", "first", F.coalesce("component", "key").alias("group"))
     keepers = repeated.groupBy("group").agg(F.min("first").alias("keeper"))
     return lines, staged(repeated.select("key", "group").join(keepers, "group").select("key", "keeper"), "lines-keepers")
 
 
-def dedup_lines(docs: DataFrame, **params) -> DataFrame:
-    """Append ``_lines`` (number of lines) and ``_removed`` (their count) and clean ``text``."""
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    lines, keepers = line_groups(marked.select(
-        F.col("doc_id").cast("long").alias("id"), F.col("_text_hash").alias("text_hash"), "text")
-        .where(F.col("text").isNotNull()), **params)
+def _cleaned(docs: DataFrame, **params) -> DataFrame:
+    """``row`` (all columns, the text cleaned), ``lines`` (their number) and ``removed``."""
+    marked = boxed(docs, id=F.col("doc_id").cast("long"), text_hash=F.xxhash64("text"), text=F.col("text"))
+    lines, keepers = line_groups(marked.select("id", "text_hash", "text").where(F.col("text").isNotNull()), **params)
     kept = F.col("keeper")
     stays = kept["id"].eqNullSafe(F.col("id")) & (kept["text_hash"] == F.col("text_hash")) & (kept["line"] == F.col("line"))
     gone = staged(lines.join(keepers, "key").where(~stays).groupBy(
-        F.col("id").alias("_gid"), F.col("text_hash").alias("_gth")).agg(F.collect_set("line").alias("_gone")),
+        F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.collect_set("line").alias("gone")),
         "lines-removed")
-    joined = marked.join(gone, marked["doc_id"].cast("long").eqNullSafe(gone["_gid"])
-                         & (F.col("_text_hash") == F.col("_gth")), "left")
-    all_lines, none = F.split("text", "\n"), F.array().cast("array<int>")
-    gone_here = F.map_from_entries(F.transform(F.coalesce("_gone", none), lambda i: F.struct(i.alias("k"), F.lit(True).alias("v"))))
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(
-        F.get(F.transform(F.array(gone_here), lambda g: F.filter(all_lines, lambda x, i: F.element_at(g, i).isNull())), F.lit(0)), "\n"))
-    return joined.withColumn("_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long")) \
-        .withColumn("_removed", F.coalesce(F.size(F.coalesce("_gone", none)), F.lit(0)).cast("long")) \
-        .withColumn("text", left).drop("_gone", "_gid", "_gth", "_text_hash")
+    joined = marked.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    none = F.array().cast("array<int>")
+    gone_here = F.map_from_entries(F.transform(F.coalesce("gone", none), lambda i: F.struct(i.alias("k"), F.lit(True).alias("v"))))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(let(F.split("text", "\n"), lambda cut: F.get(
+        F.transform(F.array(gone_here), lambda g: F.filter(cut, lambda x, i: F.element_at(g, i).isNull())), F.lit(0))), "\n"))
+    return joined.select(F.col("row").withField("text", left).alias("row"),
+                         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("lines"),
+                         F.coalesce(F.size(F.coalesce("gone", none)), F.lit(0)).cast("long").alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, **params) -> DataFrame:
+    """The documents with cleaned ``text``, their number of lines as ``_lines`` and how many went as ``_removed``
+    (with more underscores if the table has such columns)."""
+    names = []
+    for name in ("_lines", "_removed"):
+        while name in docs.columns:
+            name = "_" + name
+        names.append(name)
+    return _cleaned(docs, **params).select("row.*", F.col("lines").alias(names[0]), F.col("removed").alias(names[1]))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` with the cleaned text."""
-    return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("_lines")).alias("n_lines"),
-        F.col("_removed").alias("n_removed"), "text")
+    return _cleaned(docs.select("doc_id", "text")).select(
+        "row.doc_id", F.when(F.col("row.text").isNull(), F.lit(0).cast("long")).otherwise(F.col("lines")).alias("n_lines"),
+        F.col("removed").alias("n_removed"), "row.text")

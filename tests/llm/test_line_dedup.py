@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+from peakscreen.llm import components
 from peakscreen.llm import line_dedup as ld
 
 SCHEMA = "doc_id long, text string, line string"
@@ -81,3 +82,22 @@ def test_matches_brute_force(spark):
     assert (r[40]["n_lines"], r[40]["text"]) == (0, None)
     assert (r[41]["n_lines"], r[41]["text"]) == (1, "")
     assert ld.line_table(df.where("false")).collect() == []
+
+
+def test_clashing_names_and_many_lines(spark):
+    """Columns of our names stay; a document of 20,000 lines is split once."""
+    long = "\n".join(f"line number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} of the book" for i in range(20_000))
+    rows = [(1, long, 7, "h"), (2, "line number aaa of the book\nsomething else entirely here", 8, "i"), (3, None, 9, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _lines int, _text_hash string")
+    out = {r.doc_id: r for r in ld.dedup_lines(df).collect()}
+    assert [(out[i]._lines, out[i]._text_hash) for i in (1, 2, 3)] == [(7, "h"), (8, "i"), (9, "j")]
+    assert out[2].text == "something else entirely here" and out[2]["_removed"] == 1 and out[1]["__lines"] == 20_000
+
+
+def test_contracted_edges_keep_their_components(spark):
+    import random
+    rng = random.Random(1)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(500, 700)]
+    df = spark.createDataFrame(pairs, "u long, v long")
+    plain = {tuple(r) for r in components.connected_components(df).collect()}
+    assert plain == {tuple(r) for r in components.connected_components(components.contracted(df, 40)).collect()}
