@@ -20,7 +20,7 @@ from peakscreen.functions.decisions import (f1_from_counts, precision_from_count
 from peakscreen.functions.names import display_name
 from pyspark.storagelevel import StorageLevel
 
-from peakscreen.operators.prefix import descending, running_total
+from peakscreen.operators.prefix import BOUNDS, descending, key_block, running_total
 
 
 def _col(c: str | Column) -> Column:
@@ -298,6 +298,52 @@ def profit_curve(roc: DataFrame, positives: int, negatives: int,
     return pts.select("threshold", fpr2.alias("fpr_adj"), F.col("tpr"), profit.alias("profit"))
 
 
+def best_profit(df: DataFrame, score: str = "probas", label: str = "reported",
+                cost: tuple[float, float, float, float] = (0.0, 0.0, -1.0, 0.5), extra_negatives: int = 27445,
+                n_blocks: int = 256) -> DataFrame:
+    """``threshold, profit`` of the best point of :func:`profit_curve` without the curve.
+
+    Profit is linear in the numbers of true and false positives. Counts per block of scores give the curve at the
+    blocks' edges, and a bound inside each block: its best corner. Only blocks whose bound reaches the
+    best edge are counted score by score, so no table grows with the number of distinct scores unless the
+    curve is flat. Ties go to the highest threshold; rows without a score are ignored.
+    """
+    spark = df.sparkSession
+    y = F.coalesce(_col(label) == 1, F.lit(False))
+    scored = df.where(_col(score).isNotNull()).select(_col(score).alias("threshold"), y.alias("_y"))
+    block, bounds = key_block(scored, [F.col("threshold")], n_blocks)
+    placed = scored if bounds is None else scored.withColumn(BOUNDS, bounds.scalar())
+    placed = placed.withColumn("_b", block)
+    parts = placed.groupBy("_b").agg(F.count_if("_y").alias("pos"), F.count_if(~F.col("_y")).alias("neg")).orderBy(F.desc("_b")).collect()
+    p, n = sum(r["pos"] for r in parts), sum(r["neg"] for r in parts)
+    fpc, tpc, fnc, tnc = cost
+    nc = n + extra_negatives
+
+    def profit(tps, fps):
+        return ((fps * (fpc - tnc) + nc * tnc) / nc if nc else 0.0) + ((tps * (tpc - fnc) + p * fnc) / p if p else 0.0)
+
+    edges, tps, fps = [(profit(0, 0), 1.0, None)], 0, 0
+    bound = []
+    for r in parts:
+        more_t, more_f = tps + r["pos"], fps + r["neg"]
+        bound.append((max(profit(t, f) for t in (tps, more_t) for f in (fps, more_f)), r["_b"], tps, fps))
+        tps, fps = more_t, more_f
+        edges.append((profit(tps, fps), None, r["_b"]))
+    best = max(e[0] for e in edges)
+    slack = 1e-12 * max(1.0, abs(best))
+    wanted = [(b, t, f) for top, b, t, f in bound if top >= best - slack]
+    table = spark.createDataFrame(wanted, "_b int, _t long, _f long")                # n_blocks rows at most
+    inside = placed.join(F.broadcast(table), "_b").groupBy("_b", "_t", "_f", "threshold").agg(
+        F.count_if("_y").alias("pos"), F.count_if(~F.col("_y")).alias("neg"))
+    down = Window.partitionBy("_b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    points = inside.select("threshold", (F.col("_t") + F.sum("pos").over(down)).alias("tps"), (F.col("_f") + F.sum("neg").over(down)).alias("fps"))
+    start = spark.createDataFrame([(1.0, 0, 0)], "threshold double, tps long, fps long")
+    gain = (F.col("fps") * F.lit(float(fpc - tnc)) + F.lit(float(nc * tnc))) / F.lit(float(nc or 1))
+    hits = (F.col("tps") * F.lit(float(tpc - fnc)) + F.lit(float(p * fnc))) / F.lit(float(p or 1))
+    return start.unionByName(points.withColumn("threshold", F.col("threshold").cast("double"))).select(
+        "threshold", (gain + hits).alias("profit")).orderBy(F.desc("profit"), F.desc("threshold")).limit(1)
+
+
 def stack_curves(curves: Sequence[tuple[str, DataFrame]], series_col: str = "series") -> DataFrame:
     """Union several curves with a series label."""
     out = None

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLK, _BOUNDS = "_blk", "_bounds"
+_BLK, BOUNDS = "_blk", "_bounds"
 #: Sampled keys for each block, and blocks at most (so the sketch stays small).
 SAMPLE, MAX_BLOCKS = 32, 1024
 
@@ -36,18 +36,18 @@ def descending(col: Column | str) -> list[Column]:
     return [c.isNull(), ~F.coalesce(F.isnan(x), F.lit(False)), -c]
 
 
-def _block(df: DataFrame, keys: list[Column], n_blocks: int) -> tuple[Column, DataFrame | None]:
-    """Number of the row's block: how many of the ``_BOUNDS`` lie at or below its key; the one row that holds them."""
+def key_block(df: DataFrame, keys: list[Column], n_blocks: int) -> tuple[Column, DataFrame | None]:
+    """Number of the row's block: how many of the ``BOUNDS`` lie at or below its key; the one row that holds them."""
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     n = max(1, min(n_blocks, MAX_BLOCKS))
     if n == 1:
         return F.lit(0), None
     sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * n)
     bounds = sample.agg(F.sort_array(F.collect_list("k")).alias("s")).select(F.transform(
-        F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.try_element_at("s", F.ceil(i * F.size("s") / n).cast("int"))).alias("b"))
+        F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.try_element_at("s", F.greatest(F.ceil(i * F.size("s") / n).cast("int"), F.lit(1)))).alias("b"))
     steps = F.array(*[F.lit(1 << i) for i in range((n - 1).bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(
-        (at + s <= n - 1) & (F.get(_BOUNDS, at + s - 1) <= key), at + s).otherwise(at)), bounds
+        (at + s <= n - 1) & (F.get(BOUNDS, at + s - 1) <= key), at + s).otherwise(at)), bounds
 
 
 def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column | str],
@@ -66,9 +66,9 @@ def running_total(df: DataFrame, values: Sequence[str], order: Sequence[Column |
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if n_blocks is None:
         n_blocks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block, bounds = _block(df, [F.col(p) for p in parts] + order_cols, n_blocks)
-    placed = df if bounds is None else df.withColumn(_BOUNDS, bounds.scalar())
-    placed = placed.withColumn(_BLK, block).drop(_BOUNDS)
+    block, bounds = key_block(df, [F.col(p) for p in parts] + order_cols, n_blocks)
+    placed = df if bounds is None else df.withColumn(BOUNDS, bounds.scalar())
+    placed = placed.withColumn(_BLK, block).drop(BOUNDS)
 
     totals = placed.groupBy(_BLK, *parts).agg(
         *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])

@@ -153,6 +153,14 @@ FROM (SELECT threshold, tpr,
             UNION ALL SELECT threshold, fpr, tpr, p, n FROM rates))"""
 
 
+@register("best_profit", ROC_SQL + "\nSELECT threshold, round(profit, 6) AS profit FROM (" + _profit_sql("corrected", "n")
+          + ") ORDER BY profit DESC, threshold DESC LIMIT 1")
+def best_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best point of the profit curve, by bounds on blocks of scores instead of the curve."""
+    best = ev.best_profit(lineitem_scores(spark, sf_dir), "probas", "reported")
+    return best.select("threshold", r6("profit").alias("profit"))
+
+
 @register("profit_curve", ROC_SQL + _profit_sql("corrected", "n") + "\nUNION ALL" + _profit_sql("parity", "p"))
 def profit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profit per sample along the ROC curve, corrected and historical formulas stacked."""

@@ -29,7 +29,7 @@ _MERGE = "".join("replace(" for _ in S.ANALYTE_MERGE)
 _MERGE_ARGS = "".join(f", '{k}', '{v}')" for k, v in S.ANALYTE_MERGE.items())
 
 
-@register("export_roundtrip", f"""
+ROUNDTRIP_SQL = f"""
 WITH ev AS (
   SELECT 'S' || CAST(user_id AS VARCHAR) AS sample_name_raw,
          CASE event_type {_TYPES} ELSE '{EVENT_OTHER_TYPE}' END AS sample_type,
@@ -48,13 +48,26 @@ named AS (
          area, rt, score
   FROM kept)
 SELECT sample_name, analyte, area, rt, score FROM named WHERE sample_name IS NOT NULL
-""")
+"""
+
+
+@register("export_roundtrip", ROUNDTRIP_SQL)
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1-S6 + P2 + F1-F4 on written export files (whole events table)."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/exports-{uuid.uuid4().hex}"
     write_event_exports(spark, sf_dir, base)
-    parsed = ins.read_instrument_dir(spark, base, ROUNDTRIP_COLUMNS,
-                                     numeric_columns=S.NUMERIC_COLUMNS + ["Score"])
+    return _named_peaks(ins.read_instrument_dir(spark, base, ROUNDTRIP_COLUMNS, numeric_columns=S.NUMERIC_COLUMNS + ["Score"]))
+
+
+@register("export_split", ROUNDTRIP_SQL)
+def export_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read by byte offset, so that one file may be many tasks."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/exports-{uuid.uuid4().hex}"
+    write_event_exports(spark, sf_dir, base)
+    return _named_peaks(ins.parse_split_files(spark, base, ROUNDTRIP_COLUMNS, numeric_columns=S.NUMERIC_COLUMNS + ["Score"]))
+
+
+def _named_peaks(parsed: ins.ParsedFiles) -> DataFrame:
     kept = oc.reduce_peaks(parsed.rows, rrt="Score", rt=S.RT, type_col=S.SAMPLE_TYPE, keep_type=S.UNKNOWN_TYPE)
     named = oc.clean_analyte_names(oc.clean_sample_names(kept, pattern="S[0-9]{2}"))
     return named.select("sample_name", "analyte", F.col(f"`{S.PEAK_AREA}`").alias("area"),

@@ -6,7 +6,8 @@ one record (``wholetext``), the header is located with array functions on that
 record and the data lines are exploded and projected *by header name*. Nothing
 is shuffled: a file is a self-contained unit, so a directory of any size is one
 parallel scan, and files without a usable header are reported in a side
-DataFrame instead of being printed and dropped.
+DataFrame instead of being printed and dropped. Files larger than a task are read by
+:func:`parse_split_files`, split by byte offset.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,8 +114,16 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
         F.posexplode(data_lines).alias("_pos", "_line"),
         F.col("_h"),
     ).where(F.trim("_line") != "")
+    rows, rejected = _typed_rows(exploded.withColumn("_no", (F.col("_h") + F.col("_pos")).cast("int")), rejected, cols, delimiter,
+                                 strict_numeric, typed, numeric_columns)
+    return ParsedFiles(rows, rejected)
+
+
+def _typed_rows(data: DataFrame, rejected: DataFrame, cols: Sequence[str], delimiter: str, strict_numeric: Sequence[str] | None,
+                typed: bool, numeric_columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Data lines (``source_file, _no, _line`` and the columns' positions ``_p0`` ...) as typed rows."""
     fields = F.split("_line", delimiter, -1)
-    out = [F.col("source_file"), (F.col("_h") + F.col("_pos")).cast("int").alias("line_no")]
+    out = [F.col("source_file"), F.col("_no").alias("line_no")]
     for i, c in enumerate(cols):
         raw = F.try_element_at(fields, F.col(f"_p{i}"))
         raw = null_tokens(raw)
@@ -133,13 +142,56 @@ def parse_files(files: DataFrame, columns: Sequence[str] = S.PEAK_COLUMNS,
             b = F.coalesce(~v.rlike(S.NUMERIC_PATTERN) & (v != ""), F.lit(True))   # a blank is a missing value
             bad = b if bad is None else bad | b
         out.append(bad.alias("_bad"))
-    rows = exploded.select(*out)
+    rows = data.select(*out)
     if strict_numeric:
         bad_files = rows.where(F.col("_bad")).select("source_file").distinct()
         rejected = rejected.unionByName(bad_files.select(
             "source_file", F.lit("non-numeric value in a numeric column").alias("reason")))
         rows = rows.join(bad_files, "source_file", "left_anti").drop("_bad")
-    return ParsedFiles(rows, rejected)
+    return rows, rejected
+
+
+def read_numbered_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """``source_file, line_no, line`` of files that are split by byte offset: one file may be many tasks.
+
+    A split's lines are numbered from its first; the lines of earlier splits of the file are added from a
+    table with one row per split. Splits and the order within them follow from the files alone.
+    """
+    read = spark.read.option("lineSep", "\n").text(path, pathGlobFilter=glob)
+    lines = read.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_split"),
+                        F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    before = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("source_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")) \
+        .select("source_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(splits, ["source_file", "_split"]).select(
+        "source_file", (F.col("_at") - F.col("_first") + F.col("_before")).cast("int").alias("line_no"), "line")
+
+
+def parse_split_files(spark: SparkSession, path: str, columns: Sequence[str] = S.PEAK_COLUMNS, glob: str = "*.txt",
+                      phrase: str = S.HEADER_PHRASE, match: str = "contains", delimiter: str = "\t",
+                      strict_numeric: Sequence[str] | None = None, typed: bool = True,
+                      numeric_columns: Sequence[str] = S.NUMERIC_COLUMNS) -> ParsedFiles:
+    """As :func:`parse_files` for files of any size (S3, S6): the header of each file, one row, goes to all its splits.
+
+    The files are scanned three times (split sizes, headers, rows) and no line is shuffled unless the
+    planner finds the table of splits or headers too large to broadcast.
+    """
+    cols = list(columns)
+    lines = read_numbered_lines(spark, path, glob)
+    test = F.contains("line", F.lit(phrase)) if match == "contains" else F.startswith("line", F.lit(phrase))
+    heads = lines.groupBy("source_file").agg(F.min_by("line", F.when(test, F.col("line_no"))).alias("_head"),
+                                             F.min(F.when(test, F.col("line_no"))).alias("_head_no"))
+    names = F.split("_head", delimiter, -1)
+    heads = heads.select("source_file", "_head_no", F.array_except(F.array(*[F.lit(c) for c in cols]), names).alias("_missing"),
+                         *[F.array_position(names, F.lit(c)).cast("int").alias(f"_p{i}") for i, c in enumerate(cols)])
+    reason = F.when(F.col("_head_no").isNull(), F.lit(f'no header line containing "{phrase}"')).when(
+        F.size("_missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("_missing", ", ")))
+    heads = heads.withColumn("_reason", reason)
+    rejected = heads.where(F.col("_reason").isNotNull()).select("source_file", F.col("_reason").alias("reason"))
+    good = heads.where(F.col("_reason").isNull()).drop("_missing", "_reason")
+    data = lines.join(good, "source_file").where((F.col("line_no") > F.col("_head_no")) & (F.trim("line") != "")) \
+        .withColumnsRenamed({"line_no": "_no", "line": "_line"})
+    return ParsedFiles(*_typed_rows(data, rejected, cols, delimiter, strict_numeric, typed, numeric_columns))
 
 
 def read_instrument_dir(spark: SparkSession, path: str,

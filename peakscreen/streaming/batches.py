@@ -6,6 +6,10 @@ and writes three lists plus one status row per file. Output partitions are
 keyed by the micro-batch id and overwritten on replay, so a restarted query
 (after an executor or driver loss) rewrites the same result instead of
 duplicating it.
+
+A ledger keeps the digest of every file's content with the batch that counted it: the same content delivered
+again, under another name or in another batch, is listed as a repeat and counted once. The
+running profit of a batch continues from the batches before it.
 """
 
 from __future__ import annotations
@@ -33,23 +37,52 @@ def read_file_stream(spark: SparkSession, path: str, glob: str = "*.txt",
     return df.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("content"))
 
 
+def _written(spark: SparkSession, out_dir: str, name: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows that earlier batches wrote to an output (a replay does not see its own)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{name}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out_dir}/{name}").where(F.col("batch_id") < batch_id)
+
+
+LEDGER = "digest string, source_file string, batch_id long"
+PROFIT = "batch_cents long, running_cents long, batch_id long"
+
+
+def fresh_files(batch: DataFrame, out_dir: str, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files whose content no earlier batch counted, their ledger rows, repeats); of equal files in a batch the first name counts."""
+    marked = batch.withColumn("digest", F.sha2("content", 256))
+    first = marked.groupBy("digest").agg(F.min("source_file").alias("_first"))
+    seen = _written(batch.sparkSession, out_dir, "ledger", LEDGER, batch_id).select("digest").distinct()
+    counted = first.join(seen, "digest", "left_anti").select("digest", F.col("_first").alias("source_file"))
+    fresh = marked.join(counted, ["digest", "source_file"], "left_semi").drop("digest")
+    repeats = marked.join(counted, ["digest", "source_file"], "left_anti").select("digest", "source_file")
+    return fresh, counted, repeats
+
+
 def batch_writer(out_dir: str, score_fn: Callable[[DataFrame], DataFrame],
                  columns: Sequence[str], threshold: float = 0.4,
                  rt: str = S.RT, sample_type: str = S.SAMPLE_TYPE,
                  list_cols: Sequence[str] = (S.SAMPLE_NAME, S.PEAK_NAME, S.PEAK_AREA, "source_file"),
-                 numeric_columns: Sequence[str] = S.NUMERIC_COLUMNS):
-    """foreachBatch function: parse -> score -> decide -> write lists and status."""
+                 numeric_columns: Sequence[str] = S.NUMERIC_COLUMNS, area: str = S.PEAK_AREA):
+    """foreachBatch function: new files -> parse -> score -> decide -> write lists, status, profit and ledger."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_files(batch, columns, numeric_columns=numeric_columns)
+        spark = batch.sparkSession
+        fresh, counted, repeats = fresh_files(batch, out_dir, batch_id)
+        parsed = parse_files(fresh, columns, numeric_columns=numeric_columns)
         decided = qc.add_decisions(score_fn(parsed.rows), score="probs", rt=rt,
                                    sample_type=sample_type, threshold=threshold)
         decided = decided.persist()
         failed, dirty = qc.control_lists(decided, list_cols)
         review = qc.review_list(decided, [*list_cols[:2], *(c for c in list_cols[2:] if c == "source_file")])
         status = qc.control_status(decided, ["source_file"])
+        before = _written(spark, out_dir, "profit", PROFIT, batch_id).agg(F.coalesce(F.sum("batch_cents"), F.lit(0)).alias("b"))
+        own = qc.add_profit(decided, area).agg(F.coalesce(F.sum("profit_cents"), F.lit(0)).cast("long").alias("batch_cents"))
+        profit = own.crossJoin(before).select("batch_cents", (F.col("batch_cents") + F.col("b")).cast("long").alias("running_cents"))  # one row each
+        # The ledger comes last: a batch that failed before it is processed again as a whole.
         for name, df in [("failed_controls", failed), ("dirty_blanks", dirty),
-                         ("review", review), ("control_status", status),
-                         ("rejected_files", parsed.rejected)]:
+                         ("review", review), ("control_status", status), ("profit", profit), ("repeats", repeats),
+                         ("rejected_files", parsed.rejected), ("ledger", counted)]:
             df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
                 f"{out_dir}/{name}/batch={batch_id}")
         decided.unpersist()

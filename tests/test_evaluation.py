@@ -106,3 +106,18 @@ def test_histogram_counts_null_groups(spark):
     df = spark.createDataFrame([(.1, None, 1), (.2, "a", None), (.3, "a", 0)], "probas double, analyte string, reported int")
     out = ev.score_histogram(df).collect()
     assert sum(r.n for r in out) == 3 and {(r.analyte, r.reported) for r in out} == {(None, 1), ("a", None), ("a", 0)}
+
+
+def test_best_profit_is_the_curve_s_maximum(spark):
+    rng = np.random.default_rng(7)
+    for cost in ((0.0, 0.0, -1.0, 0.5), (-2.0, 1.0, -1.0, 0.0)):
+        score = np.round(rng.random(2000), 3)
+        y = (rng.random(2000) < score ** 2).astype(int)
+        df = spark.createDataFrame([(float(s), int(t)) for s, t in zip(score, y)] + [(None, 1)], "probas double, reported int")
+        curve = ev.profit_curve(ev.roc_points(df), int(y.sum()), int((1 - y).sum()), cost, 500)
+        want = curve.orderBy(F.desc("profit"), F.desc("threshold")).first()
+        for n in (1, 4, 64):
+            got = ev.best_profit(df, cost=cost, extra_negatives=500, n_blocks=n).first()
+            assert got.threshold == want.threshold and np.isclose(got.profit, want.profit)
+    empty = spark.createDataFrame([], "probas double, reported int")
+    assert ev.best_profit(empty).first().threshold == 1.0

@@ -2,8 +2,12 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from peakscreen import schema as S
 from peakscreen.streaming import batches as sb
+from peakscreen.streaming.batches import ROUNDTRIP_COLUMNS as ROUNDTRIP
+from peakscreen.streaming.batches import batch_writer
 
 COLS = [S.SAMPLE_NAME, S.SAMPLE_TYPE, S.PEAK_NAME, S.PEAK_AREA, S.RT, "Score"]
 
@@ -39,3 +43,27 @@ def test_stream_scores_each_file(spark, tmpdir_path):
     # a restart finds nothing new and leaves the outputs as they were
     sb.run_stream(spark, src, out, ck, score_fn, COLS)
     assert spark.read.parquet(f"{out}/control_status").count() == 2
+
+
+def _batch(spark, files):
+    return spark.createDataFrame(files, "source_file string, content string")
+
+
+def test_redelivered_and_replayed_files_count_once(spark, tmpdir_path):
+    """The same content under another name or in a later batch is a repeat; a replayed batch writes what it wrote."""
+    head = "\t".join(ROUNDTRIP)
+    body = lambda *rows: "pre\n\n" + head + "\n" + "\n".join("\t".join(map(str, r)) for r in rows)
+    one = body(("S1", "Unknown", "p-1", 5, 1.0, 90), ("S2", "Blank", "p-1", 5, 1.0, 90))
+    two = body(("S3", "Quality Control", "p-1", 5, 1.0, 0.1))
+    write = batch_writer(tmpdir_path, lambda rows: rows.withColumn("probs", F.col("Score") / (F.col("Score") + 20)), ROUNDTRIP,
+                         numeric_columns=S.NUMERIC_COLUMNS + ["Score"])
+    read = lambda name: sorted(map(str, spark.read.parquet(f"{tmpdir_path}/{name}").drop("batch").collect()))
+    write(_batch(spark, [("a.txt", one), ("copy.txt", one)]), 0)
+    write(_batch(spark, [("b.txt", two), ("late.txt", one)]), 1)
+    state = {n: read(n) for n in ("review", "failed_controls", "dirty_blanks", "profit", "ledger", "repeats")}
+    assert [len(state[n]) for n in ("review", "failed_controls", "dirty_blanks", "ledger", "repeats")] == [1, 1, 1, 2, 2]
+    profit = {r.batch_id: (r.batch_cents, r.running_cents) for r in spark.read.parquet(f"{tmpdir_path}/profit").collect()}
+    assert profit == {0: (50, 50), 1: (-10000, -9950)}
+    write(_batch(spark, [("b.txt", two), ("late.txt", one)]), 1)
+    write(_batch(spark, [("a.txt", one), ("copy.txt", one)]), 0)
+    assert state == {n: read(n) for n in state}
