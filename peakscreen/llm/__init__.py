@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data.
 
-Ten operators, one module each, with their registered queries in ``catalog``.
+Thirteen operators, one module each, with their registered queries in ``catalog``.
 Nothing outside this subpackage imports it.
 """

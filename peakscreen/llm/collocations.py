@@ -9,7 +9,7 @@
    that every occurrence counts once; the window is long enough for the longest phrase to end inside.
 3. Counting goes by length: words, then pairs of words that are frequent, then longer phrases whose pairs are
    frequent. What is frequent reaches the tasks as a Bloom filter of bounded size. Phrases
-   are first counted by hash in a table of bounded size per task; those whose bucket stays below the
+   are first counted by two hashes in a table of bounded size per task; those with a bucket that stays below the
    threshold over all tasks are not counted further. Either device, when too small for the data, lets more phrases
    through to the exact counts and loses none.
 4. Candidates (2 to ``LONGEST`` words, at least ``LEAST`` occurrences) take the score of their weakest cut, those that
@@ -271,8 +271,17 @@ def _starts(c: Counted, h: np.ndarray, lang: np.uint64, frequent: Filter, known:
     return at
 
 
-def _bucket(lang: np.uint64, h: np.ndarray, at: np.ndarray, size: int, buckets: int) -> np.ndarray:
-    return (_keys(lang, *(h[at + i] for i in range(size))) & np.uint64(buckets - 1)).astype(np.int64)
+def _buckets(lang: np.uint64, h: np.ndarray, at: np.ndarray, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two buckets of each phrase, one in either half of the table."""
+    half = buckets // 2
+    one, two = Filter.places(_keys(lang, *(h[at + i] for i in range(size))), np.uint64(half - 1))
+    return one.astype(np.int64), two.astype(np.int64) + half
+
+
+def _hopeful(table: np.ndarray, lang: np.uint64, h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The positions whose phrase is promising in both buckets."""
+    one, two = _buckets(lang, h, at, size, len(table))
+    return at[table[one] & table[two]]
 
 
 def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range, buckets: int,
@@ -287,10 +296,10 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known
             code = _lang_hash(lang, seed)
             for size in sizes:
                 at = _starts(c, h, code, frequent.value, known, size)
-                bucket = _bucket(code, h, at, size, buckets)
-                first, n = c.summed(np.arange(len(at)), bucket, c.weight[at])
-                where = bucket[first]
-                table[where] = np.minimum(table[where] + n, least)
+                for bucket in _buckets(code, h, at, size, buckets):
+                    first, n = c.summed(np.arange(len(at)), bucket, c.weight[at])
+                    where = bucket[first]
+                    table[where] = np.minimum(table[where] + n, least)
         return ()
 
     for _ in _gathered(batches, part):
@@ -338,7 +347,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, hopeful)
             hashes = c.words.hashes(seed)
             h, code = hashes[c.words.word], _lang_hash(lang, seed)
             at = _starts(c, h, code, frequent.value, 1, 2)
-            at = at[hopeful.value[_bucket(code, h, at, 2, len(hopeful.value))]]
+            at = _hopeful(hopeful.value, code, h, at, 2)
             first, f = c.summed(at, c.words.word[at] * len(hashes) + c.words.word[at + 1], c.weight[at])
             yield pa.RecordBatch.from_arrays(
                 [_lang_column(lang, len(first)), pa.array(h[first].view(np.int64)), pa.array(h[first + 1].view(np.int64)), pa.array(f)],
@@ -355,7 +364,7 @@ def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: in
             h, lang_code = c.words.hashes(seed)[c.words.word], _lang_hash(lang, seed)
             for size in sizes:
                 at = _starts(c, h, lang_code, frequent.value, known, size)
-                at = at[hopeful.value[_bucket(lang_code, h, at, size, len(hopeful.value))]]
+                at = _hopeful(hopeful.value, lang_code, h, at, size)
                 # Codes of equal phrases stay equal and small: numbered anew with each word.
                 code = c.words.word[at]
                 for i in range(1, size):
@@ -407,7 +416,7 @@ def phrase_counts(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
         raise RuntimeError("words share hashes under every seed")
     totals = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
     n_words = int(totals.agg(F.sum("n")).first()[0] or 0)
-    buckets = min(BUCKETS, max(1 << 12, 1 << (n_words // 8).bit_length()))
+    buckets = min(BUCKETS, max(1 << 13, 1 << (n_words // 8).bit_length()))
     share = spark.sparkContext.broadcast
     some = share(_filter_of(frequent_words, seed))
     hopeful = share(_promising(chunks, seed, some, 1, range(2, 3), buckets, least))

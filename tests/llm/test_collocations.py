@@ -77,7 +77,7 @@ def test_long_texts_and_words(spark):
 
 def test_full_filter_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(co, "FILTER_BITS", 64)
-    monkeypatch.setattr(co, "BUCKETS", 1)
+    monkeypatch.setattr(co, "BUCKETS", 2)
     rows = made(3, 80)
     assert run(spark, rows, least=6) == plain(rows, 6)
 
