@@ -48,15 +48,15 @@ def _sums(rows: DataFrame, width: int, shape: tuple[int, ...], add) -> np.ndarra
     return out.reshape(shape)
 
 
-def logistic_moments(scored: DataFrame, features: Sequence[str], prob: str = "probas") -> DataFrame:
-    """``feature, fitted``: mean of probability times standardised feature, and the mean probability.
+def logistic_moments(scored: DataFrame, features: Sequence[str], prob: str = "probas", weight: str | None = None) -> DataFrame:
+    """``feature, fitted``: mean of (weighted) probability times standardised feature, and the mean probability.
 
-    At the optimum of an unpenalised fit with intercept and equal weights these equal the means with the labels
+    At the optimum of an unpenalised fit with intercept and these weights they equal the means with the labels
     in place of the probabilities.
     """
     feats = list(features)
     n, mean, sd = _scaling(scored, feats)
-    p = F.col(prob)
+    p = F.col(prob) if weight is None else F.col(prob) * F.col(weight)
     row = scored.agg(F.avg(p).alias("b"), *[F.avg(p * (F.col(f"`{c}`").cast("double") - mean[i]) / sd[i]).alias(f"f{i}")
                                             for i, c in enumerate(feats)]).first()
     rows = [("(intercept)", row["b"]), *((c, row[f"f{i}"]) for i, c in enumerate(feats))]
