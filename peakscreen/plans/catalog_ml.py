@@ -163,7 +163,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, fitted, test = _compared(spark, sf_dir)
     report = md.comparison_reports(fitted, test)
     rows = report.groupBy("model").agg(*[
-        F.max(F.when(F.col("class") == c, F.col(m))).alias(f"{m}_{c}") for c in ("0", "1") for m in ("precision", "recall", "f1", "support")])
+        F.max(F.when(F.col("class") == c, F.col(m))).alias(f"{m}_{c}") for c in ("0", "1") for m in ("precision", "recall", "f1_score", "support")])
     return table.join(rows, "model")
 
 
