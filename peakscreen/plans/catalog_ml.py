@@ -65,7 +65,7 @@ def _scores_query(kind: str):
 
 
 for _kind, _name in [("logistic", "logistic_scores"), ("forest", "forest_scores"),
-                     ("boosting", "gbt_scores"), ("mlp", "mlp_scores")]:
+                     ("boosting", "gbt_scores"), ("mlp", "mlp_scores"), ("network", "network_scores")]:
     register(_name)(_scores_query(_kind))
 
 
@@ -203,6 +203,16 @@ def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.select("family", "trial", "params", "mean_f1", "std_f1", "best")
 
 
+@register("network_search")
+def network_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 draws x 5 folds of the network's space, one row per trial, from the trial table."""
+    feats, train, _ = _splits(spark, sf_dir)
+    train_us = sm.under_sample(train, "reported", "row_id", 42)
+    path = f"{ensure_checkpoint_dir(spark)}/trials-{uuid.uuid4().hex}"
+    trials = sr.best_trials(sr.search(train_us, feature_names(feats), path, families=("network",)))
+    return trials.select("family", "trial", "params", "mean_f1", "std_f1", "best")
+
+
 @register("gbt_early_stop")
 def gbt_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean PR-AUC of every boosting round over 3 folds, up to 50 rounds without a gain (at most 5,000)."""
