@@ -3,12 +3,16 @@
 1. Lines are normalised (lower case, digit runs to 0, other runs of non-letters to one space).
 2. Equal normalised lines collapse by a 128-bit hash: a line that occurs in a third
    of all documents is one row from here on.
-3. Each distinct line gets a SimHash of its distinct words; lines whose SimHashes differ in at
-   most ``RADIUS`` bits meet by pigeonhole blocks (:func:`simhash_dedup.links`),
-   which gives the sets of lines that can be linked at all.
-4. Within a set, lines in the radius are verified: edit similarity 1 - distance / longer
+3. Each distinct line gets a SimHash and block keys. Lines of up to ``SHORT`` words take both from their character
+   trigrams, lines of ``LONG`` words and more from their distinct words (lines between have both kinds). A block
+   key joins the smallest hashes of a few features, so lines that share most of them
+   meet in some block. Blocks of bits of the SimHash itself cannot serve: at an edit similarity of 0.8 a fifth of the features
+   differ, that is 10 to 14 of 64 bits, and a block of bits that survives this is shared by everything.
+4. Within a block, SimHashes are compared bit-sliced; what hangs together within ``RADII`` bits is a unit. Units with the
+   same members (the usual case: the same few lines meet in many blocks) are one. A block beyond ``TILE`` lines is a unit as it is.
+   Within a unit, lines in the radius are verified: edit similarity 1 - distance / longer
    length of the normalised lines of at least ``SIMILARITY``. A verified line is
-   reached once and then asks itself, so near copies cost about their number. A set with
+   reached once and then asks itself, so near copies cost about their number. A unit with
    more than ``TILE`` lines is cut into tiles and each pair of tiles is a unit of work.
 5. Connected groups; of each group the first occurrence (smallest doc_id, then line) stays.
 
@@ -31,13 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakscreen.llm import bitslice
 from peakscreen.llm.common import boxed, let, map_arrow, staged, strings
 from peakscreen.llm.components import connected_components, contracted
-from peakscreen.llm.simhash_dedup import links
 from peakscreen.session import ship_package
 
-RADIUS, BLOCKS = 3, 5
+#: Bits by which SimHashes of words and of trigrams may differ.
+RADII = (17, 21)
 SIMILARITY = 0.8
+#: Words up to which a line has trigram blocks, and from which it has word blocks.
+SHORT, LONG = 10, 6
+#: Blocks of a line and smallest hashes in a block key, for words and for trigrams.
+WORD_BLOCKS, TRIGRAM_BLOCKS = (14, 4), (20, 3)
 TILE = 4096
 #: Words whose hash bits are counted at a time; at most 255 fit into an 8-bit counter.
 _WORDS, _COUNTER = 1 << 20, 255
@@ -62,44 +71,113 @@ def normalise(line: str) -> str:
     return normalised(pa.array([line]))[0].as_py()
 
 
-def simhashes(lines: pa.Array) -> np.ndarray:
-    """SimHash (signed 64 bits) of the distinct words of each normalised, non-empty line.
+_U = np.uint64
+_GOLD, _MIX = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 
-    Eight bit counters share a machine word, so a word's 64 bits are added in eight additions.
+
+def _scatter(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> _U(30)) * _MIX
+    return h ^ h >> _U(31)
+
+
+def _majority(line: np.ndarray, code: np.ndarray, lines: int, hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each line's distinct features: bits set in over half of their ``hashes``; pairs sorted by line.
+
+    Eight bit counters share a machine word, so a feature's 64 bits are added in eight additions.
     """
-    if not len(lines):
-        return np.zeros(0, dtype=np.int64)
-    cut = pc.split_pattern(lines.cast(pa.large_string()), " ")
-    ends = np.diff(cut.offsets.to_numpy())
-    coded = cut.flatten().dictionary_encode()
-    words = strings(coded.dictionary)
-    digest = xxhash.xxh64_intdigest
-    spread = _SPREAD[np.array([digest(w, 1) for w in words], dtype=np.uint64).view(np.uint8)].reshape(-1, 8)
-    pairs = np.repeat(np.arange(len(lines)), ends) * np.int64(len(words)) + coded.indices.to_numpy()
-    pairs.sort()
-    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
-    line, word = pairs // len(words), pairs % len(words)
-    n = np.bincount(line, minlength=len(lines))
+    spread = _SPREAD[hashes.view(np.uint8)].reshape(-1, 8)
+    n = np.bincount(line, minlength=lines)
     first = np.cumsum(n) - n
-    place = np.arange(len(pairs)) - np.repeat(first, n)
-    parts = np.flatnonzero(place % _COUNTER == 0)            # a line's words, 255 at a time
+    place = np.arange(len(line)) - np.repeat(first, n)
+    parts = np.flatnonzero(place % _COUNTER == 0)            # a line's features, 255 at a time
     sums = np.empty((len(parts), 8), dtype=np.uint64)
-    bounds = np.append(parts, len(pairs))
+    bounds = np.append(parts, len(line))
     at = 0
     while at < len(parts):
         stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _WORDS, "right")) - 1)
-        own = spread[word[bounds[at]:bounds[stop]]]
+        own = spread[code[bounds[at]:bounds[stop]]]
         sums[at:stop] = np.add.reduceat(own, bounds[at:stop] - bounds[at], axis=0)
         at = stop
     counts = sums.view(np.uint8).reshape(-1, 64)
-    if len(parts) > len(lines):
+    if len(parts) > lines:
         counts = np.add.reduceat(counts.astype(np.int64), np.searchsorted(parts, first), axis=0)
-    majority = counts * np.int64(2) > n[:, None] if len(parts) > len(lines) else counts > (n // 2)[:, None]
-    return np.packbits(majority, axis=1, bitorder="little").view(np.int64).reshape(-1)
+        over = counts * 2 > n[:, None]
+    else:
+        over = counts > (n // 2)[:, None]
+    return np.packbits(over, axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+
+def _block_keys(line: np.ndarray, code: np.ndarray, lines: int, hashes: np.ndarray, blocks: int, rows: int) -> np.ndarray:
+    """``(lines, blocks)`` keys of 32 bits: each joins the smallest of ``rows`` hashes over the line's features."""
+    first = np.searchsorted(line, np.arange(lines))
+    out = np.empty((lines, blocks), dtype=np.int32)
+    for b in range(blocks):
+        key = np.zeros(lines, dtype=np.uint64)
+        for r in range(rows):
+            drawn = (_scatter(hashes ^ np.full(1, b * rows + r + 1, dtype=np.uint64) * _GOLD) >> _U(32)).astype(np.uint32)
+            key = key * _GOLD ^ np.minimum.reduceat(drawn[code], first)
+        out[:, b] = (_scatter(key) >> _U(32)).astype(np.uint32).view(np.int32)
+    return out
+
+
+def _features(line: np.ndarray, code: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (line, feature) pairs, sorted."""
+    pairs = line * np.int64(codes) + code
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    return pairs // codes, pairs % codes
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel over the columns of ``a``."""
+def _word_features(lines: pa.Array):
+    cut = pc.split_pattern(lines.cast(pa.large_string()), " ")
+    ends = np.diff(cut.offsets.to_numpy())
+    coded = cut.flatten().dictionary_encode()
+    words = strings(coded.dictionary)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w, 1) for w in words], dtype=np.uint64)
+    return *_features(np.repeat(np.arange(len(lines)), ends), coded.indices.to_numpy(), len(words)), hashes, ends
+
+
+def _trigram_features(lines: pa.Array):
+    """Distinct trigrams of each line with a space before and behind."""
+    texts = [f" {t} " if len(t) > 1 else f" {t}  " for t in strings(lines)]
+    ends = np.array([len(t) for t in texts]) - 2
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    grams = points[:-2] | points[1:-1] << _U(21) | points[2:] << _U(42)
+    starts = np.cumsum(ends + 2) - (ends + 2)
+    at = np.repeat(starts, ends) + np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)
+    values, code = np.unique(grams[at], return_inverse=True)
+    return *_features(np.repeat(np.arange(len(lines)), ends), code, len(values)), _scatter(values * _GOLD)
+
+
+def sketches(lines: pa.Array) -> pa.StructArray:
+    """``wfp, wkeys, tfp, tkeys`` of each normalised, non-empty line; null where a line has no such kind."""
+    n = len(lines)
+    kinds = [(np.zeros(n, dtype=np.int64), np.zeros((n, b), dtype=np.int32), np.zeros(n, dtype=bool)) for b, _ in (WORD_BLOCKS, TRIGRAM_BLOCKS)]
+    if n:
+        line, code, hashes, words = _word_features(lines)
+        for (fps, keys, has), own, shape in zip(kinds, (words >= LONG, words <= SHORT), (WORD_BLOCKS, TRIGRAM_BLOCKS)):
+            has[:] = own
+            if not own.any():
+                continue
+            if shape is WORD_BLOCKS:
+                mine = own[line]
+                rank = np.cumsum(own) - 1
+                got = rank[line[mine]], code[mine], hashes
+            else:
+                got = _trigram_features(lines.filter(pa.array(own)))
+            k = int(own.sum())
+            fps[own], keys[own] = _majority(got[0], got[1], k, got[2]), _block_keys(got[0], got[1], k, got[2], *shape)
+    columns = []
+    for fps, keys, has in kinds:
+        size = has.astype(np.int32) * keys.shape[1]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        columns += [pa.array(fps, mask=~has), pa.ListArray.from_arrays(offsets, pa.array(keys[has].reshape(-1)), mask=pa.array(~has))]
+    return pa.StructArray.from_arrays(columns, names=["wfp", "wkeys", "tfp", "tkeys"])
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, bit-parallel over the columns of ``a``; once it is sure to exceed ``most``, any number above that."""
     while a and b and a[-1] == b[-1]:
         n = len(a)
         step = next((k for k in (4096, 256, 16) if n > k and a[-k:] == b[-k:]), 1)
@@ -113,11 +191,15 @@ def edit_distance(a: str, b: str) -> int:
         where[ch] = where.get(ch, 0) | 1 << i
     full, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = full, 0
+    left = len(b) + (len(a) + len(b) if most is None else most)
     for ch in b:
         match = where.get(ch, 0)
         zero = (((match & up) + up) ^ up) | match | down
         plus, minus = down | (~(zero | up) & full), up & zero
         distance += bool(plus & top) - bool(minus & top)
+        left -= 1
+        if distance > left:          # each remaining column lowers it by one at most
+            return distance
         plus = (plus << 1 | 1) & full
         minus = minus << 1 & full
         up, down = minus | (~(zero | plus) & full), plus & zero
@@ -128,11 +210,14 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < least * longer:
         return False
-    return longer - edit_distance(a, b) >= least * longer
+    return longer - edit_distance(a, b, int((1 - least) * longer) + 1) >= least * longer
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``id, text_hash, line, key, fp``: the lines with content (text left behind)."""
+    """``id, text_hash, line, key, sketch``: the lines with content (text left behind).
+
+    A line repeated within a part of a batch has its sketch at its first occurrence there.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
@@ -147,13 +232,72 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 # Lines repeated within the part are hashed once.
                 coded, at = lines.filter(some).dictionary_encode(), pa.array(row[keep])
                 keys = pa.array([xxhash.xxh3_128_digest(x) for x in strings(coded.dictionary)], pa.binary())
+                codes = coded.indices.to_numpy()
+                again = np.ones(len(codes), dtype=bool)
+                again[np.unique(codes, return_index=True)[1]] = False
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(at), part.column("text_hash").take(at), pa.array(number[keep], pa.int32()),
-                     keys.take(coded.indices), pa.array(simhashes(coded.dictionary), pa.int64()).take(coded.indices)],
-                    names=["id", "text_hash", "line", "key", "fp"])
+                     keys.take(coded.indices), sketches(coded.dictionary).take(pa.array(codes, mask=again))],
+                    names=["id", "text_hash", "line", "key", "sketch"])
 
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(run, "id long, text_hash long, line int, key binary, fp long")
+    return docs.mapInArrow(run, "id long, text_hash long, line int, key binary, "
+                                "sketch struct<wfp: long, wkeys: array<int>, tfp: long, tkeys: array<int>>")
+
+
+def _units(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], tile: int) -> Iterator[pa.RecordBatch]:
+    """``unit, kind, fp`` of the lines that have company in their block, from batches sorted by block key.
+
+    A unit is named by its members; a block beyond ``tile`` rows passes through under its key.
+    """
+    def rows(unit, kind, fp):
+        return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(kind), pa.array(fp.view(np.int64))],
+                                          names=["unit", "kind", "fp"])
+
+    def members(kind, fp, a, b):
+        label = bitslice.local_components(len(fp), a, b)
+        company = np.bincount(label, minlength=len(fp))[label] > 1
+        name = np.zeros(len(fp), dtype=np.uint64)
+        np.add.at(name, label, _scatter((fp ^ kind.astype(np.uint64)) * _GOLD))
+        return rows(name[label][company], kind[company], fp[company])
+
+    def whole(key, kind, fp):
+        """Complete blocks."""
+        firsts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        sizes = np.diff(np.append(firsts, len(key)))
+        for k, radius in enumerate(radii):
+            few = (sizes > 1) & (sizes <= 64) & (kind[firsts] == k)
+            if few.any():
+                small, some = np.repeat(few, sizes), sizes[few]
+                yield members(kind[small], fp[small], *bitslice.link_small(fp[small], np.cumsum(some) - some, radius))
+        for r in np.flatnonzero(sizes > 64).tolist():
+            own = slice(firsts[r], firsts[r] + sizes[r])
+            yield members(kind[own], fp[own], *bitslice.link_large(fp[own], radii[kind[firsts[r]]])) if sizes[r] <= tile else \
+                rows(key[own].view(np.uint64), kind[own], fp[own])
+
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))
+    held, passing = none, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b.column("key").to_numpy(), b.column("kind").to_numpy(), b.column("fp").to_numpy().view(np.uint64)]
+        if passing is not None:
+            n = int(np.searchsorted(now[0], passing, "right"))
+            if n:
+                yield rows(now[0][:n].view(np.uint64), now[1][:n], now[2][:n])
+            if n == b.num_rows:
+                continue
+            now, passing = [c[n:] for c in now], None
+        key, kind, fp = (np.concatenate([h, c]) for h, c in zip(held, now))
+        end = int(np.searchsorted(key, key[-1], "left"))           # the last block is open
+        if end:
+            yield from whole(key[:end], kind[:end], fp[:end])
+        held = key[end:], kind[end:], fp[end:]
+        if len(held[0]) > tile:
+            yield rows(held[0].view(np.uint64), held[1], held[2])
+            held, passing = none, int(held[0][0])
+    if len(held[0]) > 1:
+        yield from whole(*held)
 
 
 def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Iterator[tuple[int, int]]:
@@ -172,71 +316,75 @@ def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Iter
             left = left[~hit]
 
 
-def _verify(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], least: float) -> Iterator[pa.RecordBatch]:
     """Links within each run of equal ``unit`` in batches sorted by it."""
     held, now = [], None
 
     def links_of(rows):
         found = list(_reach([r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64),
-                            radius, least)) if len(rows) > 1 else []
+                            radii[rows[0][3]], least))
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[a][0] for a, _ in found], pa.binary()), pa.array([rows[b][0] for _, b in found], pa.binary())],
             names=["u", "v"])
 
     for b in batches:
-        units = zip(b.column("component").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist())
-        for unit, key, fp, text in zip(units, b.column("key").to_pylist(), b.column("fp").to_pylist(),
-                                       b.column("text").to_pylist()):
+        units = zip(b.column("unit").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist())
+        for unit, key, fp, text, kind in zip(units, b.column("key").to_pylist(), b.column("fp").to_pylist(),
+                                             b.column("text").to_pylist(), b.column("kind").to_pylist()):
             if unit != now:
                 if len(held) > 1:
                     yield links_of(held)
                 held, now = [], unit
-            held.append((key, fp, text))
+            held.append((key, fp, text, kind))
     if len(held) > 1:
         yield links_of(held)
 
 
-def _with_text(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Append the normalised ``text`` of distinct lines, read again from their first occurrence."""
-    wanted = staged(distinct.groupBy(F.col("first.id").alias("_wid"), F.col("first.text_hash").alias("_wth")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "key", "fp", "component", "tiles")).alias("lines")),
-        "lines-wanted")
+def _with_text(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``key, units, text``: lines that are in some unit, with the normalised text, read again from their first occurrence."""
+    wanted = staged(lines.groupBy(F.col("first.id").alias("_wid"), F.col("first.text_hash").alias("_wth")).agg(
+        F.collect_list(F.struct(F.col("first.line").alias("line"), "key", "units")).alias("lines")), "lines-wanted")
     # Rows with equal id and text hold the same lines: one of them is enough.
     rows = docs.join(wanted, docs["id"].eqNullSafe(wanted["_wid"]) & (docs["text_hash"] == wanted["_wth"])) \
         .select(F.explode(let(F.split("text", "\n"), lambda cut: F.transform("lines", lambda x: F.struct(
-            x["key"].alias("key"), x["fp"].alias("fp"), x["component"].alias("component"), x["tiles"].alias("tiles"),
-            F.get(cut, x["line"]).alias("text"))))).alias("x")).select("x.*")
+            x["key"].alias("key"), x["units"].alias("units"), F.get(cut, x["line"]).alias("text"))))).alias("x")).select("x.*")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         i = b.schema.get_field_index("text")
         return b.set_column(i, "text", normalised(b.column(i)).cast(pa.string()))
 
-    return map_arrow(rows, batch, rows.schema).distinct()
+    return map_arrow(rows, batch, rows.schema)
 
 
-def line_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, least: float = SIMILARITY,
-                tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, radii: tuple[int, int] = RADII, least: float = SIMILARITY, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(occurrences, ``key, keeper``): the occurrence that stays for every line that is not unique."""
     lines = staged(occurrences(docs), "lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line")
     distinct = staged(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
-                                               F.first("fp").alias("fp")), "lines-distinct")
-    by_fp = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "lines-fingerprints")
-    comp = connected_components(contracted(links(by_fp.select("fp"), radius, blocks))).withColumnRenamed("node", "fp")
-    # Other fingerprints stand for one line without a link.
-    shared = staged(by_fp.join(comp, "fp", "left").where("n > 1 OR component IS NOT NULL").select(
-        "fp", "n", F.coalesce("component", "fp").alias("component")), "lines-shared")
-    sizes = shared.groupBy("component").agg(F.sum("n").alias("size")).where("size > 1")
-    several = staged(shared.join(sizes, "component").select(
-        "fp", "component", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "lines-sets")
-
-    texts = _with_text(distinct.join(several, "fp"), docs)
+                                               F.first("sketch", ignorenulls=True).alias("sketch")), "lines-distinct")
+
+    # One long names kind, block number and key.
+    dealt = None
+    for kind, (fp, keys) in enumerate((("wfp", "wkeys"), ("tfp", "tkeys"))):
+        own = distinct.where(F.col(f"sketch.{fp}").isNotNull()).select(F.lit(kind).alias("kind"), F.col(f"sketch.{fp}").alias("fp"), F.posexplode(
+            f"sketch.{keys}").alias("block", "k")).select(F.xxhash64("kind", "block", "k").alias("key"), "kind", "fp")
+        dealt = own if dealt is None else dealt.union(own)
+    met = staged(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(
+        lambda it: _units(it, radii, tile), "unit long, kind int, fp long"), "lines-met").distinct()
+    kinds = F.explode(F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("sketch.wfp").alias("fp")),
+                                       F.struct(F.lit(1).alias("kind"), F.col("sketch.tfp").alias("fp"))), lambda x: x["fp"].isNotNull()))
+    nodes = distinct.select("key", "first", kinds.alias("x")).select("key", "first", "x.*")
+    inside = staged(nodes.join(met, ["kind", "fp"]), "lines-inside")
+    sizes = inside.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    by_line = inside.join(sizes, "unit").groupBy("key").agg(F.first("first").alias("first"), F.collect_list(F.struct(
+        "unit", "kind", "fp", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))).alias("units"))
+    texts = _with_text(by_line, docs).select("key", "text", F.explode("units").alias("x")).select("key", "text", "x.*")
     own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     units = (texts.withColumn("own", own).withColumn("other", other)
-             .select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "key", "fp", "text")
-             .repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "key"))
-    found = staged(units.mapInArrow(lambda it: _verify(it, radius, least), "u binary, v binary"), "lines-verified")
+             .select("unit", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "key", "kind", "fp", "text")
+             .repartition("unit", "a", "b").sortWithinPartitions("unit", "a", "b", "key"))
+    found = staged(units.mapInArrow(lambda it: _verify(it, radii, least), "u binary, v binary"), "lines-verified")
     groups = connected_components(contracted(found)).withColumnRenamed("node", "key")
     repeated = distinct.join(groups, "key", "left").where((F.col("n") > 1) | F.col("component").isNotNull()) \
         .select("key", "first", F.coalesce("component", "key").alias("group"))

@@ -23,12 +23,16 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice(list("abé "), size=int(rng.integers(0, 40)))) for _ in range(2))
         assert ld.edit_distance(a, b) == slow_distance(a, b)
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abé "), size=int(rng.integers(0, 40)))) for _ in range(2))
+        most = int(rng.integers(0, 30))
+        assert min(ld.edit_distance(a, b, most), most + 1) == min(slow_distance(a, b), most + 1)
     long = "ab c" * 5000
     assert ld.edit_distance(long, long[:-1] + "xy") == 2
 
 
-def slow(rows, radius, least):
-    """Cleaned text per row."""
+def slow(rows, least):
+    """Cleaned text per row, by edit similarity alone."""
     occ = []
     for d, t in dict.fromkeys(rows):
         for i, x in enumerate(t.split("\n") if t is not None else []):
@@ -36,15 +40,13 @@ def slow(rows, radius, least):
             if n:
                 occ.append(((d is None, d if d is not None else 0), t, i, n))
     keys = sorted({o[3] for o in occ})
-    fps = [int(f) for f in ld.simhashes(pa.array(keys))]
     group = list(range(len(keys)))
     changed = True
     while changed:
         changed = False
         for i in range(len(keys)):
             for j in range(i):
-                if group[i] != group[j] and ((fps[i] ^ fps[j]) & (2 ** 64 - 1)).bit_count() <= radius \
-                        and ld.similar(keys[i], keys[j], least):
+                if group[i] != group[j] and ld.similar(keys[i], keys[j], least):
                     group[i] = group[j] = min(group[i], group[j])
                     changed = True
     first = {}
@@ -77,7 +79,7 @@ def test_matches_brute_force(spark):
     df = spark.createDataFrame([(d, t, "extra") for d, t in rows], SCHEMA)
     for tile in (ld.TILE, 3):
         got = sorted(((r["doc_id"], r["text"]) for r in ld.dedup_lines(df, tile=tile).collect()), key=str)
-        assert got == slow(rows, ld.RADIUS, ld.SIMILARITY)
+        assert got == slow(rows, ld.SIMILARITY)
     r = {x["doc_id"]: x for x in ld.line_table(df.where("doc_id >= 40")).collect()}
     assert (r[40]["n_lines"], r[40]["text"]) == (0, None)
     assert (r[41]["n_lines"], r[41]["text"]) == (1, "")
@@ -101,3 +103,69 @@ def test_contracted_edges_keep_their_components(spark):
     df = spark.createDataFrame(pairs, "u long, v long")
     plain = {tuple(r) for r in components.connected_components(df).collect()}
     assert plain == {tuple(r) for r in components.connected_components(components.contracted(df, 40)).collect()}
+
+
+def meets(a, b):
+    """Which pairs of lines share a block and lie within the radius in one kind of features."""
+    left, right = (ld.sketches(pa.array(x)).to_pylist() for x in (a, b))
+    return np.array([any(x[f] is not None and y[f] is not None and any(p == q for p, q in zip(x[k], y[k]))
+                         and ((x[f] ^ y[f]) & (2 ** 64 - 1)).bit_count() <= most for f, k, most in (("wfp", "wkeys", ld.RADII[0]), ("tfp", "tkeys", ld.RADII[1])))
+                     for x, y in zip(left, right)])
+
+
+def changed_pairs(rng, vocab, n, how, count=400):
+    """Lines of ``n`` words and a changed line each, edit similarity of at least 0.8."""
+    out = []
+    while len(out) < count:
+        w = list(rng.choice(vocab, size=n))
+        a = " ".join(w)
+        if how != "typos":
+            for i in rng.permutation(n)[:1 if how == "word" else n // 6]:
+                w[int(i)] = str(rng.choice(vocab))
+            b = " ".join(w)
+        else:
+            chars = list(a)
+            for _ in range(max(1, len(a) // 40)):
+                chars[int(rng.integers(len(chars)))] = "q"
+            b = "".join(chars)
+        b = ld.normalise(b)
+        if a != b and ld.similar(a, b):
+            out.append((a, b))
+    return [x for x, _ in out], [y for _, y in out]
+
+
+def vocabulary(rng):
+    return np.array(sorted({"".join(rng.choice(list("abcdefghijklmnoprstuvwz"), size=int(rng.integers(3, 10)))) for _ in range(3000)}))
+
+
+def test_recall_by_length():
+    """Share of pairs at edit similarity 0.8 or more that meet, by words in the line."""
+    rng = np.random.default_rng(17)
+    vocab = vocabulary(rng)
+    got = {(how, n): round(float(meets(*changed_pairs(rng, vocab, n, how)).mean()), 4)
+           for how in ("word", "typos", "a sixth of the words") for n in (4, 6, 8, 10, 11, 15, 20, 40, 60) if n > 5 or how != "a sixth of the words"}
+    print(got)
+    assert min(got.values()) >= 0.9
+
+
+def test_sketches_of_odd_lines():
+    rng = np.random.default_rng(2)
+    lines = ["a", "é", "0", "ab", "a b c d e f", " ".join(["x"] * 40), "中文", " ".join(rng.choice(list("abcdefg"), 5000))]
+    got = ld.sketches(pa.array(lines)).to_pylist()
+    assert all((x["wfp"] is None) == (len(t.split(" ")) < ld.LONG) and (x["tfp"] is None) == (len(t.split(" ")) > ld.SHORT) for x, t in zip(got, lines))
+    # A line's sketch does not depend on its neighbours.
+    assert [ld.sketches(pa.array([t])).to_pylist()[0] for t in lines] == got
+    assert len(ld.sketches(pa.array([], pa.string()))) == 0
+
+
+def test_large_blocks_pass_whole():
+    rng = np.random.default_rng(5)
+    key = np.sort(np.concatenate([np.full(300, 7), np.full(90, 9), rng.integers(20, 60, 80)])).astype(np.int64)
+    fp = np.where(rng.random(len(key)) < .5, 0, rng.integers(0, 1 << 62, len(key)))
+    table = pa.table({"key": key, "kind": pa.array(np.zeros(len(key), np.int32)), "fp": fp.astype(np.int64)})
+    results = []
+    for size in (1000, 37, 5):
+        out = [r for b in ld._units(iter(table.to_batches(max_chunksize=size)), (3, 3), 100) for r in b.to_pylist()]
+        results.append(sorted((r["unit"], r["fp"]) for r in out))
+    assert results[0] == results[1] == results[2]
+    assert sum(u == 7 for u, _ in results[0]) == 300
