@@ -8,8 +8,8 @@
    key joins the smallest hashes of a few features, so lines that share most of them
    meet in some block. Blocks of bits of the SimHash itself cannot serve: at an edit similarity of 0.8 a fifth of the features
    differ, that is 10 to 14 of 64 bits, and a block of bits that survives this is shared by everything.
-4. Within a block, SimHashes are compared bit-sliced; what hangs together within ``RADII`` bits is a unit. Units with the
-   same members (the usual case: the same few lines meet in many blocks) are one. A block beyond ``TILE`` lines is a unit as it is.
+4. Within a block, SimHashes are compared bit-sliced; what hangs together within ``RADII`` bits is named by its
+   smallest SimHash, and all that has one name, in whichever block, is a unit: it lies in the blocks of one line. A block beyond ``TILE`` lines is a unit as it is.
    Within a unit, lines in the radius are verified: edit similarity 1 - distance / longer
    length of the normalised lines of at least ``SIMILARITY``. A verified line is
    reached once and then asks itself, so near copies cost about their number. A unit with
@@ -248,7 +248,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def _units(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], tile: int) -> Iterator[pa.RecordBatch]:
     """``unit, kind, fp`` of the lines that have company in their block, from batches sorted by block key.
 
-    A unit is named by its members; a block beyond ``tile`` rows passes through under its key.
+    A unit is named by its smallest SimHash; a block beyond ``tile`` rows passes through under its key.
     """
     def rows(unit, kind, fp):
         return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(kind), pa.array(fp.view(np.int64))],
@@ -257,9 +257,10 @@ def _units(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], tile: int)
     def members(kind, fp, a, b):
         label = bitslice.local_components(len(fp), a, b)
         company = np.bincount(label, minlength=len(fp))[label] > 1
-        name = np.zeros(len(fp), dtype=np.uint64)
-        np.add.at(name, label, _scatter((fp ^ kind.astype(np.uint64)) * _GOLD))
-        return rows(name[label][company], kind[company], fp[company])
+        low = np.full(len(fp), ~_U(0))
+        np.minimum.at(low, label, fp)
+        name = _scatter((low[label] ^ kind.astype(np.uint64)) * _GOLD)
+        return rows(name[company], kind[company], fp[company])
 
     def whole(key, kind, fp):
         """Complete blocks."""
