@@ -5,7 +5,7 @@
    of all documents is one row from here on.
 3. Each distinct line gets a SimHash and block keys. Lines of up to ``SHORT`` words take both from their character
    trigrams, lines of ``LONG`` words and more from their distinct words (lines between have both kinds). A block
-   key joins the smallest hashes of a few features, so lines that share most of them
+   key joins the smallest draws of a few features (words weigh by their length, so common words seldom decide), so lines that share most of them
    meet in some block. Blocks of bits of the SimHash itself cannot serve: at an edit similarity of 0.8 a fifth of the features
    differ, that is 10 to 14 of 64 bits, and a block of bits that survives this is shared by everything.
 4. Within a block, SimHashes are compared bit-sliced; what hangs together within ``RADII`` bits is named by its
@@ -41,12 +41,12 @@ from peakscreen.llm.components import connected_components, contracted
 from peakscreen.session import ship_package
 
 #: Bits by which SimHashes of words and of trigrams may differ.
-RADII = (17, 21)
+RADII = (17, 19)
 SIMILARITY = 0.8
 #: Words up to which a line has trigram blocks, and from which it has word blocks.
-SHORT, LONG = 10, 6
+SHORT, LONG = 8, 6
 #: Blocks of a line and smallest hashes in a block key, for words and for trigrams.
-WORD_BLOCKS, TRIGRAM_BLOCKS = (14, 4), (20, 3)
+WORD_BLOCKS, TRIGRAM_BLOCKS = (16, 4), (24, 4)
 TILE = 4096
 #: Words whose hash bits are counted at a time; at most 255 fit into an 8-bit counter.
 _WORDS, _COUNTER = 1 << 20, 255
@@ -107,15 +107,19 @@ def _majority(line: np.ndarray, code: np.ndarray, lines: int, hashes: np.ndarray
     return np.packbits(over, axis=1, bitorder="little").view(np.int64).reshape(-1)
 
 
-def _block_keys(line: np.ndarray, code: np.ndarray, lines: int, hashes: np.ndarray, blocks: int, rows: int) -> np.ndarray:
-    """``(lines, blocks)`` keys of 32 bits: each joins the smallest of ``rows`` hashes over the line's features."""
+def _block_keys(line: np.ndarray, code: np.ndarray, lines: int, hashes: np.ndarray, weights: np.ndarray, blocks: int, rows: int) -> np.ndarray:
+    """``(lines, blocks)`` keys of 32 bits: each joins the smallest of ``rows`` draws over the line's features.
+
+    A draw is exponential with the feature's weight as its rate, so heavy features are the smallest more often.
+    """
     first = np.searchsorted(line, np.arange(lines))
     out = np.empty((lines, blocks), dtype=np.int32)
     for b in range(blocks):
         key = np.zeros(lines, dtype=np.uint64)
         for r in range(rows):
-            drawn = (_scatter(hashes ^ np.full(1, b * rows + r + 1, dtype=np.uint64) * _GOLD) >> _U(32)).astype(np.uint32)
-            key = key * _GOLD ^ np.minimum.reduceat(drawn[code], first)
+            u = _scatter(hashes ^ np.full(1, b * rows + r + 1, dtype=np.uint64) * _GOLD) >> _U(11)
+            drawn = (-np.log((u + 0.5) * 2.0 ** -53) / weights).astype(np.float32)
+            key = key * _GOLD ^ np.minimum.reduceat(drawn[code], first).view(np.uint32)
         out[:, b] = (_scatter(key) >> _U(32)).astype(np.uint32).view(np.int32)
     return out
 
@@ -135,7 +139,9 @@ def _word_features(lines: pa.Array):
     words = strings(coded.dictionary)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(w, 1) for w in words], dtype=np.uint64)
-    return *_features(np.repeat(np.arange(len(lines)), ends), coded.indices.to_numpy(), len(words)), hashes, ends
+    # Common words are short: their weight keeps them from making a block of everything.
+    weights = np.minimum([len(w) for w in words], 16) ** 1.5
+    return *_features(np.repeat(np.arange(len(lines)), ends), coded.indices.to_numpy(), len(words)), hashes, weights, ends
 
 
 def _trigram_features(lines: pa.Array):
@@ -147,7 +153,7 @@ def _trigram_features(lines: pa.Array):
     starts = np.cumsum(ends + 2) - (ends + 2)
     at = np.repeat(starts, ends) + np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)
     values, code = np.unique(grams[at], return_inverse=True)
-    return *_features(np.repeat(np.arange(len(lines)), ends), code, len(values)), _scatter(values * _GOLD)
+    return *_features(np.repeat(np.arange(len(lines)), ends), code, len(values)), _scatter(values * _GOLD), np.ones(len(values))
 
 
 def sketches(lines: pa.Array) -> pa.StructArray:
@@ -155,7 +161,7 @@ def sketches(lines: pa.Array) -> pa.StructArray:
     n = len(lines)
     kinds = [(np.zeros(n, dtype=np.int64), np.zeros((n, b), dtype=np.int32), np.zeros(n, dtype=bool)) for b, _ in (WORD_BLOCKS, TRIGRAM_BLOCKS)]
     if n:
-        line, code, hashes, words = _word_features(lines)
+        line, code, hashes, weights, words = _word_features(lines)
         for (fps, keys, has), own, shape in zip(kinds, (words >= LONG, words <= SHORT), (WORD_BLOCKS, TRIGRAM_BLOCKS)):
             has[:] = own
             if not own.any():
@@ -163,11 +169,11 @@ def sketches(lines: pa.Array) -> pa.StructArray:
             if shape is WORD_BLOCKS:
                 mine = own[line]
                 rank = np.cumsum(own) - 1
-                got = rank[line[mine]], code[mine], hashes
+                got = rank[line[mine]], code[mine], hashes, weights
             else:
                 got = _trigram_features(lines.filter(pa.array(own)))
             k = int(own.sum())
-            fps[own], keys[own] = _majority(got[0], got[1], k, got[2]), _block_keys(got[0], got[1], k, got[2], *shape)
+            fps[own], keys[own] = _majority(got[0], got[1], k, got[2]), _block_keys(got[0], got[1], k, got[2], got[3], *shape)
     columns = []
     for fps, keys, has in kinds:
         size = has.astype(np.int32) * keys.shape[1]
