@@ -169,3 +169,18 @@ def test_large_blocks_pass_whole():
         results.append(sorted((r["unit"], r["fp"]) for r in out))
     assert results[0] == results[1] == results[2]
     assert sum(u == 7 for u, _ in results[0]) == 300
+
+
+def test_aligned_cost_bounds_the_distance():
+    rng = np.random.default_rng(6)
+    vocab = list(vocabulary(rng)[:40])
+    for _ in range(400):
+        w = list(rng.choice(vocab, size=int(rng.integers(1, 15))))
+        v = list(w)
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(len(v) + 1))
+            v[at:at + int(rng.integers(0, 3))] = list(rng.choice(vocab, size=int(rng.integers(0, 3))))
+        a, b = " ".join(w), " ".join(v)
+        assert ld.aligned_cost(a, b) >= slow_distance(a, b)
+        assert ld.similar(a, b) == (max(len(a), len(b)) - slow_distance(a, b) >= 0.8 * max(len(a), len(b)))
+    assert ld.aligned_cost("a b c d", "a b x c d") == 2 and ld.aligned_cost("a b", "a b") == 0
