@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peakscreen.operators import boosting as bo
 from peakscreen.operators import evaluation as ev
 from peakscreen.operators import modeling as md
 
@@ -69,3 +70,12 @@ def test_compare_search_curve_pca_early_stop(spark, table):
     es = md.early_stopped_gbt(table, FEATS, max_iter=15)
     assert 1 <= es.extras["rounds"] <= 15
     assert not math.isnan(ev.roc_auc(md.score(es, table)))
+
+
+def test_boosting_fits_in_a_task_that_gets_the_chosen_rows_alone(spark, monkeypatch):
+    kind = type(spark.range(1))
+    plans, real = [], kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: (plans.append(self._jdf.queryExecution().toString()), real(self, *a, **k))[1])
+    rows = spark.range(0, 400, 1, 8).selectExpr("id AS row_id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 7 > 3 AS INT) AS reported")
+    bo.fit_boosted(rows, ["a"], fit_rows=50, rounds=3)
+    assert any("REPARTITION_BY_NUM" in p for p in plans) and not any("Coalesce 1" in p for p in plans)
