@@ -164,3 +164,11 @@ def test_knn_refuses_null_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0])], "row_id long, vec array<double>")
     with pytest.raises(Exception, match="no neighbours"):
         sm.knn_within(df, "row_id", "vec").collect()
+
+
+def test_folds_and_subsets_from_one_ranking(spark):
+    df = spark.createDataFrame([(i, i % 3 % 2) for i in range(200)], "row_id long, reported int").repartition(5)
+    both = sm.folds_with_subsets(df, "reported", "row_id", 4, [.3, .6, .9])
+    apart = sm.nested_subsets(sm.stratified_folds(df, "reported", "row_id", 4), "reported", "row_id", [.3, .6, .9])
+    order = lambda t: sorted((r["row_id"], r["fold"], -1 if r["subset"] is None else r["subset"]) for r in t.collect())
+    assert order(both) == order(apart)

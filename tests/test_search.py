@@ -168,3 +168,41 @@ def test_boosting_model(spark, table):
     assert {r.model for r in curves.select("model").distinct().collect()} == {"boosting", "logistic"}
     report = md.comparison_reports([fitted], table).collect()
     assert [r["class"] for r in report] == ["0", "1", "accuracy", "macro avg", "weighted avg"]
+
+
+def test_a_newton_step_takes_one_pass(table, monkeypatch):
+    passes, steps = [], []
+    one, step = sr._fit_pass, sr._newton_step
+    monkeypatch.setattr(sr, "_fit_pass", lambda *a, **k: (passes.append(len(a[3])), one(*a, **k))[1])
+    monkeypatch.setattr(sr, "_newton_step", lambda *a: (steps.append(1), step(*a))[1])
+    folded = table.select(F.array(*FEATURES).alias("x"), F.col("reported").cast("double").alias("y"),
+                          (F.col("row_id") % 4).cast("int").alias("fold"), (F.col("row_id") % 3).cast("int").alias("level")).where("level < 2")
+    batch = sr.fit_logistic_batch(folded, 3, 4, [(0.0, 0.0), (2.0, 1.0)], nested=True)
+    # Before, a step took the losses of six tables and a pass of its own for the curvature.
+    assert sum(passes) <= 8 * (1 + 2 * len(steps)) and max(passes) <= 8 * len(sr.STEPS)
+    rows = folded.toPandas()
+    x, y = np.stack(rows.x), rows.y.to_numpy()
+    for f in range(4):
+        own = (rows.fold != f).to_numpy()
+        z = np.hstack([(x - x[own].mean(axis=0)) / x[own].std(axis=0), np.ones((len(x), 1))])
+        for c, (l1, l2) in enumerate([(0.0, 0.0), (2.0, 1.0)]):
+            use = own & (rows.level <= c).to_numpy()
+            n1 = y[use].sum()
+            w = np.where(y[use] == 1, use.sum() / (2 * n1), use.sum() / (2 * (use.sum() - n1)))
+            b = batch.coef[f, c]
+            slope = (w * (1 / (1 + np.exp(-z[use] @ b)) - y[use])) @ z[use] + np.append(l2 * b[:-1], 0)
+            # At the minimum the slope is zero, or within the l1 penalty where a coefficient is zero.
+            off = np.where(np.append(b[:-1] == 0, False), np.maximum(np.abs(slope) - l1, 0), np.abs(slope + np.append(l1 * np.sign(b[:-1]), 0)))
+            assert off.max() < .02
+
+
+def test_shorter_steps_when_the_whole_one_raises_the_cost(table, monkeypatch):
+    folded = table.select(F.array(*FEATURES).alias("x"), F.col("reported").cast("double").alias("y"),
+                          (F.col("row_id") % 2).cast("int").alias("fold"), F.lit(0).alias("level"))
+    want = sr.fit_logistic_batch(folded, 3, 2, [(0.0, 1.0)]).coef
+    step, shortened = sr._newton_step, []
+    real = sr._shorten
+    monkeypatch.setattr(sr, "_newton_step", lambda batch, g, h: batch.coef + 6 * (step(batch, g, h) - batch.coef))
+    monkeypatch.setattr(sr, "_shorten", lambda *a: (shortened.append(1), real(*a))[1])
+    assert np.allclose(sr.fit_logistic_batch(folded, 3, 2, [(0.0, 1.0)]).coef, want, atol=.01)
+    assert shortened
