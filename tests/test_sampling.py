@@ -172,3 +172,10 @@ def test_folds_and_subsets_from_one_ranking(spark):
     apart = sm.nested_subsets(sm.stratified_folds(df, "reported", "row_id", 4), "reported", "row_id", [.3, .6, .9])
     order = lambda t: sorted((r["row_id"], r["fold"], -1 if r["subset"] is None else r["subset"]) for r in t.collect())
     assert order(both) == order(apart)
+
+
+def test_knn_measures_few_vectors_against_the_pivots_at_a_time():
+    import pyarrow as pa
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["node"])
+    parts = list(knn._slices(iter([whole, whole.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= knn._ROWS and [x for p in parts for x in p.column("node").to_pylist()] == list(range(10_000))
