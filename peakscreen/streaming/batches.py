@@ -46,6 +46,8 @@ def _written(spark: SparkSession, out_dir: str, name: str, schema: str, batch_id
 
 
 LEDGER = "digest string, source_file string, batch_id long"
+#: Outputs with at most one row per file of the batch, known only after a shuffle.
+PER_FILE = ("control_status", "profit", "ledger")
 PROFIT = "batch_cents long, running_cents long, batch_id long"
 
 
@@ -53,7 +55,9 @@ def fresh_files(batch: DataFrame, out_dir: str, batch_id: int) -> tuple[DataFram
     """(files whose content no earlier batch counted, their ledger rows, repeats); of equal files in a batch the first name counts."""
     marked = batch.withColumn("digest", F.sha2("content", 256))
     first = marked.groupBy("digest").agg(F.min("source_file").alias("_first"))
-    seen = _written(batch.sparkSession, out_dir, "ledger", LEDGER, batch_id).select("digest").distinct()
+    # Of the ledger, only digests of this batch leave the tasks that read it.
+    seen = _written(batch.sparkSession, out_dir, "ledger", LEDGER, batch_id).select("digest") \
+        .join(F.broadcast(first.select("digest")), "digest", "left_semi").distinct()
     counted = first.join(seen, "digest", "left_anti").select("digest", F.col("_first").alias("source_file"))
     fresh = marked.join(counted, ["digest", "source_file"], "left_semi").drop("digest")
     repeats = marked.join(counted, ["digest", "source_file"], "left_anti").select("digest", "source_file")
@@ -83,8 +87,9 @@ def batch_writer(out_dir: str, score_fn: Callable[[DataFrame], DataFrame],
         for name, df in [("failed_controls", failed), ("dirty_blanks", dirty),
                          ("review", review), ("control_status", status), ("profit", profit), ("repeats", repeats),
                          ("rejected_files", parsed.rejected), ("ledger", counted)]:
-            df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-                f"{out_dir}/{name}/batch={batch_id}")
+            rows = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+            # A row per file at most: one task writes one file, which later batches read.
+            (rows.coalesce(1) if name in PER_FILE else rows).write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={batch_id}")
         decided.unpersist()
     return write
 

@@ -67,3 +67,20 @@ def test_redelivered_and_replayed_files_count_once(spark, tmpdir_path):
     write(_batch(spark, [("b.txt", two), ("late.txt", one)]), 1)
     write(_batch(spark, [("a.txt", one), ("copy.txt", one)]), 0)
     assert state == {n: read(n) for n in state}
+
+
+def test_a_batch_leaves_one_ledger_file_and_reads_its_own_digests_only(spark, tmpdir_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = os.path.join(tmpdir_path, "out")
+        write = batch_writer(out, lambda rows: rows.withColumn("probs", F.col("Score") / (F.col("Score") + F.lit(20.0))), COLS)
+        text = lambda n: "Peak Name: x\n\n" + "\t".join(COLS) + f"\nB{n}\tBlank\tA-1\t{n}\t2.0\t90.0\n"
+        files = lambda names: spark.createDataFrame([(f"{n}.txt", text(n)) for n in names], "source_file string, content string")
+        write(files(range(12)), 0)
+        for name in ("ledger", "control_status"):
+            assert len([f for f in os.listdir(f"{out}/{name}/batch=0") if f.startswith("part-")]) == 1
+        fresh, counted, repeats = sb.fresh_files(files([3, 20]), out, 1)
+        assert [r["source_file"] for r in counted.collect()] == ["20.txt"] and [r["source_file"] for r in repeats.collect()] == ["3.txt"]
+        assert "LeftSemi" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
