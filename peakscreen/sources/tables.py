@@ -46,13 +46,20 @@ def load_model(path: str):
 
 def save_fitted(spark: SparkSession, fitted, path: str) -> None:
     """Persist a ``FittedModel`` whole: pipeline (scaler included), name, features and threshold."""
-    save_model(fitted.model, f"{path}/pipeline")
-    about = {"name": fitted.name, "features": list(fitted.features), "threshold": fitted.threshold}
+    from peakscreen.operators.forest import Forest
+    forest = isinstance(fitted.model, Forest)
+    if forest:
+        fitted.model.save(f"{path}/forest")
+    else:
+        save_model(fitted.model, f"{path}/pipeline")
+    about = {"name": fitted.name, "features": list(fitted.features), "threshold": fitted.threshold, "forest": forest}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
 def load_fitted(spark: SparkSession, path: str):
     """Load a model saved by :func:`save_fitted`, ready to score."""
+    from peakscreen.operators.forest import Forest
     from peakscreen.operators.modeling import FittedModel
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
-    return FittedModel(about["name"], load_model(f"{path}/pipeline"), about["features"], about["threshold"])
+    model = Forest.load(spark, f"{path}/forest") if about.get("forest") else load_model(f"{path}/pipeline")
+    return FittedModel(about["name"], model, about["features"], about["threshold"])
