@@ -160,6 +160,23 @@ def test_knn_prunes(spark):
     assert share[0] > share[1] > share[2] and share[2] < 0.1
 
 
+def test_knn_compares_a_vector_with_a_few_leaves_however_large_its_cell(spark):
+    rng = np.random.RandomState(4)
+    each = []
+    for n in (2000, 16000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 3)))], "row_id long, vec array<double>")
+        each.append(knn.compared_pairs(df, "row_id", "vec", 5, pivots=1) / n)
+    assert each[1] < 1.3 * each[0] < 0.25 * 2000
+
+
+def test_knn_reports_equal_distances_in_one_tile(spark):
+    """More vectors at the k-th distance than a leaf holds; ids are negative, too."""
+    spokes = np.concatenate([s * np.eye(40) for s in (1.0, -1.0)]).tolist()
+    rows = list(zip(range(-30, 51), [[0.0] * 40, *spokes]))
+    for params in ({}, {"tile": 10, "pivots": 3}):
+        assert _knn_rows(spark, rows, 6, **params) == _plain_knn(rows, 6)
+
+
 def test_knn_refuses_null_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0])], "row_id long, vec array<double>")
     with pytest.raises(Exception, match="no neighbours"):
