@@ -7,8 +7,8 @@
 2. n-grams are counted inside the distinct chunks and weighted by the chunk's frequency. An n-gram belongs to
    the chunk in which it starts outside the trailing window (in the last chunk of a piece: anywhere), so
    that every occurrence counts once; the window is long enough for the longest phrase to end inside.
-3. Counting goes by length: words, then pairs of words that are frequent, then longer phrases whose pairs are
-   frequent. What is frequent reaches the tasks as a Bloom filter of bounded size. Phrases
+3. Counting goes by length: words (with the parse), then pairs of words that are frequent, then longer phrases whose pairs are
+   frequent. A task's pairs travel packed by ranges of first words, and a range is added up as a whole. What is frequent reaches the tasks as a Bloom filter of bounded size. Phrases
    are first counted by two hashes in a table of bounded size per task; those with a bucket that stays below the
    threshold over all tasks are not counted further. Either device, when too small for the data, lets more phrases
    through to the exact counts and loses none.
@@ -46,6 +46,8 @@ GATHER = 1 << 21
 FILTER_BITS, BITS_PER_ENTRY = 1 << 26, 16
 #: Buckets of the hashed counts at most (one byte each in a task), and ranges by which tasks' tables are added up.
 BUCKETS, RANGES = 1 << 24, 256
+#: Ranges of first words by which tasks' pairs are added up.
+PAIR_RANGES = 256
 _END = b"\xff"                   # stands in no UTF-8 text
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -145,7 +147,7 @@ def _by_lang(t: pa.Table) -> Iterator[tuple[str, pa.Table]]:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], period: int) -> Iterator[pa.RecordBatch]:
-    """``lang, last, text, n``: chunks and how often these texts have them."""
+    """``lang, last, text, n``: chunks and how often these texts have them, and their words (``last`` is null)."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             texts = own.column("text").combine_chunks().cast(pa.binary()).to_pylist()
@@ -154,10 +156,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], period: int) -> Iterator[pa.R
             if not len(starts):
                 continue
             counted = pa.table({"text": words.joined(starts, lengths), "last": last}).group_by(["text", "last"]).aggregate([([], "count_all")])
-            n = counted.num_rows
-            for b in pa.table([pa.array([lang]).take(pa.array(np.zeros(n, np.int32))), counted.column("last"), counted.column("text"),
-                               counted.column("count_all").cast(pa.int64())], names=["lang", "last", "text", "n"]).to_batches(10_000):
-                yield b
+            names = words.names.cast(pa.binary()).cast(pa.string())
+            for last, text, n in ((counted.column("last"), counted.column("text"), counted.column("count_all").cast(pa.int64())),
+                                  (pa.nulls(len(names), pa.bool_()), names, pa.array(np.bincount(words.word)))):
+                yield from pa.table([_lang_column(lang, len(n)), last, text, n], names=["lang", "last", "text", "n"]).to_batches(10_000)
 
     return _gathered(batches, part)
 
@@ -245,26 +247,28 @@ def _lang_column(lang: str, n: int) -> pa.Array:
     return pa.array([lang]).take(pa.array(np.zeros(n, np.int32)))
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, h1, f`` of the words."""
-    def part(t: pa.Table):
-        for lang, own in _by_lang(t):
-            c = Counted.of(own)
-            sums = np.zeros(len(c.words.names), np.int64)
-            np.add.at(sums, c.words.word[c.counts], c.weight[c.counts])
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [_lang_column(lang, len(some)), c.words.names.take(pa.array(some)).cast(pa.binary()).cast(pa.string()),
-                 pa.array(c.words.hashes(seed)[some].view(np.int64)), pa.array(sums[some])], names=["lang", "phrase", "h1", "f"])
-
-    return _gathered(batches, part)
+def _word_hashes(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """``lang, phrase, h1, f`` of counted words."""
+    for b in batches:
+        words = b.column("text").cast(pa.binary()).to_pylist()
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("text"), pa.array(h.view(np.int64)), b.column("n")],
+                                         names=["lang", "phrase", "h1", "f"])
 
 
-def _starts(c: Counted, h: np.ndarray, lang: np.uint64, frequent: Filter, known: int, size: int) -> np.ndarray:
-    """Positions of phrases of ``size`` words whose parts of ``known`` words may all be frequent."""
+def _begins(c: Counted, hashes: np.ndarray, lang: np.uint64, frequent: Filter, known: int) -> np.ndarray:
+    """Whether the ``known`` words from each position may be frequent."""
+    if known == 1:
+        return frequent.has(_keys(lang, hashes))[c.words.word]
+    h = hashes[c.words.word]
     begins = np.zeros(len(h), bool)
     inside = np.flatnonzero(c.room >= known)
     begins[inside] = frequent.has(_keys(lang, *(h[inside + i] for i in range(known))))
+    return begins
+
+
+def _starts(c: Counted, begins: np.ndarray, known: int, size: int) -> np.ndarray:
+    """Positions of phrases of ``size`` words whose parts of ``known`` words may all be frequent."""
     at = np.flatnonzero(begins & c.counts & (c.room >= size))
     for i in range(1, size - known + 1):
         at = at[begins[at + i]]
@@ -288,17 +292,24 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch], seed: int, frequent, known
                    least: int) -> Iterator[pa.RecordBatch]:
     """``part, counts``: a task's counts of phrases of these sizes by hash, none above ``least``."""
     table = np.zeros(buckets, np.min_scalar_type(least))
+    bits = int(least).bit_length()
 
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             c = Counted.of(own)
-            h = c.words.hashes(seed)[c.words.word]
-            code = _lang_hash(lang, seed)
+            hashes = c.words.hashes(seed)
+            h, code = hashes[c.words.word], _lang_hash(lang, seed)
+            begins = _begins(c, hashes, code, frequent.value, known)
             for size in sizes:
-                at = _starts(c, h, code, frequent.value, known, size)
+                at = _starts(c, begins, known, size)
+                weight = np.minimum(c.weight[at], least)
                 for bucket in _buckets(code, h, at, size, buckets):
-                    first, n = c.summed(np.arange(len(at)), bucket, c.weight[at])
+                    # Bucket and weight in one number: sorting these is far cheaper than ordering rows by bucket.
+                    both = np.sort(bucket << bits | weight)
+                    bucket = both >> bits
+                    first = np.flatnonzero(np.diff(bucket, prepend=-1))
                     where = bucket[first]
+                    n = np.add.reduceat(both & ((1 << bits) - 1), first) if len(first) else first
                     table[where] = np.minimum(table[where] + n, least)
         return ()
 
@@ -339,31 +350,76 @@ def _promising(chunks: DataFrame, seed: int, frequent, known: int, sizes: range,
     return out
 
 
+_PAIR = np.dtype([("h1", np.int64), ("h2", np.int64), ("f", np.int64)])
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, hopeful) -> Iterator[pa.RecordBatch]:
-    """``lang, h1, h2, f`` of pairs of words that may both be frequent."""
+    """``lang, part, pairs``: pairs of words that may both be frequent, with their counts. A row holds those of a
+    range of first words, as ``_PAIR`` records sorted by pair."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             c = Counted.of(own)
             hashes = c.words.hashes(seed)
             h, code = hashes[c.words.word], _lang_hash(lang, seed)
-            at = _starts(c, h, code, frequent.value, 1, 2)
+            at = _starts(c, _begins(c, hashes, code, frequent.value, 1), 1, 2)
             at = _hopeful(hopeful.value, code, h, at, 2)
             first, f = c.summed(at, c.words.word[at] * len(hashes) + c.words.word[at + 1], c.weight[at])
-            yield pa.RecordBatch.from_arrays(
-                [_lang_column(lang, len(first)), pa.array(h[first].view(np.int64)), pa.array(h[first + 1].view(np.int64)), pa.array(f)],
-                names=["lang", "h1", "h2", "f"])
+            pairs = np.empty(len(first), _PAIR)
+            pairs["h1"], pairs["h2"], pairs["f"] = h[first].view(np.int64), h[first + 1].view(np.int64), f
+            pairs = pairs[np.lexsort((pairs["h2"], pairs["h1"]))]
+            ranges = pairs["h1"] & (PAIR_RANGES - 1)
+            pairs = pairs[np.argsort(ranges, kind="stable")]
+            some, sizes = np.unique(ranges, return_counts=True)
+            cut = np.split(pairs, np.cumsum(sizes)[:-1]) if len(some) else []
+            yield pa.RecordBatch.from_arrays([_lang_column(lang, len(some)), pa.array(some.astype(np.int32)),
+                                              pa.array([x.tobytes() for x in cut], pa.binary())], names=["lang", "part", "pairs"])
 
     return _gathered(batches, part)
 
 
+def _summed_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``lang, h1, h2, f`` of the pairs with ``f >= least``, from batches sorted by ``lang, part``."""
+    now, held, rows = None, [], 0
+
+    def added(parts: list[np.ndarray]) -> np.ndarray:
+        pairs = np.concatenate(parts)
+        pairs = pairs[np.lexsort((pairs["h2"], pairs["h1"]))]
+        new = np.append(True, (pairs["h1"][1:] != pairs["h1"][:-1]) | (pairs["h2"][1:] != pairs["h2"][:-1]))
+        first = np.flatnonzero(new)
+        out = pairs[first]
+        out["f"] = np.add.reduceat(pairs["f"], first)
+        return out
+
+    def done():
+        if held:
+            pairs = added(held)
+            pairs = pairs[pairs["f"] >= least]
+            yield pa.RecordBatch.from_arrays([_lang_column(now[0], len(pairs)), *(pa.array(pairs[c].copy()) for c in _PAIR.names)],
+                                             names=["lang", *_PAIR.names])
+
+    for b in batches:
+        for lang, part, pairs in zip(b.column("lang").to_pylist(), b.column("part").to_pylist(), b.column("pairs")):
+            if (lang, part) != now:
+                yield from done()
+                now, held, rows = (lang, part), [], 0
+            held.append(np.frombuffer(pairs.as_buffer(), _PAIR))
+            rows += len(held[-1])
+            if rows > 2 * len(held[0]) + GATHER:                # a range's distinct pairs stay, not all that arrive
+                held = [added(held)]
+                rows = len(held[0])
+    yield from done()
+
+
 def _long_rows(batches: Iterator[pa.RecordBatch], seed: int, frequent, known: int, sizes: range, hopeful) -> Iterator[pa.RecordBatch]:
     """``lang, phrase, size, f`` of phrases of these sizes whose parts of ``known`` words may all be frequent."""
     def part(t: pa.Table):
         for lang, own in _by_lang(t):
             c = Counted.of(own)
-            h, lang_code = c.words.hashes(seed)[c.words.word], _lang_hash(lang, seed)
+            hashes = c.words.hashes(seed)
+            h, lang_code = hashes[c.words.word], _lang_hash(lang, seed)
+            begins = _begins(c, hashes, lang_code, frequent.value, known)
             for size in sizes:
-                at = _starts(c, h, lang_code, frequent.value, known, size)
+                at = _starts(c, begins, known, size)
                 at = _hopeful(hopeful.value, lang_code, h, at, size)
                 # Codes of equal phrases stay equal and small: numbered anew with each word.
                 code = c.words.word[at]
@@ -395,19 +451,20 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary(docs: DataFrame, period: int = PERIOD) -> DataFrame:
-    """``lang, last, text, n``: the distinct chunks and their parse frequencies."""
+    """``lang, last, text, n``: the distinct chunks and their parse frequencies, and the words (``last`` is null) and theirs."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     found = rows.mapInArrow(lambda it: _chunk_rows(it, period), "lang string, last boolean, text string, n bigint")
     return found.groupBy("lang", "last", "text").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(``lang, phrase, size, f`` of every phrase of up to ``LONGEST`` words with ``f >= least``, ``lang, n``)."""
-    spark = chunks.sparkSession
+def phrase_counts(entries: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(``lang, phrase, size, f`` of every phrase of up to ``LONGEST`` words with ``f >= least``, ``lang, n``) from :func:`dictionary`."""
+    spark = entries.sparkSession
+    chunks, counted = entries.where("last IS NOT NULL"), entries.where("last IS NULL")
     for seed in range(8):
-        words, words_path = staged_at(chunks.mapInArrow(lambda it: _word_rows(it, seed), "lang string, phrase string, h1 bigint, f bigint")
-                                      .groupBy("lang", "phrase", "h1").agg(F.sum("f").alias("f")), "phrase-words")
+        words, words_path = staged_at(counted.select("lang", "text", "n").mapInArrow(
+            lambda it: _word_hashes(it, seed), "lang string, phrase string, h1 bigint, f bigint"), "phrase-words")
         frequent_words = staged(words.where(F.col("f") >= least), "phrase-frequent-words")
         if words.groupBy("lang", "h1").count().where("count > 1").isEmpty():
             break
@@ -420,8 +477,9 @@ def phrase_counts(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     share = spark.sparkContext.broadcast
     some = share(_filter_of(frequent_words, seed))
     hopeful = share(_promising(chunks, seed, some, 1, range(2, 3), buckets, least))
-    pairs = staged(chunks.mapInArrow(lambda it: _pair_rows(it, seed, some, hopeful), "lang string, h1 bigint, h2 bigint, f bigint")
-                   .groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-pairs")
+    pairs = staged(chunks.mapInArrow(lambda it: _pair_rows(it, seed, some, hopeful), "lang string, part int, pairs binary")
+                   .repartition("lang", "part").sortWithinPartitions("lang", "part")
+                   .mapInArrow(lambda it: _summed_pairs(it, least), "lang string, h1 bigint, h2 bigint, f bigint"), "phrase-pairs")
     near, longer = share(_filter_of(pairs, seed)), range(3, LONGEST + 1)
     hopes = share(_promising(chunks, seed, near, 2, longer, buckets, least))
     long = chunks.mapInArrow(lambda it: _merged(_long_rows(it, seed, near, 2, longer, hopes)), "lang string, phrase string, size int, f bigint") \

@@ -96,3 +96,31 @@ def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA).selectExpr(
         "*", "1 AS n", "2 AS last", "'x' AS phrase", "3 AS f", "4 AS score", "5 AS h1")
     assert sorted(tuple(r) for r in co.collocation_table(df, least=4).collect()) == plain(rows, 4)
+
+
+class _All:
+    """Stands for a broadcast filter, or table of hopeful buckets, that lets everything through."""
+    value = None
+
+    def has(self, keys):
+        return np.ones(len(keys), bool)
+
+
+def test_a_task_sends_a_row_for_each_range_of_pairs_not_for_each_pair():
+    import pyarrow as pa
+    every, table = _All(), _All()
+    every.value, table.value = every, np.ones(4, bool)
+    words = [f"w{i}" for i in range(200)]
+    text = " ".join(f"{a} {b}" for a in words for b in words)
+    chunks = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"], "last": [True] * 3, "text": [text, "a b a b", "w1 w2 w1"], "n": [1, 3, 5]})
+    sent = list(co._pair_rows(iter([chunks]), 0, every, table))
+    assert sum(b.num_rows for b in sent) <= co.PAIR_RANGES + 2
+    rows = pa.Table.from_batches(sent + sent).sort_by([("lang", "ascending"), ("part", "ascending")]).combine_chunks().to_batches()
+    got = {(r["lang"], r["h1"], r["h2"]): r["f"] for b in co._summed_pairs(iter(rows), 4) for r in b.to_pylist()}
+    h = lambda w: int(np.array([co.xxhash.xxh64_intdigest(w.encode(), 0)], np.uint64).view(np.int64)[0])
+    want = Counter()
+    for lang, body, n in (("en", text, 1), ("de", "a b a b", 3), ("en", "w1 w2 w1", 5)):
+        own = body.split()
+        for a, b in zip(own, own[1:]):
+            want[lang, h(a), h(b)] += 2 * n
+    assert got == {key: n for key, n in want.items() if n >= 4}
