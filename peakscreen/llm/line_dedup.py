@@ -26,7 +26,7 @@ occurrences; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -239,6 +239,143 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return longer - edit_distance(a, b, int((1 - least) * longer) + 1) >= least * longer
 
 
+def most_edits(longer: np.ndarray, least: float) -> np.ndarray:
+    """Largest edit distance at which lines whose longer one has ``longer`` characters are similar."""
+    most = np.floor((1 - least) * longer).astype(np.int64) + 1
+    for _ in range(2):
+        most -= longer - most < least * longer
+    return most
+
+
+#: Characters up to which lines are compared many pairs at a time, diagonals of such a batch and pairs that are worth it.
+_CHARS, _CELLS, _FEW = 4096, 1 << 16, 8
+_FAR = 20_000
+
+
+def _grid(codes: list[np.ndarray], rows: int, backwards: bool) -> np.ndarray:
+    """``(rows, len(codes))``: a column for each line, one row before it and the rest behind, or the reverse of this."""
+    size = np.array([len(c) for c in codes])
+    out = np.zeros((len(codes), rows), dtype=np.uint16)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1
+    out[np.repeat(np.arange(len(codes)), size), rows - 1 - at if backwards else at] = np.concatenate(codes)
+    return np.ascontiguousarray(out.T)
+
+
+def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of ``a[k]`` and ``b[k]`` (the longer one) is at most ``most[k]``.
+
+    The distance table of all pairs is filled by antidiagonals, and of these only the diagonals that a path
+    of so few edits can touch. Even and odd diagonals alternate, each has its own rows.
+    """
+    la, lb = (np.array([len(c) for c in x]) for x in (a, b))
+    gap, n = lb - la, len(a)
+    before, after = int(((most - gap) // 2).max()), int((gap + (most - gap) // 2).max())
+    half = -(-(before + after) // 2)                            # diagonals -before ... 2 * half - before
+    after = 2 * half - before
+    end = la + lb
+    stops, last = set(end.tolist()), int(end.max())
+    # The first line is read backwards as the second is read forwards.
+    x, y = _grid(a, (last + before) // 2 + 3, True), _grid(b, (last + after) // 2 + 3, False)
+    even, odd = (np.full((half + k, n), _FAR, dtype=np.uint16) for k in (1, 2))      # odd: a row beyond the band on either side
+    (spare, unequal), one = np.empty((2, half + 1, n), dtype=np.uint16), np.ones((half + 1, n), dtype=np.uint16)
+    if before % 2:
+        odd[(before + 1) // 2] = 0
+    else:
+        even[before // 2] = 0
+    got, column = np.zeros(n, dtype=bool), np.arange(n)
+    got[end == 0] = True
+    for s in range(1, last + 1):
+        which = (s - before) % 2                                # the diagonals d = 2 * m + which - before
+        own, near = (odd[1:-1], even) if which else (even, odd)
+        lo = max(0, -(-(before - s - which) // 2))
+        hi = min(len(own) - 1, (before + s - which) // 2)
+        if lo <= hi:
+            d, rows = 2 * lo + which - before, hi - lo + 1
+            at, j = len(x) - 1 - (s - d) // 2, (s + d) // 2
+            t, u, mine = spare[:rows], unequal[:rows], own[lo:hi + 1]
+            np.bitwise_xor(x[at:at + rows], y[j:j + rows], out=u)
+            np.minimum(u, one[:rows], out=u)                    # far faster than with a number
+            np.minimum(near[lo:lo + rows], near[lo + 1:lo + rows + 1], out=t)
+            t += 1
+            mine += u
+            np.minimum(mine, t, out=mine)
+        if s in stops:
+            over = np.flatnonzero(end == s)
+            over = over[(gap[over] + before) % 2 == which]
+            got[column[over]] = own[(gap[over] + before - which) // 2, over] <= most[over]
+        if s % 64 == 0:
+            # Neither a finished pair nor one that needs too many edits on every diagonal goes on.
+            on = end > s
+            low = np.full(len(on), _FAR, dtype=np.int64)
+            for own, first in ((even, 0), (odd[1:-1], 1)):
+                if len(own):
+                    rest = np.abs(np.arange(first - before, first - before + 2 * len(own), 2)[:, None] - gap)
+                    low = np.minimum(low, (own + rest).min(axis=0))
+            on &= low <= most
+            if not on.any():
+                break
+            if on.mean() <= 0.7:
+                x, y, even, odd = (np.ascontiguousarray(c[:, on]) for c in (x, y, even, odd))
+                end, gap, most, column = end[on], gap[on], most[on], column[on]
+                spare, unequal, one = (np.ascontiguousarray(c[:, :len(column)]) for c in (spare, unequal, one))
+    return got
+
+
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without common beginning and end; ``a`` is not longer."""
+    unequal = a != b[:len(a)]
+    at = int(unequal.argmax()) if len(a) else 0
+    if not len(a) or not unequal[at]:
+        return a[:0], b[len(a):]
+    a, b = a[at:], b[at:]
+    unequal = a[::-1] != b[len(b) - len(a):][::-1]
+    back = int(unequal.argmax())
+    back = back if unequal[back] else len(a)
+    return a[:len(a) - back], b[:len(b) - back]
+
+
+def all_similar(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np.ndarray:
+    """:func:`similar` for many pairs at a time."""
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    longer = np.array([len(b) for _, b in pairs], dtype=np.int64)
+    most, gap = most_edits(longer, least), longer - np.array([len(a) for a, _ in pairs], dtype=np.int64)
+    out = np.zeros(len(pairs), dtype=bool)
+    for k in np.flatnonzero((gap <= most) & (longer > _CHARS)).tolist():
+        out[k] = similar(*pairs[k], least)
+    todo = np.flatnonzero((gap <= most) & (longer <= _CHARS))
+    if not len(todo):
+        return out
+    # Code points as numbers of 16 bits.
+    own = list({t for k in todo.tolist() for t in pairs[k]})
+    points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(points) and points.max() > 0xFFFF:
+        values, points = np.unique(points, return_inverse=True)
+        if len(values) > 1 << 16:
+            out[todo] = [similar(*pairs[k], least) for k in todo.tolist()]
+            return out
+    points, ends = points.astype(np.uint16), np.cumsum([len(t) for t in own])
+    codes = {t: points[e - len(t):e] for t, e in zip(own, ends.tolist())}
+    cut = {k: _trimmed(codes[pairs[k][0]], codes[pairs[k][1]]) for k in todo.tolist()}
+    size = np.array([len(cut[k][1]) for k in todo.tolist()])
+    out[todo[size <= most[todo]]] = True
+    todo, size = todo[size > most[todo]], size[size > most[todo]]
+    # Together go pairs of similar bands and lengths, more of them if they are short.
+    band = (np.log2(most[todo] + 16) * 1.5).astype(np.int64)
+    order = np.lexsort([size, band])
+    todo, size, band = todo[order], size[order], most[todo[order]] + 4
+    at = 0
+    while at < len(todo):
+        count = np.arange(1, min(len(todo) - at, _CELLS) + 1)
+        stop = at + max(1, int(np.searchsorted(np.maximum.accumulate(band[at:at + _CELLS]) * count, _CELLS, "right")))
+        own, at = todo[at:stop], stop
+        if len(own) < _FEW:
+            for k in own.tolist():
+                out[k] = edit_distance(*pairs[k], int(most[k])) <= most[k]
+        else:
+            out[own] = _banded(*zip(*[cut[k] for k in own.tolist()]), most[own])
+    return out
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """``id, text_hash, line, key, sketch``: the lines with content (text left behind).
 
@@ -327,44 +464,97 @@ def _units(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], tile: int)
         yield from whole(*held)
 
 
-def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Iterator[tuple[int, int]]:
-    """Verified links (index pairs) that connect the lines as all verified pairs do."""
-    left = np.arange(len(texts))
-    while len(left):
-        asking, left = [int(left[0])], left[1:]
-        while asking and len(left):
-            q = asking.pop()
-            hit = np.zeros(len(left), dtype=bool)
-            for at in np.flatnonzero(np.bitwise_count(fps[left] ^ fps[q]) <= radius).tolist():
-                if similar(texts[q], texts[left[at]], least):
-                    hit[at] = True
-                    yield q, int(left[at])
-            asking += left[hit].tolist()
-            left = left[~hit]
+#: Pairs that are verified together, characters of the units they come from, and pairs that a unit may always ask at a time, about.
+_ASKED, _OPEN, _WIDE = 8192, 16_000_000, 64
 
 
-def _verify(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], least: float) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal ``unit`` in batches sorted by it."""
-    held, now = [], None
+def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Generator[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """Verified links (index pairs) that connect the lines as all verified pairs do.
 
-    def links_of(rows):
-        found = list(_reach([r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64),
-                            radii[rows[0][3]], least))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[a][0] for a, _ in found], pa.binary()), pa.array([rows[b][0] for _, b in found], pa.binary())],
-            names=["u", "v"])
+    Yields the pairs to be verified next and is sent whether each is similar: the pairs of many units are verified together.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    queue, left, at, width, found = [0], np.arange(1, len(texts)), 0, 1, []
 
-    for b in batches:
-        units = zip(b.column("unit").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist())
-        for unit, key, fp, text, kind in zip(units, b.column("key").to_pylist(), b.column("fp").to_pylist(),
-                                             b.column("text").to_pylist(), b.column("kind").to_pylist()):
-            if unit != now:
-                if len(held) > 1:
-                    yield links_of(held)
-                held, now = [], unit
-            held.append((key, fp, text, kind))
-    if len(held) > 1:
-        yield links_of(held)
+    def near(x, y):
+        close = np.bitwise_count(fps[x][:, None] ^ fps[y][None, :]) <= radius
+        if close.any():
+            longer = np.maximum(sizes[x][:, None], sizes[y][None, :])
+            close &= np.minimum(sizes[x][:, None], sizes[y][None, :]) >= least * longer
+        return close
+
+    while len(left):
+        if at == len(queue):                                # all trees are complete: new ones, which ask each other as well
+            seeds, left = left[:width], left[width:]
+            queue += seeds.tolist()
+            if len(seeds) > 1:
+                q, x = np.nonzero(np.triu(near(seeds, seeds), 1))
+                if len(q):
+                    pairs = list(zip(seeds[q].tolist(), seeds[x].tolist()))
+                    found += [pairs[k] for k in np.flatnonzero((yield pairs)).tolist()]
+            continue
+        asked = np.array(queue[at:at + width])
+        at += len(asked)
+        q, x = np.nonzero(near(asked, left))
+        hits, pairs = 0, len(q)
+        if pairs:
+            good = yield list(zip(asked[q].tolist(), left[x].tolist()))
+            q, x = q[good], x[good]
+            hits = len(q)
+            if hits:
+                x, first = np.unique(x, return_index=True)
+                found += zip(asked[q[first]].tolist(), left[x].tolist())
+                queue += left[x].tolist()
+                left = np.delete(left, x)
+        # Where links are rare, more lines are asked at a time.
+        width = 4 * width if 4 * hits <= pairs else max(1, width // 2)
+        width = min(max(width, _WIDE // (len(left) + 1)), _ASKED // (len(left) + 1) + 1)
+    return found
+
+
+def _verify(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], least: float) -> Iterator[pa.RecordBatch]:
+    """Links within each run of equal ``unit, a, b`` in batches sorted by them."""
+    def units():
+        held, now = [], None
+        for b in batches:
+            names = zip(b.column("unit").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist())
+            for unit, *row in zip(names, strings(b.column("key")), b.column("fp").to_pylist(), strings(b.column("text")), b.column("kind").to_pylist()):
+                if unit != now:
+                    if len(held) > 1:
+                        yield held
+                    held, now = [], unit
+                held.append(row)
+        if len(held) > 1:
+            yield held
+
+    def links(rows, found):
+        return pa.RecordBatch.from_arrays([pa.array([rows[x[side]][0] for x in found], pa.binary()) for side in (0, 1)], names=["u", "v"])
+
+    coming, more, open_units = units(), True, []           # (rows, their search, the pairs it asks, characters)
+    while more or open_units:
+        asks, size = sum(len(x[2]) for x in open_units), sum(x[3] for x in open_units)
+        while more and asks < _ASKED and size < _OPEN:
+            rows = next(coming, None)
+            if rows is None:
+                more = False
+                break
+            search = _reach([r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64), radii[rows[0][3]], least)
+            try:
+                open_units.append((rows, search, next(search), sum(len(r[2]) for r in rows)))
+                asks, size = asks + len(open_units[-1][2]), size + open_units[-1][3]
+            except StopIteration as done:
+                if done.value:
+                    yield links(rows, done.value)
+        good = all_similar([(rows[a][2], rows[b][2]) for rows, _, asked, _ in open_units for a, b in asked], least)
+        at, going = 0, []
+        for rows, search, asked, chars in open_units:
+            try:
+                going.append((rows, search, search.send(good[at:at + len(asked)]), chars))
+            except StopIteration as done:
+                if done.value:
+                    yield links(rows, done.value)
+            at += len(asked)
+        open_units = going
 
 
 def _with_text(lines: DataFrame, docs: DataFrame) -> DataFrame:

@@ -184,3 +184,51 @@ def test_aligned_cost_bounds_the_distance():
         assert ld.aligned_cost(a, b) >= slow_distance(a, b)
         assert ld.similar(a, b) == (max(len(a), len(b)) - slow_distance(a, b) >= 0.8 * max(len(a), len(b)))
     assert ld.aligned_cost("a b c d", "a b x c d") == 2 and ld.aligned_cost("a b", "a b") == 0
+
+
+def edited(rng, text, edits):
+    chars = list(text)
+    for _ in range(edits):
+        at, how = int(rng.integers(len(chars) + 1)), int(rng.integers(3))
+        if how == 0 or at == len(chars):
+            chars.insert(at, str(rng.choice(list("abé 中😀"))))
+        elif how == 1:
+            del chars[at]
+        else:
+            chars[at] = str(rng.choice(list("abcé ")))
+    return "".join(chars)
+
+
+def test_many_pairs_at_a_time():
+    """Pairs verified together give what each gives alone: odd characters, empty and very long lines, few pairs."""
+    rng = np.random.default_rng(9)
+    pairs = []
+    for _ in range(3000):
+        a = "".join(rng.choice(list("abcdé 😀"), size=int(rng.choice([0, 1, 2, 3, 8, 20, 60, 200]))))
+        pairs.append((a, edited(rng, a, int(rng.integers(0, max(2, len(a) // 3))))))
+    pairs += [("ab c" * 2000, "ab c" * 1999 + "xy"), ("q" * 5000, "r" * 5000), ("", "")]
+    for least in (0.5, ld.SIMILARITY, 0.9, 1.0):
+        longer = [max(map(len, p)) for p in pairs]
+        slow = [n - ld.edit_distance(a, b) >= least * n for (a, b), n in zip(pairs, longer)]
+        assert ld.all_similar(pairs, least).tolist() == slow
+        assert [bool(ld.all_similar([p], least)[0]) for p in pairs[:200]] == slow[:200]
+    assert ld.all_similar([]).tolist() == []
+
+
+def test_large_unit_of_lines_in_radius():
+    """300 lines of one SimHash, each like one other: the links connect what all pairs connect, in few calls."""
+    rng = np.random.default_rng(10)
+    vocab = list(vocabulary(rng))
+    base = [" ".join(rng.choice(vocab, size=12)) for _ in range(150)]
+    texts = base + [edited(rng, b, 3) for b in base]
+    calls, real = [], ld.all_similar
+    rows = [(b"%03d" % k, 5, t, 0) for k, t in enumerate(texts)]
+    batch = pa.table({"unit": pa.array([1] * 300, pa.int64()), "a": pa.array([0] * 300, pa.int32()), "b": pa.array([0] * 300, pa.int32()),
+                      "key": [r[0] for r in rows], "fp": pa.array([5] * 300, pa.int64()), "text": texts, "kind": pa.array([0] * 300, pa.int32())})
+    ld.all_similar = lambda pairs, least: calls.append(len(pairs)) or real(pairs, least)
+    try:
+        out = [(int(r["u"]), int(r["v"])) for size in (300, 64) for b in ld._verify(iter(batch.to_batches(size)), (0, 0), ld.SIMILARITY) for r in b.to_pylist()]
+    finally:
+        ld.all_similar = real
+    assert {(min(e), max(e)) for e in out} == {(k, k + 150) for k in range(150)}
+    assert len(calls) < 2 * 60
