@@ -48,6 +48,8 @@ SHORT, LONG = 8, 6
 #: Blocks of a line and smallest hashes in a block key, for words and for trigrams.
 WORD_BLOCKS, TRIGRAM_BLOCKS = (16, 4), (24, 4)
 TILE = 4096
+#: Block keys travel packed by ranges of their highest bits; bytes of whole ranges that are sorted together, about.
+RANGE_BITS, _PACKED = 11, 4_000_000
 #: Words whose hash bits are counted at a time; at most 255 fit into an 8-bit counter.
 _WORDS, _COUNTER = 1 << 20, 255
 #: Bit j of a byte as the lowest bit of byte j of a word: eight counters side by side.
@@ -156,8 +158,8 @@ def _trigram_features(lines: pa.Array):
     return *_features(np.repeat(np.arange(len(lines)), ends), code, len(values)), _scatter(values * _GOLD), np.ones(len(values))
 
 
-def sketches(lines: pa.Array) -> pa.StructArray:
-    """``wfp, wkeys, tfp, tkeys`` of each normalised, non-empty line; null where a line has no such kind."""
+def _sketched(lines: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """SimHashes, block keys and who has them, by words and by trigrams, of normalised, non-empty lines."""
     n = len(lines)
     kinds = [(np.zeros(n, dtype=np.int64), np.zeros((n, b), dtype=np.int32), np.zeros(n, dtype=bool)) for b, _ in (WORD_BLOCKS, TRIGRAM_BLOCKS)]
     if n:
@@ -174,14 +176,66 @@ def sketches(lines: pa.Array) -> pa.StructArray:
                 got = _trigram_features(lines.filter(pa.array(own)))
             k = int(own.sum())
             fps[own], keys[own] = _majority(got[0], got[1], k, got[2]), _block_keys(got[0], got[1], k, got[2], got[3], *shape)
+    return kinds
+
+
+def sketches(lines: pa.Array) -> pa.StructArray:
+    """``wfp, wkeys, tfp, tkeys`` of each normalised, non-empty line; null where a line has no such kind."""
     columns = []
-    for fps, keys, has in kinds:
+    for fps, keys, has in _sketched(lines):
         size = has.astype(np.int32) * keys.shape[1]
         offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
         columns += [pa.array(fps, mask=~has), pa.ListArray.from_arrays(offsets, pa.array(keys[has].reshape(-1)), mask=pa.array(~has))]
     return pa.StructArray.from_arrays(columns, names=["wfp", "wkeys", "tfp", "tkeys"])
 
 
+def _packs(kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, pa.Array]:
+    """Range of keys and ``(key, fp)`` of all blocks in it. One long names block number, key and, in its lowest bit, kind."""
+    names, fps = [], []
+    for kind, (fp, keys, has) in enumerate(kinds):
+        own = keys[has].view(np.uint32).astype(np.uint64) | np.arange(64 * kind, 64 * kind + keys.shape[1], dtype=np.uint64) << _U(32)
+        names.append((_scatter(own * _GOLD) & ~_U(1) | _U(kind)).reshape(-1))
+        fps.append(np.repeat(fp[has], keys.shape[1]))
+    name, fp = np.concatenate(names).view(np.int64), np.concatenate(fps)
+    ranges = (name >> (64 - RANGE_BITS)).astype(np.int16)
+    order = np.argsort(ranges, kind="stable")
+    ranges = ranges[order]
+    firsts = np.flatnonzero(np.diff(ranges, prepend=ranges[:1] - 1))
+    packed = np.stack([name[order], fp[order]], axis=1)
+    offsets = np.append(firsts, len(ranges)) * 16
+    return ranges[firsts].astype(np.int32), pa.Array.from_buffers(
+        pa.binary(), len(firsts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, kind, fp`` sorted by key, from packs sorted by range: blocks with company only. A SimHash that
+    comes more than twice in a block (a line that many parts hold) comes twice."""
+    def blocks(packs):
+        key, fp = np.frombuffer(b"".join(packs), dtype=np.int64).reshape(-1, 2).T
+        order = np.argsort(key)
+        key, fp = key[order], fp[order]
+        same = key[1:] == key[:-1]
+        company = np.append(same, False) | np.append(False, same)
+        key, fp = key[company], fp[company]
+        order = np.lexsort([fp, key])
+        key, fp = key[order], fp[order]
+        keep = np.ones(len(key), dtype=bool)
+        keep[2:] = (key[2:] != key[:-2]) | (fp[2:] != fp[:-2])
+        key, fp = key[keep], fp[keep]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array((key & 1).astype(np.int32)), pa.array(fp)], names=["key", "kind", "fp"])
+
+    held, size, now = [], 0, None
+    for b in batches:
+        for at, pack in zip(b.column("range").to_pylist(), b.column("pack").to_pylist()):
+            if at != now and size >= _PACKED:
+                yield blocks(held)
+                held, size = [], 0
+            now, size = at, size + len(pack)
+            held.append(pack)
+    if held:
+        yield blocks(held)
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance, bit-parallel over the columns of ``a``; once it is sure to exceed ``most``, any number above that."""
     while a and b and a[-1] == b[-1]:
@@ -377,10 +431,18 @@ def all_similar(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np.n
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``id, text_hash, line, key, sketch``: the lines with content (text left behind).
+    """``id, text_hash, line, key, wfp, tfp``: the lines with content (text left behind); and, with a null ``key``,
+    ``range, pack``: their blocks.
 
-    A line repeated within a part of a batch has its sketch at its first occurrence there.
+    A line repeated within a part of a batch has its SimHashes at its first occurrence there.
     """
+    names = ["id", "text_hash", "line", "key", "wfp", "tfp", "range", "pack"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def rows(**own):
+        n = len(next(iter(own.values())))
+        return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
@@ -394,18 +456,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 keep = some.to_numpy(zero_copy_only=False)
                 # Lines repeated within the part are hashed once.
                 coded, at = lines.filter(some).dictionary_encode(), pa.array(row[keep])
+                if not len(at):
+                    continue
                 keys = pa.array([xxhash.xxh3_128_digest(x) for x in strings(coded.dictionary)], pa.binary())
                 codes = coded.indices.to_numpy()
                 again = np.ones(len(codes), dtype=bool)
                 again[np.unique(codes, return_index=True)[1]] = False
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(at), part.column("text_hash").take(at), pa.array(number[keep], pa.int32()),
-                     keys.take(coded.indices), sketches(coded.dictionary).take(pa.array(codes, mask=again))],
-                    names=["id", "text_hash", "line", "key", "sketch"])
+                kinds = _sketched(coded.dictionary)
+                firsts = pa.array(codes, mask=again)
+                wfp, tfp = (pa.array(fps, mask=~has).take(firsts) for fps, _, has in kinds)
+                yield rows(id=part.column("id").take(at), text_hash=part.column("text_hash").take(at), line=pa.array(number[keep], pa.int32()),
+                           key=keys.take(coded.indices), wfp=wfp, tfp=tfp)
+                ranges, packs = _packs(kinds)
+                yield rows(range=pa.array(ranges), pack=packs)
 
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(run, "id long, text_hash long, line int, key binary, "
-                                "sketch struct<wfp: long, wkeys: array<int>, tfp: long, tkeys: array<int>>")
+    return docs.mapInArrow(run, "id long, text_hash long, line int, key binary, wfp long, tfp long, range int, pack binary")
 
 
 def _units(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], tile: int) -> Iterator[pa.RecordBatch]:
@@ -475,6 +541,13 @@ def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Gene
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     queue, left, at, width, found = [0], np.arange(1, len(texts)), 0, 1, []
+    tree = np.arange(len(texts))
+
+    def link(pairs):
+        for a, b in pairs:
+            if tree[a] != tree[b]:
+                found.append((a, b))
+                tree[tree == tree[b]] = tree[a]
 
     def near(x, y):
         close = np.bitwise_count(fps[x][:, None] ^ fps[y][None, :]) <= radius
@@ -491,7 +564,8 @@ def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Gene
                 q, x = np.nonzero(np.triu(near(seeds, seeds), 1))
                 if len(q):
                     pairs = list(zip(seeds[q].tolist(), seeds[x].tolist()))
-                    found += [pairs[k] for k in np.flatnonzero((yield pairs)).tolist()]
+                    good = yield pairs
+                    link(pairs[k] for k in np.flatnonzero(good).tolist())
             continue
         asked = np.array(queue[at:at + width])
         at += len(asked)
@@ -502,10 +576,21 @@ def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Gene
             q, x = q[good], x[good]
             hits = len(q)
             if hits:
-                x, first = np.unique(x, return_index=True)
-                found += zip(asked[q[first]].tolist(), left[x].tolist())
-                queue += left[x].tolist()
+                x, first, back = np.unique(x, return_index=True, return_inverse=True)
+                lead, fresh = asked[q[first]], left[x]
+                found += zip(lead.tolist(), fresh.tolist())
+                tree[fresh] = tree[lead]
+                link((int(asked[q[k]]), int(fresh[back[k]])) for k in np.flatnonzero(tree[asked[q]] != tree[fresh[back]]).tolist())
+                queue += fresh.tolist()
                 left = np.delete(left, x)
+                # Lines of other trees that have still to ask do not find these among the left ones any more.
+                waiting = np.array(queue[at:])
+                if (tree[waiting] != tree[waiting[0]]).any():
+                    q, x = np.nonzero(near(fresh, waiting) & (tree[fresh][:, None] != tree[waiting][None, :]))
+                    if len(q):
+                        cross = sorted({(min(a, b), max(a, b)) for a, b in zip(fresh[q].tolist(), waiting[x].tolist())})
+                        good = yield cross
+                        link(cross[k] for k in np.flatnonzero(good).tolist())
         # Where links are rare, more lines are asked at a time.
         width = 4 * width if 4 * hits <= pairs else max(1, width // 2)
         width = min(max(width, _WIDE // (len(left) + 1)), _ASKED // (len(left) + 1) + 1)
@@ -575,21 +660,16 @@ def _with_text(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def line_groups(docs: DataFrame, radii: tuple[int, int] = RADII, least: float = SIMILARITY, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(occurrences, ``key, keeper``): the occurrence that stays for every line that is not unique."""
-    lines = staged(occurrences(docs), "lines")
+    parsed = staged(occurrences(docs), "lines")
+    lines = parsed.where(F.col("key").isNotNull()).drop("range", "pack")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line")
     distinct = staged(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
-                                               F.first("sketch", ignorenulls=True).alias("sketch")), "lines-distinct")
-
-    # One long names kind, block number and key.
-    dealt = None
-    for kind, (fp, keys) in enumerate((("wfp", "wkeys"), ("tfp", "tkeys"))):
-        own = distinct.where(F.col(f"sketch.{fp}").isNotNull()).select(F.lit(kind).alias("kind"), F.col(f"sketch.{fp}").alias("fp"), F.posexplode(
-            f"sketch.{keys}").alias("block", "k")).select(F.xxhash64("kind", "block", "k").alias("key"), "kind", "fp")
-        dealt = own if dealt is None else dealt.union(own)
-    met = staged(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(
-        lambda it: _units(it, radii, tile), "unit long, kind int, fp long"), "lines-met").distinct()
-    kinds = F.explode(F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("sketch.wfp").alias("fp")),
-                                       F.struct(F.lit(1).alias("kind"), F.col("sketch.tfp").alias("fp"))), lambda x: x["fp"].isNotNull()))
+                                               F.max("wfp").alias("wfp"), F.max("tfp").alias("tfp")), "lines-distinct")
+
+    dealt = parsed.where(F.col("key").isNull()).select("range", "pack").repartition("range").sortWithinPartitions("range")
+    met = staged(dealt.mapInArrow(lambda it: _units(_unpacked(it), radii, tile), "unit long, kind int, fp long"), "lines-met").distinct()
+    kinds = F.explode(F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(fp).alias("fp")) for kind, fp in enumerate(("wfp", "tfp"))]),
+                               lambda x: x["fp"].isNotNull()))
     nodes = distinct.select("key", "first", kinds.alias("x")).select("key", "first", "x.*")
     inside = staged(nodes.join(met, ["kind", "fp"]), "lines-inside")
     sizes = inside.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

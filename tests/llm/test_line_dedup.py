@@ -232,3 +232,23 @@ def test_large_unit_of_lines_in_radius():
         ld.all_similar = real
     assert {(min(e), max(e)) for e in out} == {(k, k + 150) for k in range(150)}
     assert len(calls) < 2 * 60
+
+
+def test_trees_that_grow_together_keep_their_links():
+    """Whatever lines are similar, the search connects what all pairs connect."""
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        n = int(rng.integers(2, 60))
+        like = np.triu(rng.random((n, n)) < rng.choice([0.0, 0.5, 1.0, 2.0, 4.0]) / n, 1)
+        like |= like.T
+        search = ld._reach(["x"] * n, np.zeros(n, dtype=np.uint64), 0, ld.SIMILARITY)
+        answer = None
+        try:
+            while True:
+                asked = search.send(answer)
+                answer = np.array([like[a, b] for a, b in asked], dtype=bool)
+        except StopIteration as done:
+            found = done.value
+        assert all(like[a, b] for a, b in found)
+        label = [ld.bitslice.local_components(n, *np.array(e, dtype=np.int64).reshape(-1, 2).T).tolist() for e in (found, np.argwhere(like))]
+        assert label[0] == label[1]
