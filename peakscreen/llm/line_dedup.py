@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakscreen.llm import bitslice
-from peakscreen.llm.common import boxed, let, map_arrow, staged, strings
+from peakscreen.llm.common import boxed, discard, let, map_arrow, staged, staged_at, strings
 from peakscreen.llm.components import connected_components, contracted
 from peakscreen.session import ship_package
 
@@ -534,6 +534,16 @@ def _units(batches: Iterator[pa.RecordBatch], radii: tuple[int, int], tile: int)
 _ASKED, _OPEN, _WIDE = 8192, 16_000_000, 64
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a batch once."""
+    for b in batches:
+        unit, fp = (b.column(c).to_numpy() for c in ("unit", "fp"))      # a unit is of one kind
+        order = np.lexsort([fp, unit])
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(unit[order]) != 0) | (np.diff(fp[order]) != 0)
+        yield b.take(pa.array(order[new]))
+
+
 def _reach(texts: list[str], fps: np.ndarray, radius: int, least: float) -> Generator[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
     """Verified links (index pairs) that connect the lines as all verified pairs do.
 
@@ -660,18 +670,22 @@ def _with_text(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def line_groups(docs: DataFrame, radii: tuple[int, int] = RADII, least: float = SIMILARITY, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(occurrences, ``key, keeper``): the occurrence that stays for every line that is not unique."""
-    parsed = staged(occurrences(docs), "lines")
-    lines = parsed.where(F.col("key").isNotNull()).drop("range", "pack")
+    spark = docs.sparkSession
+    parsed, parsed_at = staged_at(occurrences(docs), "lines-parsed")
+    lines = staged(parsed.where(F.col("key").isNotNull()).drop("range", "pack"), "lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line")
     distinct = staged(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
                                                F.max("wfp").alias("wfp"), F.max("tfp").alias("tfp")), "lines-distinct")
 
     dealt = parsed.where(F.col("key").isNull()).select("range", "pack").repartition("range").sortWithinPartitions("range")
-    met = staged(dealt.mapInArrow(lambda it: _units(_unpacked(it), radii, tile), "unit long, kind int, fp long"), "lines-met").distinct()
+    met, met_at = staged_at(dealt.mapInArrow(lambda it: _once(_units(_unpacked(it), radii, tile)), "unit long, kind int, fp long"), "lines-met")
+    discard(spark, parsed_at)
+    met = met.distinct()
     kinds = F.explode(F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(fp).alias("fp")) for kind, fp in enumerate(("wfp", "tfp"))]),
                                lambda x: x["fp"].isNotNull()))
     nodes = distinct.select("key", "first", kinds.alias("x")).select("key", "first", "x.*")
     inside = staged(nodes.join(met, ["kind", "fp"]), "lines-inside")
+    discard(spark, met_at)
     sizes = inside.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     by_line = inside.join(sizes, "unit").groupBy("key").agg(F.first("first").alias("first"), F.collect_list(F.struct(
         "unit", "kind", "fp", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))).alias("units"))
