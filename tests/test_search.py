@@ -101,6 +101,31 @@ def test_search_resumes(spark, table, tmpdir_path):
     assert max(r.mean_f1 for r in best) > .6
 
 
+def test_tree_trials_learn_from_every_row(spark, tmpdir_path):
+    """Each trial's scores are those of fits on all rows of the other folds; 2,000 of these rows were used before."""
+    from peakscreen.operators import sampling as sm
+    rng = np.random.default_rng(8)
+    x = np.c_[rng.normal(size=(3000, 2)), rng.integers(0, 4, 3000)]
+    y = (x[:, 0] * x[:, 1] + x[:, 2] / 3 + rng.normal(size=3000) / 2 > .5).astype(int)
+    rows = spark.createDataFrame([(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))],
+                                 "row_id long, a double, b double, c double, reported int").repartition(3).cache()
+    spaces = {"forest": {**sr.SPACES["forest"], "trees": [4], "min_samples_leaf": (.03, .1)},
+              "boosting": {**sr.SPACES["boosting"], "rounds": [4], "max_depth": [3], "scale_pos_weight": [1, 2]}}
+    found = sr.search(rows, FEATURES, f"file://{tmpdir_path}/whole", families=("forest", "boosting"), spaces=spaces, draws=3, folds=3, wave=6).collect()
+    fold = np.array([r.fold for r in sm.stratified_folds(rows, "reported", "row_id", 3, sr.SEED).orderBy("row_id").collect()])
+    for r in found:
+        c = sr.draw(spaces[r.family], 3)[r.trial]
+        for k, f1 in enumerate(r.fold_f1):
+            bins, own, held, truth = sr.Sample(x, y.astype(float), fold).cut(k)
+            if r.family == "forest":
+                n = {"sqrt": 1, "log2": 1, "all": 3}[c["max_features"]]
+                says = tr.forest_probabilities(bins, own, held, 4, c["min_samples_split"], c["min_samples_leaf"], n, sr.SEED) >= .5
+            else:
+                how = tr.Growth(**{a: c[a] for a in ("max_depth", "min_child_weight", "gamma", "reg_lambda", "reg_alpha")})
+                says = [*tr.boosted_margins(bins, own, held, 4, c["eta"], how, sr.SEED, c["subsample"], pos_weight=c["scale_pos_weight"])][-1][2] >= 0
+            assert len(own) + len(truth) == 3000 and abs(sr.f1_of(says, truth) - f1) < 1e-9
+
+
 def test_fitting_sample_is_bounded_and_stratified(table):
     s = sr.fitting_sample(table.withColumn("reported", F.when(F.col("row_id") % 10 != 0, F.col("reported"))), FEATURES, "reported", "row_id", 100, 5, 1)
     assert s.x.shape == (100, 3) and set(np.bincount(s.fold)) <= {19, 20, 21}
